@@ -20,6 +20,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from .common import slices
 
 MAX_WORDS, MAX_PAIRS = 400_000, 1_000_000
@@ -201,7 +202,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                     names=["id", "n_tokens", "ids"],
                 )
 
-    return _two(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids array<int>")
+    return map_arrow(_two(docs, id_col, text_col), run, "id long, n_tokens long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocab_path: str) -> DataFrame:
@@ -217,7 +218,7 @@ def decode_documents(encoded: DataFrame, vocab_path: str) -> DataFrame:
             texts = [own.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return encoded.select("id", "ids").mapInArrow(run, "id long, text string")
+    return map_arrow(encoded.select("id", "ids"), run, "id long, text string")
 
 
 def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,8 +243,8 @@ def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
                     names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return _two(docs, id_col, text_col).mapInArrow(
-        run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_arrow(
+        _two(docs, id_col, text_col), run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 

@@ -24,6 +24,7 @@ from itertools import combinations, repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from .common import materialize, slices
 from .components import connected_components
 
@@ -120,7 +121,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), fps], names=["id", "fp"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, fp long")
+    return map_arrow(src, run, "id long, fp long")
 
 
 def fingerprint_links(reps: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def fingerprint_links(reps: DataFrame) -> DataFrame:
             rows, keys = fuzzy_keys(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], names=["key", "fp"])
 
-    keys = reps.select("fp").mapInArrow(run, "key long, fp long")
+    keys = map_arrow(reps.select("fp"), run, "key long, fp long")
     a, b = keys.alias("a"), keys.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near).select(
