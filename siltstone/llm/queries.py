@@ -16,3 +16,5 @@ QUERIES = {
     "op9_line_dedup": lines.op9,
     "op10_license_scan": licenses.op10,
 }
+
+ORACLES: dict[str, str] = {}

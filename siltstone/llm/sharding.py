@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-SHARDS, SIZE = 16, 4099
+SHARDS, SIZE = 16, 2053
 #: A lookup table has at most this many slots, which bounds what is broadcast.
 MAX_SIZE = 16_411
 

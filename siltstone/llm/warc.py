@@ -66,7 +66,7 @@ def write_records(records: DataFrame, folder: str) -> DataFrame:
                 for row in part.to_pylist():
                     if out is None:
                         path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                        out, size, n = fs.open_output_stream(path), 0, 0
+                        out, size, n = fs.open_output_stream(path, compression=None), 0, 0
                         size += out.write(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>")], b"software: siltstone\r\n"))
                     data = (row["payload"] or "").encode()
                     old = row["refers_to"]
