@@ -10,11 +10,11 @@ repeated run is deleted; first occurrences stay.
    window's smallest line hash is selected (the first at a tie).  Windows depend on their content
    only, so equal runs of ``min_words`` words select a common fingerprint: that is guaranteed.
 2. Join positions: fingerprints selected twice or more, joined back to their documents.
-3. Extend both ways: around such a fingerprint, the shortest spans of ``min_words`` words to the
-   right of each line and to the left of each line.  A maximal repeated run is the union of its
-   right-hand and left-hand spans, so comparing spans by content and order finds the same lines
-   as extending each pair of occurrences, yet a line that occurs in a third of all documents costs
-   one row per occurrence, not one per pair.
+3. Extend both ways: from such a fingerprint's windows to all spans of ``min_words`` words that
+   cannot be shortened at their left or at their right.  A maximal repeated run is the union of
+   its spans of either kind, so comparing spans by content and order finds the same lines as
+   extending each pair of occurrences line by line, yet a line that occurs in a third of all
+   documents costs one row per occurrence, not one per pair.
 4. Delete the lines of each span whose content has an earlier occurrence.
 
 Hot fingerprints and spans are counted before their shuffle; the joins back have a written table
@@ -31,13 +31,17 @@ from .common import materialize, read
 MIN_WORDS = 25
 #: Up to so many repeated fingerprints in a document, its spans are filtered by them; beyond, all
 #: its spans are compared (the same result, without a long search for each span).
-FILTER_UP_TO = 2000
-PIECES = r"(?<=[.!?]\\s|\\n)(?=\\S)"
+FILTER_UP_TO = 64
+#: Cuts a text into lines; a text that holds the mark itself is cut by the slower, equal form.
+MARK = "\ufdd0"
+CUT = r"(?<=[.!?]\s|\n)(?=\S)"
 
 
 def pieces(text: str) -> str:
     """SQL: a text cut into lines; joined, they are the text again."""
-    return rf"split(coalesce({text}, ''), r'{PIECES.replace(chr(92) * 2, chr(92))}')"
+    t = f"coalesce({text}, '')"
+    fast = rf"split(regexp_replace({t}, r'([.!?]\s|\n)(?=\S)', r'$1{MARK}'), '{MARK}')"
+    return f"if(contains({t}, '{MARK}'), split({t}, r'{CUT}'), {fast})"
 
 
 def _span(part: str, min_words: int) -> str:
@@ -50,20 +54,20 @@ def _span(part: str, min_words: int) -> str:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """-> (row, id, h, n, w): by line its hash, its words and its window's length in lines."""
+    """-> (row, id, h, w): by line its hash and its window's length in lines (0: none).  A line's
+    words are what single spaces part."""
     short = _span("slice(n, i, 6)", min_words)
-    full = _span(f"slice(n, i, {min_words})", min_words)
+    full = _span(f"slice(n, i + 1, {min_words})", min_words)
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
         .selectExpr("id", "xxhash64(id, t) as row", f"{pieces('t')} as p")
+        .selectExpr("row", "id", r"transform(p, x -> trim(translate(x, '\n\r\t', '   '))) as p")
         .selectExpr(
-            "row",
-            "id",
-            r"transform(p, x -> xxhash64(trim(translate(x, '\n\r\t', '   ')))) as h",
-            r"transform(p, x -> cast(least(greatest(regexp_count(x, '\\S+'), 1), 1000) as int)) as n",
+            "row", "id", "transform(p, x -> xxhash64(x)) as h",
+            "transform(p, x -> least(1 + length(x) - length(replace(x, ' ', '')), 1000)) as n",
         )
-        .selectExpr("*", "sequence(1, size(h)) as at")
-        .selectExpr("row", "id", "h", "n", f"transform(at, i -> if({short} > 0, {short}, {full})) as w")
+        .selectExpr("*", f"transform(sequence(1, size(h)), i -> {short}) as s")
+        .selectExpr("row", "id", "h", f"transform(s, (x, i) -> if(x > 0, x, {full})) as w")
     )
 
 
@@ -74,25 +78,22 @@ def fingerprints(sig: DataFrame) -> DataFrame:
     return sig.selectExpr("row", f"explode(transform({chosen}, i -> h[i - 1])) as f")
 
 
-def spans(sig: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
+def spans(sig: DataFrame, hits: DataFrame) -> DataFrame:
     """-> (m, k, id, row, b, e): the spans b..e around repeated fingerprints; (m, k) stands for
-    the content."""
+    the content.
+
+    The window at b ends at b + w - 1.  It is the shortest span to the right of b; the shortest
+    spans to the left of their ends start at b for the ends from there up to before the end of the
+    next line's window.
+    """
     known = f"(size(r) > {FILTER_UP_TO} or array_contains(r, array_min(slice(h, b, w[b - 1]))))"
-    back = _span(f"reverse(slice(n, greatest(1, e - {min_words - 1}), least(e, {min_words})))", min_words)
-    row = "named_struct('m', array_min(slice(h, b, e - b + 1)), 'k', xxhash64(slice(h, b, e - b + 1)), 'b', b, 'e', e)"
-    pair = row.replace("- b +", "- x.b +").replace(", b,", ", x.b,").replace("'b', x.b, 'e', e", "'b', x.b, 'e', x.e").replace("e - x.b", "x.e - x.b")
-    at = "sequence(1, size(h))"
-    right = f"transform(filter({at}, b -> w[b - 1] > 0 and {known}), b -> named_struct('b', b, 'e', b + w[b - 1] - 1))"
-    left = (
-        f"transform(filter(transform({at}, e -> named_struct('b', e + 1 - {back}, 'e', e)), x -> x.b <= x.e and "
-        f"{known.replace('slice(h, b, w[b - 1])', 'slice(h, x.b, w[x.b - 1])')}), x -> x)"
-    )
-    return (
-        sig.join(hits, "row")
-        .selectExpr("id", "row", "h", f"array_distinct(concat({right}, {left})) as s")
-        .selectExpr("id", "row", f"explode(transform(s, x -> {pair})) as s")
-        .select("s.m", "s.k", "id", "row", "s.b", "s.e")
-    )
+    stop = "if(b < size(h) and w[b] > 0, b + w[b] - 1, size(h))"
+    ends = f"sequence(b + w[b - 1] - 1, greatest(b + w[b - 1] - 1, {stop}))"
+    starts = f"filter(sequence(1, size(h)), b -> w[b - 1] > 0 and {known})"
+    part = "slice(h, b, e - b + 1)"
+    row = f"named_struct('m', array_min({part}), 'k', xxhash64({part}), 'b', b, 'e', e)"
+    every = f"flatten(transform({starts}, b -> transform({ends}, e -> {row})))"
+    return sig.join(hits, "row").selectExpr("id", "row", f"explode({every}) as s").select("s.m", "s.k", "id", "row", "s.b", "s.e")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -103,7 +104,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = fingerprints(sig)
     often = materialize(fps.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f"), "often")
     hits = fps.join(often, "f").groupBy("row").agg(F.collect_set("f").alias("r"))
-    found = materialize(spans(sig, hits, min_words), "spans")
+    found = materialize(spans(sig, hits), "spans")
     first = materialize(
         found.groupBy("m", "k").agg(F.min(F.struct("id", "row", "b")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"),
         "first",
