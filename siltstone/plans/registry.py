@@ -1,4 +1,502 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the driver's tables and their SQL twins (DuckDB dialect)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import parse, text
+from ..operators import assemble, providers, search, split, telemetry
+from ..sources import files
+from ..streaming import telemetry as streams
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return keep
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Derived inputs, in SQL that both engines read ------------------------------------------------
+_FLAT = "replace(text, chr(10), ' ')"
+RESULTS_SQL = f"""select source as doc_id, doc_id as index, lang as topic, {{a}}lang, concat('t', doc_id % 7){{z}} as topics, {{a}}concat('d', doc_id % 3){{z}} as domains,
+  case when doc_id % 5 = 0 then '' else substr({_FLAT}, 1, 40) end as summary, case when doc_id % 4 = 0 then '' else 'concept' end as type,
+  {{a}}substr({_FLAT}, 1, 10), substr({_FLAT}, 11, 10){{z}} as key_points, case when doc_id % 3 = 0 then '' else concat('take ', doc_id) end as my_takeaway,
+  cast(doc_id % 10 as double) / cast(10 as double) as confidence, '' as source_quote, '' as applicability, text as content from {{docs}}"""
+CALLS_SQL = """select event_id as seq, concat('s', user_id % 20) as source, event_type as stage, cast(event_id % 8 as int) as chunk_index,
+  case event_id % 4 when 0 then 'm-large' when 1 then 'm-small:free' when 2 then 'm-mid-20250514' else 'other' end as model,
+  cast(floor(abs(value) * 100) as bigint) as prompt_tokens, cast(floor(abs(value) * 37) as bigint) as completion_tokens,
+  cast(floor(abs(value) * 400) as bigint) as prompt_chars, cast(floor(abs(value) * 150) as bigint) as completion_chars,
+  cast(floor(abs(value) * 5) as bigint) as latency_ms, event_type <> 'error' as success, cast(ts as timestamp) as timestamp from {events}"""
+PRICES_SQL = "select * from (values ('M-Large', cast(3 as double), cast(15 as double)), ('m-small', cast(0.5 as double), cast(1.5 as double)), ('m-mid', cast(1 as double), cast(4 as double))) as p(model, input_price, output_price)"
+_R = "with r as (" + RESULTS_SQL.format(a="[", z="]", docs="documents") + ") "
+_C = (
+    "with c0 as (" + CALLS_SQL.format(events="events") + "), p as (" + PRICES_SQL + "), c as (select c0.*, cast(prompt_tokens as double) / 1e6 * coalesce(p1.input_price, p2.input_price, p3.input_price, 0) + "
+    "cast(completion_tokens as double) / 1e6 * coalesce(p1.output_price, p2.output_price, p3.output_price, 0) as cost from c0 left join p p1 on lower(p1.model) = c0.model "
+    "left join p p2 on lower(p2.model) = case when regexp_matches(c0.model, '-20[0-9]{6}$') then regexp_replace(c0.model, '-20[0-9]{6}$', '') end "
+    "left join p p3 on lower(p3.model) = case when contains(c0.model, ':') then regexp_replace(c0.model, ':[^:]*$', '') end) "
+)
+_TRIM = r"regexp_replace({}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(RESULTS_SQL.format(a="array(", z=")", docs="{docs}"), docs=table(spark, d, "documents"))
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    raw = spark.sql(CALLS_SQL, events=table(spark, d, "events"))
+    return telemetry.priced(raw, spark.sql(PRICES_SQL))
+
+
+# Chunking and text ----------------------------------------------------------------------------
+_PACKED = f"""with t as (select doc_id, lang, replace(text, chr(10), chr(10) || chr(10)) as t from documents),
+p as (select doc_id, lang, t, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') as ps from t),
+g as (select doc_id, lang, t, list_reduce(ps, lambda a, x: {{'done': case when a.cur <> '' and strlen(a.cur) + strlen(x.cur) + 2 > 1500 then list_append(a.done, a.cur) else a.done end,
+  'cur': case when a.cur = '' or strlen(a.cur) + strlen(x.cur) + 2 > 1500 then x.cur else a.cur || chr(10) || chr(10) || x.cur end}}) as a
+  from (select doc_id, lang, t, list_transform(list_prepend('', ps), lambda x: {{'done': []::varchar[], 'cur': x}}) as ps from p)),
+c as (select doc_id, lang, t, case when a.cur = '' then a.done else list_append(a.done, a.cur) end as cs from g),
+m as (select doc_id, lang, t, cs, list_reduce(list_prepend({{'done': []::varchar[], 'wait': ''}}, list_transform(cs, lambda x: {{'done': []::varchar[], 'wait': x}})), lambda a, x:
+  case when strlen(x.wait) < 500 then {{'done': a.done, 'wait': case when a.wait = '' then x.wait else a.wait || chr(10) || chr(10) || x.wait end}}
+  else {{'done': list_append(a.done, case when a.wait = '' then x.wait else a.wait || chr(10) || chr(10) || x.wait end), 'wait': ''}} end) as a from c),
+f as (select doc_id, lang, case when strlen(t) <= 1500 then [t] when len(cs) <= 1 then cs when a.wait = '' then a.done
+  when len(a.done) > 0 then list_append(a.done[1:len(a.done) - 1], a.done[len(a.done)] || chr(10) || chr(10) || a.wait) else [a.wait] end as cs from m),
+k as (select doc_id, lang, unnest(cs) as text, generate_subscripts(cs, 1) - 1 as chunk_idx from f) """
+
+
+@query("chunk_documents", _PACKED + "select doc_id, cast(chunk_idx as integer) as chunk_idx, text, cast(strlen(text) as bigint) as n_bytes from k")
+def chunk_documents(spark, d):
+    return split.chunk_documents(table(spark, d, "documents"))
+
+
+@query("chunk_size_stats", _PACKED + "select lang, count(*) as n_chunks, cast(sum(strlen(text)) as bigint) as n_bytes, cast(max(strlen(text)) as bigint) as max_bytes from k group by lang")
+def chunk_size_stats(spark, d):
+    docs = table(spark, d, "documents")
+    got = split.chunk_documents(docs.select(F.struct("doc_id", "lang").alias("k"), "text"), "k")
+    return got.groupBy(F.col("k.lang").alias("lang")).agg(F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"), F.max("n_bytes").alias("max_bytes"))
+
+
+@query("hard_parts")
+def hard_parts(spark, d):
+    return split.hard_parts(table(spark, d, "documents"), most=2800)
+
+
+def _html_sql() -> str:
+    x = "html"
+    for tag, new in text.BREAK_TAGS:
+        x = f"replace({x}, '{tag}', {' || '.join(['chr(10)'] * (len(new) // 2))})"
+    x = f"replace(regexp_replace({x}, '<[^>]*(>|$)', '', 'g'), '>', '')"
+    for name, char in text.ENTITIES:
+        x = f"replace({x}, '{name}', '{char}')"
+    return f"select page_id, array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: {_TRIM.format('l')}), lambda l: l <> ''), chr(10)) as text from pages"
+
+
+@query("html_to_text", _html_sql())
+def html_to_text(spark, d):
+    return files.read_pages(table(spark, d, "pages"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+
+
+@query(
+    "repetition_flags",
+    f"""with w as (select doc_id, list_transform({_WORDS}, lambda x: lower(x)) as w from documents), u as (select doc_id, len(w) as n, unnest(w) as x, generate_subscripts(w, 1) as i from w),
+    b as (select *, case when x = lag(x) over (partition by doc_id order by i) then 0 else 1 end as new from u), s as (select *, sum(new) over (partition by doc_id order by i) as g from b),
+    r as (select doc_id, max(c) as longest from (select doc_id, g, count(*) as c from s group by all) group by doc_id),
+    t as (select doc_id, max(c) as most from (select doc_id, g, count(*) as c from (select doc_id, concat_ws(' ', x, lead(x) over o, lead(x, 2) over o) as g, lead(x, 2) over o as z from u window o as (partition by doc_id order by i)) where z is not null group by all) group by doc_id)
+    select w.doc_id, cast(coalesce(longest, 0) as integer) as longest_run, cast(coalesce(most, 0) as bigint) as most_trigram, len(w.w) >= 10 and (coalesce(longest, 0) > 10 or coalesce(most, 0) > 5) as repetitive from w left join r using (doc_id) left join t using (doc_id)""",
+)
+def repetition_flags(spark, d):
+    docs = table(spark, d, "documents").selectExpr("doc_id", f"{text.fields('text')} as w")
+    grams = docs.selectExpr("doc_id", f"explode({text.trigrams('w')}) as g").groupBy("doc_id", "g").count().groupBy("doc_id").agg(F.max("count").alias("most"))
+    runs = docs.selectExpr("doc_id", "size(w) as n", f"{text.longest_run('w')} as longest_run")
+    return runs.join(grams, "doc_id", "left").selectExpr(
+        "doc_id", "longest_run", "coalesce(most, 0L) as most_trigram", "n >= 10 and (longest_run > 10 or coalesce(most, 0) > 5) as repetitive"
+    )
+
+
+@query(
+    "ocr_gate",
+    """with x as (select doc_id, text from documents union all select 100000000 + doc_id, substr(replace(text, ' ', ''), 1, 150) from documents),
+    c as (select doc_id, text, regexp_extract_all(text, '\\p{L}') as l, string_split(text, '') as c from x)
+    select doc_id, strlen(text) < 100 or len(l) = 0 or len(list_distinct(l)) / cast(len(l) as double) < 0.05
+      or len(list_filter(range(2, len(c) + 1), lambda i: c[i] = c[i - 1])) / cast(len(c) as double) > 0.3 as needs_ocr from c""",
+)
+def ocr_gate(spark, d):
+    docs = table(spark, d, "documents")
+    both = docs.select("doc_id", "text").unionByName(docs.selectExpr("100000000 + doc_id as doc_id", "substr(replace(text, ' ', ''), 1, 150) as text"))
+    return both.selectExpr("doc_id", f"{text.needs_ocr('text')} as needs_ocr")
+
+
+_PAGE = "case when doc_id % 3 = 0 then replace(text, ' ', chr(10)) when doc_id % 3 = 1 then replace(text, ' ', concat(' ', doc_id % 9, chr(10))) else text end"
+
+
+@query(
+    "toc_boilerplate_pages",
+    f"""with p as (select doc_id, {_PAGE} as t from documents), l as (select doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda l: {_TRIM.format('l')}), lambda l: l <> '') as ls from p)
+    select doc_id, len(string_split(t, chr(10))) >= 5 and len(ls) > 0 and
+      (case when len(list_filter(ls, lambda l: regexp_matches(l, '(?i)(глава|chapter|раздел|section|часть|part|unit|module)\\s+\\d+') and regexp_matches(l, '[.]{{3,}}\\s*\\d+\\s*$'))) / cast(len(ls) as double) > 0.2 then 1 else 0 end
+      + case when len(list_filter(ls, lambda l: regexp_matches(l, '\\s\\d{{1,4}}\\s*$'))) / cast(len(ls) as double) > 0.4 then 1 else 0 end
+      + case when list_sum(list_transform(ls, lambda l: strlen(l))) // len(ls) < 40 then 1 else 0 end) >= 2 as is_toc,
+      strlen({_TRIM.format('t')}) < 50 or regexp_matches({_TRIM.format('t')}, '^[0-9]+$') as is_boilerplate from l""",
+)
+def toc_boilerplate_pages(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", f"{_PAGE} as t").selectExpr(
+        "doc_id", f"{text.is_toc_page('t')} as is_toc", f"{text.is_boilerplate_page('t')} as is_boilerplate"
+    )
+
+
+@query(
+    "pdf_text",
+    """with p as (select doc_id // 10 as doc, doc_id as page, text from documents where strlen(trim(text)) >= 50) select doc, string_agg(text, chr(10) || chr(10) order by page) as text from p
+    where not (len(string_split(text, chr(10))) >= 5 and (case when len(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: regexp_matches(l, '\\s\\d{1,4}\\s*$'))) / cast(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) as double) > 0.4 then 1 else 0 end
+      + case when list_sum(list_transform(string_split(text, chr(10)), lambda l: strlen(trim(l)))) // len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) < 40 then 1 else 0 end) >= 2) group by doc""",
+)
+def pdf_text(spark, d):
+    return files.pdf_pages_to_text(table(spark, d, "documents").selectExpr("doc_id div 10 as doc", "doc_id as page", "text"))
+
+
+@query("word_counts", "select doc_id, cast(len(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: w <> '')) as integer) as n_words, cast(strlen(text) as integer) as n_bytes from documents")
+def word_counts(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", f"{text.word_count('text')} as n_words", "octet_length(text) as n_bytes")
+
+
+@query(
+    "frontmatter_roundtrip",
+    "select doc_id, source as author, lang as language, regexp_replace(text, '^[\\n\\r]+', '') as body from documents",
+)
+def frontmatter_roundtrip(spark, d):
+    md = table(spark, d, "documents").selectExpr("doc_id", "concat('---\\nauthor: \"', source, '\"\\nlang: ', lang, '\\n---\\n', text) as raw")
+    return md.selectExpr("doc_id", f"{text.frontmatter('raw')} as m", f"{text.strip_frontmatter('raw')} as body").selectExpr(
+        "doc_id", "m['author'] as author", "coalesce(try_element_at(m, 'language'), m['lang']) as language", "body"
+    )
+
+
+_PATH = "concat('dir/doc', doc_id, case doc_id % 9 when 0 then '.md' when 1 then '.MD' when 2 then '.pdf' when 3 then '.epub' when 4 then '.fb2' when 5 then '.mp3' when 6 then '.MP4' when 7 then '.zip' else '.txt' end)"
+
+
+@query(
+    "source_dispatch",
+    f"""with p as (select {_PATH} as path from documents union all select url from pages), k as (select path, case when starts_with(path, 'http://') or starts_with(path, 'https://') then 'url'
+    when regexp_matches(lower(path), '[.](mp3|wav|flac|ogg|m4a|aac)$') then 'audio' when regexp_matches(lower(path), '[.](mp4|mkv|avi|mov|webm|flv)$') then 'video' when lower(path) like '%.pdf' then 'pdf' when lower(path) like '%.epub' then 'epub'
+    when lower(path) like '%.fb2' or lower(path) like '%.zip' then 'fb2' when path like '%.md' or path like '%.markdown' then 'markdown' end as kind from p)
+    select path, kind, case when kind in ('url', 'audio', 'video') then 'transcript' when kind in ('pdf', 'epub', 'fb2') then 'book' when kind = 'markdown' then 'clean' end as content_type from k""",
+)
+def source_dispatch(spark, d):
+    paths = table(spark, d, "documents").selectExpr(f"{_PATH} as path").union(table(spark, d, "pages").select("url"))
+    return paths.selectExpr("path", f"{files.kind('path')} as kind").selectExpr("path", "kind", f"{files.content_type('kind')} as content_type")
+
+
+_WC = "len(list_filter(regexp_split_to_array({}, '[ \\n\\t]+'), lambda w: w <> ''))"
+
+
+@query(
+    "content_or_description",
+    f"""with x as (select doc_id, substr(text, 1, cast(doc_id % 50 as integer)) as c, case when doc_id % 6 = 0 then '' else substr(text, 1, 200) end as de from documents)
+    select doc_id, case when c = '' then de when de = '' then c when {_WC.format('c')} < {_WC.format('de')} * 30 // 100 then de else c end as picked from x""",
+)
+def content_or_description(spark, d):
+    x = table(spark, d, "documents").selectExpr("doc_id", "substr(text, 1, cast(doc_id % 50 as int)) as c", "if(doc_id % 6 = 0, '', substr(text, 1, 200)) as de")
+    return x.selectExpr("doc_id", f"{files.pick_content('c', 'de')} as picked")
+
+
+# Parsers --------------------------------------------------------------------------------------
+_REPLY = (
+    f"concat('type: ', case when doc_id % 4 = 0 then '<type>' when doc_id % 9 = 0 then '' else 'fact' end, chr(10), 'topic: ', lang, ', ', source, ',, x', chr(10), 'Summary: ', "
+    f"case when doc_id % 5 = 0 then '<summary>' else substr({_FLAT}, 1, 60) end, chr(10), 'confidence: 0.', doc_id % 10, chr(10), 'topic: ', lang, ', ', source)"
+)
+
+
+@query(
+    "kv_parse",
+    f"""with r as (select doc_id, {_REPLY} as r from documents), f as (select doc_id, {_TRIM.format("regexp_extract_all(r, '(?im)^[ \\t]*type:(.*)$', 1)[-1]")} as type, {_TRIM.format("regexp_extract_all(r, '(?im)^[ \\t]*topic:(.*)$', 1)[-1]")} as topic,
+    {_TRIM.format("regexp_extract_all(r, '(?im)^[ \\t]*summary:(.*)$', 1)[-1]")} as summary from r)
+    select doc_id, type, array_to_string(list_filter(list_transform(string_split(topic, ','), lambda t: trim(t)), lambda t: t <> ''), '|') as topics, summary,
+    type <> '' and not regexp_matches(type, '<\\w+>') and (case when regexp_matches(type, '<\\w+>') then 1 else 0 end + case when regexp_matches(summary, '<\\w+>') then 1 else 0 end) < 2 as valid from f""",
+)
+def kv_parse(spark, d):
+    r = table(spark, d, "documents").selectExpr("doc_id", f"{_REPLY} as r")
+    f = r.selectExpr("doc_id", *[f"{text.field('r', k)} as {k}" for k in ("type", "topic", "summary")])
+    m = "map('type', type, 'topic', topic, 'summary', summary)"
+    return f.selectExpr("doc_id", "type", f"array_join({text.comma_list('topic')}, '|') as topics", "summary", f"{parse.valid_result(m)} as valid")
+
+
+@query("kv_parse_multiline")
+def kv_parse_multiline(spark, d):
+    r = table(spark, d, "documents").selectExpr("doc_id", "concat('type: fact\\nsummary: ', text, '\\n\\nignored\\nmy_takeaway: a\\nb\\ntopic: x') as r")
+    return r.selectExpr("doc_id", f"{parse.key_values('r')} as m").selectExpr("doc_id", "m['type'] as type", "m['summary'] as summary", "m['my_takeaway'] as my_takeaway", "m['topic'] as topic")
+
+
+@query("typed_blocks")
+def typed_blocks(spark, d):
+    turns = table(spark, d, "conversations").selectExpr("conv_id", "turn", "concat('> ', role, ': turn=', turn, ', k=v\\n', text, if(turn % 3 = 2, '', '\\n<')) as b")
+    reply = turns.groupBy("conv_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(turn, b))), x -> x.b), '\\n')").alias("r"))
+    return reply.selectExpr("conv_id", f"posexplode({parse.typed_blocks('r')}) as (idx, b)").selectExpr("conv_id", "idx", "b.type", "b.params['turn'] as turn", "b.content")
+
+
+@query("chunk_markdown_parse")
+def chunk_markdown_parse(spark, d):
+    md = assemble.render(results(spark, d))
+    return md.selectExpr("doc_id", f"posexplode({parse.markdown_chunks('markdown')}) as (idx, c)").selectExpr("doc_id", "idx", "c.topic", "c.summary", "array_join(c.key_points, '|') as key_points", "c.content")
+
+
+@query(
+    "query_variants",
+    """with l as (select conv_id, string_agg(concat(turn + 1, case when turn % 2 = 0 then '. ' else ' - ' end, replace(text, chr(10), ' ')), chr(10) order by turn) as t from conversations group by conv_id),
+    v as (select conv_id, list_filter(list_transform(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: case when length(x) > 2 then regexp_replace(x, '^[0-9][^.]{0,3}[.][ \\t\\n\\x0B\\f\\r]*', '') else x end), lambda x: x <> '') as v from l)
+    select conv_id, cast(len(v) as integer) as n, array_to_string(v, '|') as variants from v""",
+)
+def query_variants(spark, d):
+    c = table(spark, d, "conversations").selectExpr("conv_id", "turn", "concat(turn + 1, if(turn % 2 = 0, '. ', ' - '), replace(text, '\\n', ' ')) as l")
+    t = c.groupBy("conv_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(turn, l))), x -> x.l), '\\n')").alias("t"))
+    return t.selectExpr("conv_id", f"{parse.variants('t')} as v").selectExpr("conv_id", "size(v) as n", "array_join(v, '|') as variants")
+
+
+@query(
+    "holistic_parse",
+    f"select doc_id, trim(substr({_FLAT}, 1, 50)) as thesis, concat(lang, '|', source) as domains from documents",
+)
+def holistic_parse(spark, d):
+    r = table(spark, d, "documents").selectExpr("doc_id", f"concat('core_thesis: old', chr(10), 'Core_Thesis: ', substr({_FLAT}, 1, 50), chr(10), 'domains: ', lang, chr(10), 'domains: ', source, ', ') as r")
+    every = "flatten(transform(regexp_extract_all(r, r'(?im)^[ \\t]*domains:(.*)$', 1), x -> " + text.comma_list("x") + "))"
+    return r.selectExpr("doc_id", f"{text.field('r', 'core_thesis')} as thesis", f"array_join({every}, '|') as domains")
+
+
+@query("causal_parse")
+def causal_parse(spark, d):
+    r = table(spark, d, "documents").selectExpr("doc_id", f"concat('- cause: ', lang, '\\nmechanism: m\\neffect: ', source, '\\nrelation: leads_to\\n- cause: b\\neffect: c\\npreconditions:\\n- ', substr({_FLAT}, 1, 20), '\\ncounterfactuals:\\n- none') as r")
+    return r.selectExpr("doc_id", f"{parse.causal('r')} as c").selectExpr("doc_id", f"{parse.render_causal('c.chains')} as chains", "array_join(c.preconditions, '|') as preconditions", "array_join(c.counterfactuals, '|') as counterfactuals")
+
+
+# Aggregation and assembly ---------------------------------------------------------------------
+@query("topic_union", _R + "select doc_id, string_agg(t, '|' order by t) as topics from (select distinct doc_id, unnest(list_concat(case when topic <> '' then [topic] else [] end, topics, domains)) as t from r) group by doc_id")
+def topic_union(spark, d):
+    return assemble.topic_union(results(spark, d))
+
+
+@query("takeaways", _R + "select doc_id, coalesce(string_agg(my_takeaway, '|' order by index) filter (where my_takeaway <> ''), '') as takeaways from r group by doc_id")
+def takeaways(spark, d):
+    return assemble.takeaways(results(spark, d))
+
+
+@query("doc_summary", _R + ", t as (select doc_id, topic, min(index) as i from r where topic <> '' group by all), n as (select *, row_number() over (partition by doc_id order by i) as n from t) select doc_id, 'Document covering: ' || string_agg(topic, ', ' order by i) as summary from n where n <= 5 group by doc_id")
+def doc_summary(spark, d):
+    return assemble.doc_summary(results(spark, d))
+
+
+@query("holistic_input", _R + "select doc_id, coalesce(string_agg(summary, chr(10) || chr(10) order by index) filter (where summary <> ''), '') as text from r group by doc_id")
+def holistic_input(spark, d):
+    return assemble.holistic_input(results(spark, d))
+
+
+@query("causal_input", _R + "select doc_id, string_agg(concat(case when summary <> '' then concat('[chunk ', index + 1, '] ', summary, chr(10)) else '' end, '  Key points: ', array_to_string(key_points, '; ')), chr(10) order by index) as text from r group by doc_id")
+def causal_input(spark, d):
+    return assemble.causal_input(results(spark, d))
+
+
+@query(
+    "assemble_metadata",
+    _R + f"select doc_id, cast(sum({_WC.format('content')}) as bigint) as word_count, count(*) as n_chunks, case when avg(confidence) >= 0.7 then 'high' when avg(confidence) >= 0.4 then 'medium' else 'low' end as confidence, 'processed' as status from r group by doc_id",
+)
+def assemble_metadata(spark, d):
+    return assemble.metadata(results(spark, d))
+
+
+@query(
+    "assemble_markdown",
+    _R + """, f as (select *, list_filter(key_points, lambda k: trim(k, ' ') <> '') as kp, regexp_replace(summary, '^[ \\t\\n\\x0B\\f\\r]+$', '') as s from r where type <> '' or summary <> ''),
+    b as (select doc_id, string_agg(concat('## chunk_', case when index + 1 < 10 then concat('0', index + 1) else substr(cast(index + 1 as varchar), 1, 2) end, chr(10), chr(10), case when type = '' then '' else concat('type: ', type, chr(10)) end, concat('topic: ', topic, chr(10)),
+      case when s = '' then '' else concat('summary: ', summary, chr(10)) end, 'key_points:', chr(10), coalesce(array_to_string(list_transform(kp, lambda k: concat('- ', k, chr(10))), ''), ''),
+      case when my_takeaway = '' then '' else concat('my_takeaway: ', my_takeaway, chr(10)) end, 'confidence: ', case when confidence >= 0.7 then 'high' when confidence >= 0.4 then 'medium' else 'low' end, chr(10)), chr(10) order by index) as body from f group by doc_id)
+    select doc_id, concat('---', chr(10), 'id: ', doc_id, chr(10), 'language: ru', chr(10), 'status: processed', chr(10), '---', chr(10), chr(10), coalesce(body, '')) as markdown from (select distinct doc_id from r) left join b using (doc_id)""",
+)
+def assemble_markdown(spark, d):
+    return assemble.render(results(spark, d))
+
+
+@query("titles", f"select {_PATH} as path, concat('doc', doc_id) as title from documents")
+def titles(spark, d):
+    return table(spark, d, "documents").selectExpr(f"{_PATH} as path").selectExpr("path", f"{text.title('path')} as title")
+
+
+# Telemetry ------------------------------------------------------------------------------------
+_SUMS = "count(*) as calls, round(sum(cost), 6) as cost, cast(sum(prompt_tokens) as bigint) as tokens_in, cast(sum(completion_tokens) as bigint) as tokens_out"
+
+
+@query("llm_cost", _C + "select seq, model, round(cost, 10) as cost from c")
+def llm_cost(spark, d):
+    return calls(spark, d).selectExpr("seq", "model", "round(cost, 10) as cost")
+
+
+@query("telemetry_totals", _C + f"select {_SUMS}, cast(sum(prompt_chars) as bigint) as chars_in, cast(sum(completion_chars) as bigint) as chars_out from c")
+def telemetry_totals(spark, d):
+    return telemetry.totals(calls(spark, d))
+
+
+@query("stage_breakdown", _C + f"select stage, {_SUMS} from c where stage <> '' group by stage")
+def stage_breakdown(spark, d):
+    return telemetry.stage_breakdown(calls(spark, d))
+
+
+@query("model_usage", _C + f"select model, {_SUMS} from c where success and model <> '' group by model")
+def model_usage(spark, d):
+    return telemetry.model_usage(calls(spark, d))
+
+
+@query("chunk_cost", _C + "select source, chunk_index, arg_max(model, seq) as model, round(arg_max(cost, seq), 10) as cost, arg_max(latency_ms, seq) as latency_ms from c where success and cost > 0 group by all")
+def chunk_cost(spark, d):
+    return telemetry.chunk_cost(calls(spark, d)).selectExpr("source", "chunk_index", "model", "round(cost, 10) as cost", "latency_ms")
+
+
+@query(
+    "status_stats",
+    _C + """, k as (select source, success as done, not success as failed, latency_ms, prompt_tokens, completion_tokens, cost from c) select source, cast(count_if(done) as bigint) as chunks_done, cast(count_if(failed) as bigint) as chunks_failed, count(*) as chunks_total,
+    cast(sum(case when done then latency_ms else 0 end) // count_if(done) as bigint) as avg_latency_ms, cast(sum(case when done then prompt_tokens else 0 end) // count_if(done) as bigint) as avg_tokens_in, round(sum(case when done then cost else 0 end) / count_if(done), 8) as avg_cost,
+    cast(count_if(done) as double) / count(*) as success_rate from k group by source""",
+)
+def status_stats(spark, d):
+    c = calls(spark, d).selectExpr("source", "success as done", "not success as failed", "latency_ms as duration_ms", "prompt_tokens as tokens_in", "completion_tokens as tokens_out", "cost")
+    return telemetry.status_stats(c)
+
+
+@query(
+    "stage_timing",
+    _C + """, t as (select source, stage, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) // 1000 as ms from c group by all), s as (select *, (ms + 500) // 1000 as x from t) select source, stage, cast(ms as bigint) as ms,
+    concat(case when x >= 86400 then concat(x // 86400, 'd ') else '' end, case when x >= 3600 then concat(x // 3600 % 24, 'h ') else '' end, case when x >= 60 then concat(x // 60 % 60, 'm ') else '' end, x % 60, 's') as human from s""",
+)
+def stage_timing(spark, d):
+    return telemetry.stage_timing(calls(spark, d))
+
+
+_STATES = "select source, case seq % 5 when 0 then 'skipped' when 1 then 'failed' else 'done' end as state, prompt_tokens as tokens_in, cost from {c}"
+
+
+@query(
+    "batch_rollup",
+    _C + ", s as (" + _STATES.format(c="c") + ") select cast(count_if(state = 'done') as bigint) as processed, cast(count_if(state = 'skipped') as bigint) as skipped, cast(count_if(state = 'failed') as bigint) as failed, cast(sum(case when state = 'done' then tokens_in else 0 end) as bigint) as tokens_in, round(sum(case when state = 'done' then cost else 0 end), 6) as cost from s",
+)
+def batch_rollup(spark, d):
+    return telemetry.rollup(spark.sql(_STATES, c=calls(spark, d)))
+
+
+@query("resume_work", _PACKED + ", r as (select doc_id, chunk_idx from k where (doc_id + chunk_idx) % 3 <> 0 and not (doc_id % 5 = 0)) select doc_id, cast(chunk_idx as integer) as chunk_idx from k where (doc_id, chunk_idx) not in (select (doc_id, chunk_idx) from r)")
+def resume_work(spark, d):
+    chunks = split.chunk_documents(table(spark, d, "documents")).select("doc_id", "chunk_idx")
+    stored = chunks.where("(doc_id + chunk_idx) % 3 <> 0").selectExpr("doc_id", "chunk_idx", "if(doc_id % 5 = 0, '', 's') as summary", "'' as type")
+    return telemetry.remaining(chunks, stored)
+
+
+@query("telemetry_windows", _C + "select date_trunc('hour', timestamp) as window_start, stage, count(*) as calls, cast(sum(prompt_tokens + completion_tokens) as bigint) as tokens, cast(count_if(not success) as bigint) as failures from c group by all")
+def telemetry_windows(spark, d):
+    return streams.windows(calls(spark, d))
+
+
+@query(
+    "sse_reassembly",
+    "select conv_id as call_id, string_agg(text, '' order by turn) as content, true as finished from conversations group by conv_id",
+)
+def sse_reassembly(spark, d):
+    c = table(spark, d, "conversations")
+    one = "concat('data: ', to_json(named_struct('choices', array(named_struct('delta', named_struct('content', text))))))"
+    lines = c.selectExpr("conv_id as call_id", "turn * 2 as seq", f"{one} as line").unionByName(c.selectExpr("conv_id as call_id", "turn * 2 + 1 as seq", "if(turn = 0, 'data: {broken', 'data: [DONE]') as line"))
+    done = c.selectExpr("conv_id as call_id", "cast(1000000 as bigint) as seq", "'data: [DONE]' as line").distinct()
+    return telemetry.reassemble(lines.unionByName(done))
+
+
+# Retrieval ------------------------------------------------------------------------------------
+_ID = "cast(list_reduce(list_transform(range(1, 9), lambda i: cast(ascii(substr(sha256({x}), i, 1)) as hugeint)), lambda a, b: a * 256 + b) as bigint)"
+
+
+@query("point_ids", _PACKED + f"select concat(doc_id, ':chunk_', chunk_idx) as chunk_id, {_ID.format(x=chr(99) + 'oncat(doc_id, ' + chr(39) + ':chunk_' + chr(39) + ', chunk_idx)')} as point_id from k")
+def point_ids(spark, d):
+    c = split.chunk_documents(table(spark, d, "documents")).selectExpr("concat(doc_id, ':chunk_', chunk_idx) as chunk_id")
+    return c.selectExpr("chunk_id", f"{text.point_id('chunk_id')} as point_id")
+
+
+@query(
+    "upsert_points",
+    "with n as (select vec_id % 100 as id, vec_id as seq, label from embeddings where vec_id % 2 = 0), l as (select id, max(seq) as seq, arg_max(label, seq) as label from n group by id) select * from l union all select vec_id as id, vec_id as seq, label from embeddings where vec_id not in (select id from l)",
+)
+def upsert_points(spark, d):
+    e = table(spark, d, "embeddings")
+    return search.upsert(e.selectExpr("vec_id as id", "vec_id as seq", "label"), e.where("vec_id % 2 = 0").selectExpr("vec_id % 100 as id", "vec_id as seq", "label"))
+
+
+TOP = 10
+_DENSE = f"""dense as (select vec_id as id, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) as score from embeddings order by score desc, id limit {2 * TOP}),
+dr as (select *, row_number() over (order by score desc, id) as rank from dense)"""
+
+
+def _query_vector(spark, d) -> list[float]:
+    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+@query("dense_topk", f"with {_DENSE} select id, round(score, 9) as score, rank from dr")
+def dense_topk(spark, d):
+    hits = search.dense_topk(table(spark, d, "embeddings"), _query_vector(spark, d), 2 * TOP, "vec_id", "embedding")
+    return hits.selectExpr("id", "round(score, 9) as score", "cast(rank as bigint) as rank")
+
+
+TERMS = ["the", "of", "la", "und"]
+_TFS = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as tf{i}" for i, t in enumerate(sorted(TERMS)))
+_BM25 = (
+    "w as (select doc_id as id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w from documents), t as (select id, len(w) as dl, " + _TFS + " from w), "
+    "st as (select count(*) as n, avg(dl) as avgdl, " + ", ".join(f"count_if(tf{i} > 0) as df{i}" for i in range(len(TERMS))) + " from t), "
+    "sp as (select id, " + " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))" for i in range(len(TERMS))) + " as score from t, st where " + " or ".join(f"tf{i} > 0" for i in range(len(TERMS))) + ")"
+)
+
+
+@query("bm25_topk", f"with {_BM25} select id, round(score, 9) as score from (select id, score from sp order by round(score, 9) desc, id limit {2 * TOP})")
+def bm25_topk(spark, d):
+    hits = search.bm25(table(spark, d, "documents"), " ".join(TERMS)).selectExpr("id", "round(score, 9) as score")
+    return hits.orderBy(F.desc("score"), "id").limit(2 * TOP)
+
+
+@query(
+    "rrf_hybrid",
+    f"""with {_DENSE}, {_BM25}, sr as (select id, score, row_number() over (order by score desc, id) as rank from (select id, round(score, 9) as score from sp order by 2 desc, 1 limit {2 * TOP})),
+    f as (select coalesce(dr.id, sr.id) as id, coalesce(dr.score, sr.score) as score, coalesce(dr.rank, (select count(*) from dr) + 1) as dense_rank, coalesce(sr.rank, (select count(*) from sr) + 1) as sparse_rank from dr full join sr on dr.id = sr.id)
+    select id, round(score, 9) as score, cast(dense_rank as bigint) as dense_rank, cast(sparse_rank as bigint) as sparse_rank, round(1.0::double / (60 + dense_rank) + 1.0::double / (60 + sparse_rank), 12) as rrf_score from f order by rrf_score desc, id limit {TOP}""",
+)
+def rrf_hybrid(spark, d):
+    dense = search.dense_topk(table(spark, d, "embeddings"), _query_vector(spark, d), 2 * TOP, "vec_id", "embedding")
+    out = search.rrf(dense, search.ranked(bm25_topk(spark, d)), TOP)
+    return out.selectExpr("id", "round(score, 9) as score", "cast(dense_rank as bigint) as dense_rank", "cast(sparse_rank as bigint) as sparse_rank", "round(rrf_score, 12) as rrf_score")
+
+
+@query("search_output")
+def search_output(spark, d):
+    """Hits as JSON lines, content cut to 500 bytes."""
+    docs = table(spark, d, "documents").selectExpr("doc_id as id", "source as file", "lang as topic", "text")
+    return rrf_hybrid(spark, d).join(docs, "id").selectExpr("id", f"to_json(struct(concat(id, ':chunk_0') as chunk_id, file, score, rrf_score, topic, {text.byte_cut('text', 500)} as content)) as line")
+
+
+@query("index_pipeline")
+def index_pipeline(spark, d):
+    """Chunk, call the (offline, synthetic) model, parse, embed and key every document."""
+    chunks = split.chunk_documents(table(spark, d, "documents"))
+    replies = providers.call_model(chunks, providers.Offline(), "chunk", r"(?m)^type: \w")
+    parsed = replies.selectExpr("concat(doc_id, ':chunk_', chunk_idx) as id", "attempts", "error", f"{parse.key_values('response')} as m")
+    return parsed.selectExpr("id", f"{text.point_id('id')} as point_id", "m['topic'] as topic", "m['summary'] as summary", f"{parse.valid_result('m')} as valid", "attempts")
+
+
+_MODELS = "select * from (values ('bge-m3'), ('nomic-embed'), ('text-embedding-3-small'), ('text-embedding-3-large'), ('text-embedding-ada-002'), ('x')) as m(model)"
+
+
+@query(
+    "vector_sizes",
+    f"with m as ({_MODELS}) select model, cast(case when contains(model, 'bge-m3') then 1024 when contains(model, 'nomic') then 768 when contains(model, '3-small') or contains(model, 'ada') then 1536 when contains(model, '3-large') then 3072 else 1024 end as integer) as width from m",
+)
+def vector_sizes(spark, d):
+    return spark.sql(_MODELS).selectExpr("model", f"{text.vector_size('model')} as width")
