@@ -147,9 +147,8 @@ def duration(seconds: str) -> str:
 
 def byte_cut(x: str, n: int) -> str:
     """At most n bytes, ending at a character boundary, with ... if cut."""
-    head = f"substring(encode({x}, 'utf-8'), 1, {n})"
-    cut = f"regexp_replace(try_validate_utf8(decode({head}, 'utf-8')), r'\\x{{FFFD}}+$', '')"
-    return f"if(octet_length({x}) <= {n}, {x}, concat({cut}, '...'))"
+    cuts = f"transform(sequence(0, 3), i -> cast(substring(encode({x}, 'utf-8'), 1, {n} - i) as string))"
+    return f"if(octet_length({x}) <= {n}, {x}, concat(filter({cuts}, c -> is_valid_utf8(c))[0], '...'))"
 
 
 def yaml_field(key: str, value: str) -> str:

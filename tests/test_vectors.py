@@ -123,17 +123,16 @@ def test_markdown_folder(spark, tmp_path):
     assert [r.text for r in files.read_markdown(spark, str(tmp_path)).collect()] == ["body"]
 
 
-class Shaky:
-    def chat(self, stage, t):
-        if t == "boom":
-            raise providers.Unavailable("down")
-        return "nonsense"
-
-    def embed(self, texts):
-        raise providers.Unavailable("down")
+def test_providers(spark):
+    class Shaky:
+        def chat(self, stage, t):
+            if t == "boom":
+                raise providers.Unavailable("down")
+            return "nonsense"
 
+        def embed(self, texts):
+            raise providers.Unavailable("down")
 
-def test_providers(spark):
     rows = spark.createDataFrame([("d", 0, "boom"), ("d", 1, "x")], "doc_id string, chunk_idx int, text string")
     got = {r.chunk_idx: r for r in providers.call_model(rows, Shaky(), "chunk", "^type").collect()}
     assert "down" in got[0].error and got[0].attempts == 1 and got[1].attempts == 3 and got[1].error == "invalid reply"
