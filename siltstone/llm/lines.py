@@ -61,7 +61,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
         .selectExpr("id", "xxhash64(id, t) as row", f"{pieces('t')} as p")
-        .selectExpr("row", "id", r"transform(p, x -> trim(translate(x, '\n\r\t', '   '))) as p")
+        .selectExpr("row", "id", r"transform(p, x -> trim(BOTH ' \n\r\t' FROM x)) as p")
         .selectExpr(
             "row", "id", "transform(p, x -> xxhash64(x)) as h",
             "transform(p, x -> least(1 + length(x) - length(replace(x, ' ', '')), 1000)) as n",
@@ -116,25 +116,24 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated lines cut from the text, plus ``n_lines`` and ``n_removed``.
+    """``docs`` with repeated lines cut from the text, plus ``n_removed``.
 
-    Every row is returned.  A null text stays null (one empty line, none removed); a text whose
+    Every row is returned.  A null text stays null (none removed); a text whose
     lines are all repeated becomes empty.  Equal rows (same id and text) count as one document
     and stay equal; rows that share an id only are ordered by a hash of their text.  Null ids sort
-    first.  Columns other than id and text pass through, save n_lines and n_removed of their own.
+    first.  Columns other than id and text pass through, save an n_removed of their own.
     """
     cut = repeated_lines(docs, id_col, text_col, min_words).withColumnRenamed("row", "__row").withColumnRenamed("cut", "__cut")
-    base = docs.drop("n_lines", "n_removed")
-    keep = "array_join(transform(array_except(sequence(1, size(__p)), __cut), i -> __p[i - 1]), '')"
+    base = docs.drop("n_removed")
+    p = pieces(f"cast(`{text_col}` as string)")
+    kept = f"transform(array({p}), p -> array_join(transform(array_except(sequence(1, size(p)), __cut), i -> p[i - 1]), ''))[0]"
     out = (
         base.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
         .join(cut, F.col("__key") == F.col("__row"), "left")
-        .withColumn("__p", F.expr(pieces(f"cast(`{text_col}` as string)")))
-        .withColumn(text_col, F.expr(f"if(__cut is null, `{text_col}`, {keep})"))
-        .withColumn("n_lines", F.expr("size(__p)"))
+        .withColumn(text_col, F.expr(f"if(__cut is null, `{text_col}`, {kept})"))
         .withColumn("n_removed", F.expr("coalesce(size(__cut), 0)"))
     )
-    return out.select(*base.columns, "n_lines", "n_removed")
+    return out.select(*base.columns, "n_removed")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
