@@ -44,7 +44,7 @@ def list_directory(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """-> (path, text) without frontmatter."""
-    files = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.where("(endswith(path, '.md') or endswith(path, '.markdown')) and not startswith(substring_index(path, '/', -1), '._')").selectExpr(
         "path", f"{strip_frontmatter('value')} as text"
     )
