@@ -74,3 +74,17 @@ def slices(batch, column: str, limit: int = 4 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, int(ends[start]) + limit, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is among ``ids (id)``."""
+    name = fresh(docs, "drop")
+    return docs.join(ids.select(F.col("id").alias(name)), F.col(id_col) == F.col(name), "left_anti")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, small
+from .common import materialize, read, small, without
 
 WINDOW = 13
 #: Contaminated: at least one word in twenty is hit.
@@ -144,8 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated documents; of rows with one id, all go if one must."""
-    bad = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col("id").alias("__drop")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__drop"), "left_anti")
+    return without(docs, id_col, contamination(docs, items, id_col, text_col).where("contaminated").select("id").distinct())
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ class Hashing:
                     inside[-k:] = False
                 cols.append((((acc + np.uint64(salt * (k + 1))) * np.uint64(_MULT[1])) >> np.uint64(64 - self.bits)).astype(np.int32))
                 ok.append(inside)
-        return np.array(cols).reshape(-1, n), np.array(ok).reshape(-1, n), offsets
+        return np.array(cols).reshape(len(cols), n), np.array(ok).reshape(len(ok), n), offsets
 
     def sparse(self, texts):
         """Arrow strings -> for each text (columns, values), L2-normalised square roots of counts."""

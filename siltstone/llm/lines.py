@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import fresh, materialize, read
 
 MIN_WORDS = 25
 #: Up to so many repeated fingerprints in a document, its spans are filtered by them; beyond, all
@@ -123,15 +123,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and stay equal; rows that share an id only are ordered by a hash of their text.  Null ids sort
     first.  Columns other than id and text pass through, save an n_removed of their own.
     """
-    cut = repeated_lines(docs, id_col, text_col, min_words).withColumnRenamed("row", "__row").withColumnRenamed("cut", "__cut")
     base = docs.drop("n_removed")
+    row, key, cut = (fresh(base, x) for x in ("row", "key", "cut"))
+    gone = repeated_lines(docs, id_col, text_col, min_words).select(F.col("row").alias(row), F.col("cut").alias(cut))
     p = pieces(f"cast(`{text_col}` as string)")
-    kept = f"transform(array({p}), p -> array_join(transform(array_except(sequence(1, size(p)), __cut), i -> p[i - 1]), ''))[0]"
+    kept = f"transform(array({p}), p -> array_join(transform(array_except(sequence(1, size(p)), {cut}), i -> p[i - 1]), ''))[0]"
     out = (
-        base.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
-        .join(cut, F.col("__key") == F.col("__row"), "left")
-        .withColumn(text_col, F.expr(f"if(__cut is null, `{text_col}`, {kept})"))
-        .withColumn("n_removed", F.expr("coalesce(size(__cut), 0)"))
+        base.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+        .join(gone, F.col(key) == F.col(row), "left")
+        .withColumn(text_col, F.expr(f"if({cut} is null, `{text_col}`, {kept})"))
+        .withColumn("n_removed", F.expr(f"coalesce(size({cut}), 0)"))
     )
     return out.select(*base.columns, "n_removed")
 

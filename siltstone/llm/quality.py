@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import read, slices
+from .common import read, slices, without
 from .features import Ftrl, Hashing
 
 #: Bound of the labelled rows a model is fitted on.
@@ -93,5 +93,4 @@ def op1(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows scored below the threshold (of rows with one id, all go if one
     must)."""
-    bad = score(docs, fit(docs, labels)).where(F.col("score") < THRESHOLD).select(F.col("id").alias("__drop")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__drop"), "left_anti")
+    return without(docs, "doc_id", score(docs, fit(docs, labels)).where(F.col("score") < THRESHOLD).select("id").distinct())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import materialize, slices
+from .common import materialize, slices, without
 from .components import connected_components
 
 #: Generator polynomial of the binary Golay code.
@@ -171,8 +171,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose component has a smaller id."""
     groups = simhash_components(docs, id_col, text_col)
-    drop = groups.where("id <> component_id").select(F.col("id").alias("__drop"))
-    return docs.join(drop, docs[id_col] == F.col("__drop"), "left_anti")
+    return without(docs, id_col, groups.where("id <> component_id"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
