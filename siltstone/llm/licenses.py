@@ -75,7 +75,8 @@ def examples(words: list[str], seed: int = 7) -> list[tuple[str, str | None]]:
         w = sentence.split()
         if rng.random() < 0.3:
             w = [x.upper() if rng.random() < 0.5 else x.lower() for x in w]
-        return " ".join(around(12) + w + around(12)) + rng.choice(["", ".", "!", "###"])
+        most = rng.choice((4, 12, 30))
+        return " ".join(around(most) + w + around(most)) + rng.choice(["", ".", "!", "###"])
 
     out: list[tuple[str, str | None]] = [(spot(t), f) for f, ts in TEMPLATES.items() for t in ts for _ in range(24)]
     out += [(spot(t), None) for t in OTHER for _ in range(16)]
