@@ -83,7 +83,7 @@ def variants(x: str) -> str:
 
 def causal(x: str) -> str:
     """Causal chains, preconditions and counterfactuals.  A bullet that ends a chain counts for
-    its section (the reference drops it)."""
+    its section."""
     link = "struct<cause:string,mechanism:string,effect:string,relation:string>"
     none = f"cast(null as {link})"
     t, low = trim("l"), f"lower({trim('l')})"
