@@ -53,10 +53,26 @@ def _span(part: str, min_words: int) -> str:
     )
 
 
+def _short_span(min_words: int, most: int = 6) -> str:
+    """SQL: the same for the elements of ``n`` from the i-th on, as plain sums; 0 beyond ``most``."""
+    sums = (" + ".join(f"get(n, i + {k})" for k in range(-1, j)) for j in range(most))
+    return "case " + " ".join(f"when {x} >= {min_words} then {j}" for j, x in enumerate(sums, 1)) + " else 0 end"
+
+
+def _minimum() -> str:
+    """SQL: in the window of ``w`` lines from the 0-based i on, the 1-based place of the smallest
+    hash, the first at a tie; 0 for no window.  Most windows have three lines at most."""
+    a, b, c, part = "get(h, i)", "get(h, i + 1)", "get(h, i + 2)", "slice(h, i + 1, w)"
+    return (
+        f"case w when 0 then 0 when 1 then 1 when 2 then if({a} <= {b}, 1, 2) "
+        f"when 3 then if({a} <= {b}, if({a} <= {c}, 1, 3), if({b} <= {c}, 2, 3)) "
+        f"else cast(array_position({part}, array_min({part})) as int) end"
+    )
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """-> (row, id, h, w): by line its hash and its window's length in lines (0: none).  A line's
-    words are what single spaces part."""
-    short = _span("slice(n, i, 6)", min_words)
+    """-> (row, id, h, w, o): by line its hash, its window's length in lines (0: none) and the
+    place in the window of the selected line.  A line's words are what single spaces part."""
     full = _span(f"slice(n, i + 1, {min_words})", min_words)
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -64,17 +80,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
         .selectExpr("row", "id", r"transform(p, x -> trim(BOTH ' \n\r\t' FROM x)) as p")
         .selectExpr(
             "row", "id", "transform(p, x -> xxhash64(x)) as h",
-            "transform(p, x -> least(1 + length(x) - length(replace(x, ' ', '')), 1000)) as n",
+            "transform(p, x -> least(1 + octet_length(x) - octet_length(replace(x, ' ', '')), 1000)) as n",
         )
-        .selectExpr("*", f"transform(sequence(1, size(h)), i -> {short}) as s")
+        .selectExpr("*", f"transform(sequence(1, size(h)), i -> {_short_span(min_words)}) as s")
         .selectExpr("row", "id", "h", f"transform(s, (x, i) -> if(x > 0, x, {full})) as w")
+        .selectExpr("*", f"transform(w, (w, i) -> {_minimum()}) as o")
     )
 
 
 def fingerprints(sig: DataFrame) -> DataFrame:
     """-> (row, f): each selected line's hash."""
-    part = "slice(h, i, w[i - 1])"
-    chosen = f"array_distinct(transform(filter(sequence(1, size(h)), i -> w[i - 1] > 0), i -> i - 1 + cast(array_position({part}, array_min({part})) as int)))"
+    chosen = "array_distinct(filter(transform(o, (x, i) -> if(x > 0, i + x, 0)), i -> i > 0))"
     return sig.selectExpr("row", f"explode(transform({chosen}, i -> h[i - 1])) as f")
 
 
@@ -86,7 +102,7 @@ def spans(sig: DataFrame, hits: DataFrame) -> DataFrame:
     spans to the left of their ends start at b for the ends from there up to before the end of the
     next line's window.
     """
-    known = f"(size(r) > {FILTER_UP_TO} or array_contains(r, array_min(slice(h, b, w[b - 1]))))"
+    known = f"(size(r) > {FILTER_UP_TO} or array_contains(r, h[b + o[b - 1] - 2]))"
     stop = "if(b < size(h) and w[b] > 0, b + w[b] - 1, size(h))"
     ends = f"sequence(b + w[b - 1] - 1, greatest(b + w[b - 1] - 1, {stop}))"
     starts = f"filter(sequence(1, size(h)), b -> w[b - 1] > 0 and {known})"
