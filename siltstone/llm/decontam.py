@@ -5,7 +5,8 @@ term, written to the shared folder, and one end-of-text posting per document tha
 count.  Search: for each window of a test item the rarest term by corpus frequency is its anchor;
 an anchor's postings, less its place in the item, are the alignments (document, item, offset).
 The item's terms, shifted by the offset, are intersected with the document's postings; 13
-consecutive survivors (or the whole shorter item) are an exact phrase match.
+consecutive survivors (or the whole shorter item) are an exact phrase match.  Proximity matches
+(op8's further columns) need most of a window's terms near each other, in any order.
 
 Broadcast are only the benchmark's own terms, anchors and items, and only when counted small;
 larger ones are joined by shuffle.
@@ -21,6 +22,8 @@ from .common import materialize, read, small, without
 WINDOW = 13
 #: Contaminated: at least one word in twenty is hit.
 SHARE = 20
+#: Words of a document by which proximity matches start.
+BLOCK = 64
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,7 +42,7 @@ class PositionalIndex:
     items with words, as term ids.
     """
 
-    def __init__(self, docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text"):
+    def __init__(self, docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", near: bool = True):
         own = materialize(
             items.select(F.col(item_col).alias("item_id"), words(item_text).alias("w")).where("size(w) > 0")
             .withColumn("irow", F.monotonically_increasing_id()),
@@ -51,16 +54,19 @@ class PositionalIndex:
         by_place = placed.join(small(self.terms), "term").groupBy("irow").agg(F.array_sort(F.collect_list(F.struct("p", "tid"))).alias("t"))
         self.items = materialize(own.select("irow", "item_id").join(by_place, "irow").selectExpr("irow", "item_id", "t.tid as t"), "item_terms")
         end = docs.sparkSession.sql("select '' as term, -1 as tid")
-        tokens = (
-            docs.select(F.col(id_col).alias("id"), F.concat(words(text_col), F.array(F.lit(""))).alias("w"))
-            .withColumn("row", F.monotonically_increasing_id())
-            .select("id", "row", F.posexplode("w").alias("pos", "term"))
-        )
+        texts = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).withColumn("row", F.monotonically_increasing_id())
+        if near:
+            texts = self.texts = materialize(texts, "texts")
+        tokens = texts.select("id", "row", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "term"))
         lookup = small(materialize(self.terms.unionByName(end), "lookup"))
         self.postings = materialize(
             tokens.join(lookup, "term").select("tid", "row", "pos", F.when(F.col("tid") == -1, F.col("id")).alias("id")), "postings"
         )
 
+    def hashes(self) -> DataFrame:
+        """-> (row, w array<bigint>): the documents' words, hashed."""
+        return self.texts.selectExpr("row", "transform(w, x -> xxhash64(x)) as w")
+
     def frequencies(self) -> DataFrame:
         return self.postings.where("tid >= 0").groupBy("tid").agg(F.count("*").alias("cf"))
 
@@ -104,42 +110,82 @@ class PositionalIndex:
             .where("size(hit) > 0")
         )
 
-    def proximity(self, span: int = 2 * WINDOW, share: float = 0.8) -> DataFrame:
-        """Proximity matches -> (row, item_id, start): alignments-free search for places where
-        at least ``share`` of an item's distinct anchor terms stand within ``span`` words."""
-        anchors = small(materialize(self.anchors(), "anchors"))
-        own = anchors.groupBy("irow").agg(F.countDistinct("tid").alias("want"))
-        seen = self.postings.where("tid >= 0").join(anchors.select("tid", "irow").distinct(), "tid")
-        near = Window.partitionBy("row", "irow").orderBy("pos").rangeBetween(0, span - 1)
+    def near_anchors(self, share: float = 0.8) -> DataFrame:
+        """-> (tid, irow): of a window's n distinct terms at least k must be near, so n - k may
+        miss, and one of its n - k + 1 rarest must be there."""
+        freq = materialize(self.frequencies(), "cf")
+        counted = self.windows(share).selectExpr("irow", "win", "n - k + 1 as most", "explode(ts) as tid").join(small(freq), "tid", "left")
+        rarest = counted.groupBy("irow", "win").agg(F.first("most").alias("most"), F.array_sort(F.collect_list(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "tid"))).alias("a"))
+        return rarest.selectExpr("explode(slice(a, 1, most)) as x", "irow").select("x.tid", "irow").distinct()
+
+    def windows(self, share: float = 0.8) -> DataFrame:
+        """-> (irow, win, words, ts, n, k): by item window its distinct terms, their number and
+        how many of them make a match."""
+        words = f"least({WINDOW}, size(t))"
+        wins = self.items.selectExpr("irow", f"{words} as words", f"posexplode(transform(sequence(1, size(t) - {words} + 1), s -> array_distinct(slice(t, s, {words})))) as (win, ts)")
+        return wins.selectExpr("irow", "win", "words", "ts", "size(ts) as n", f"cast(ceil({share!r}D * size(ts) - 1e-9D) as int) as k")
+
+    def proximity(self, span: int | None = None, share: float = 0.8) -> DataFrame:
+        """Proximity matches -> (row, item_id, start): the first places where at least ``share``
+        of the distinct terms of one of an item's windows stand within ``span`` words (twice the
+        window's own), in any order.
+
+        Documents are looked at in blocks of BLOCK words and the span behind them, and only where
+        a block holds one of the item's anchors; words are compared by 64-bit hashes.
+        """
+        reach = (span or 2 * WINDOW) - 1
+        anchors = small(materialize(self.near_anchors(share), "near_anchors"))
+        blocks = f"sequence(cast(greatest(0, pos - {reach}) div {BLOCK} as int), cast(pos div {BLOCK} as int))"
+        at = self.postings.where("tid >= 0").join(anchors, "tid").selectExpr("row", "irow", f"explode({blocks}) as block").distinct()
+        hashed = self.terms.selectExpr("tid", "xxhash64(term) as h")
+        wins = materialize(
+            self.windows(share).selectExpr("irow", "win", f"{span or '2 * words'} as span", "k", "explode(ts) as tid").join(small(hashed), "tid")
+            .groupBy("irow", "win", "span", "k").agg(F.collect_list("h").alias("hs")),
+            "near_windows",
+        )
+        own = materialize(wins.groupBy("irow").agg(F.min("k").alias("least_k"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("all_hs")), "near_items")
+        part = f"slice(w, cast(block * {BLOCK} + 1 as int), {BLOCK + reach})"
+        some = (
+            at.join(self.hashes(), "row").join(small(own), "irow").selectExpr("row", "irow", "block", f"{part} as w", "all_hs", "least_k")
+            .selectExpr("row", "irow", "block", "w", "least_k", "array_intersect(w, all_hs) as got").where("size(got) >= least_k")
+        )
+        starts = f"filter(sequence(1, least({BLOCK}, size(w))), i -> array_contains(hs, w[i - 1]) and size(array_intersect(slice(w, i, span), hs)) >= k)"
         return (
-            seen.withColumn("got", F.size(F.collect_set("tid").over(near)))
-            .join(own, "irow").where(F.col("got") >= share * F.col("want"))
-            .groupBy("row", "irow").agg(F.min("pos").alias("start"))
-            .join(self.items, "irow").select("row", "item_id", "start")
+            some.join(small(wins), "irow").where("size(array_intersect(got, hs)) >= k")
+            .selectExpr("row", "irow", f"block * {BLOCK} + array_min({starts}) - 1 as start").where("start is not null")
+            .groupBy("row", "irow").agg(F.min("start").alias("start"))
+            .join(small(self.items), "irow").select("row", "item_id", "start")
         )
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """-> (id, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of ``docs``.
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, near: bool = False) -> DataFrame:
+    """-> (id, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of ``docs``;
+    with ``near`` also (n_near, near_sha256), the items that match by proximity.
 
     A null or wordless text has no words and no hit.  Items without words match nothing; of items
     with one id, any match counts once.  Rows that share an id are judged each on its own; empty
     tables give no rows, or no hits; other columns are not looked at.
     """
-    index = PositionalIndex(docs, items, id_col, text_col)
+    index = PositionalIndex(docs, items, id_col, text_col, near=near)
     hits = index.matches(window).groupBy("row").agg(
         F.collect_list("hit").alias("hits"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("found")
     )
     hits = hits.selectExpr("row", "size(array_distinct(flatten(hits))) as n_hit", "found")
     ends = index.postings.where("tid = -1").selectExpr("row", "id", "cast(pos as bigint) as n_words")
-    return ends.join(hits, "row", "left").selectExpr(
+    out = [
         "id",
         "n_words",
         "cast(coalesce(n_hit, 0) as bigint) as n_hit",
         "cast(coalesce(size(found), 0) as bigint) as n_items",
         "sha2(coalesce(array_join(found, ','), ''), 256) as items_sha256",
         f"coalesce(n_hit, 0) > 0 and {SHARE} * coalesce(n_hit, 0) >= n_words as contaminated",
-    )
+    ]
+    both = ends.join(hits, "row", "left")
+    if near:
+        by_row = index.proximity().groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("close"))
+        both = both.join(by_row, "row", "left")
+        out += ["cast(coalesce(size(close), 0) as bigint) as n_near", "sha2(coalesce(array_join(close, ','), ''), 256) as near_sha256"]
+    return both.selectExpr(*out)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,5 +194,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    out = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    out = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), near=True)
     return out.withColumnRenamed("id", "doc_id")

@@ -282,6 +282,35 @@ def test_proximity(spark):
     assert {r.item_id for r in got} <= {1}
 
 
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(40)]
+    bench = [(i, " ".join(rng.choices(names, k=n))) for i, n in enumerate((4, 9, 13, 16, 40, 59))] + [(90, None), (91, "?!"), (92, "alpha beta gamma delta epsilon")]
+    rows = [(100 + i, " ".join(rng.choices(names + ["x", "y", "z"] * 9, k=rng.choice((5, 30, 90, 400))))) for i in range(40)]
+    rows += [(i, t) for i, t in bench]  # verbatim
+    for i, t in bench[:6]:
+        w = t.split()
+        rows.append((200 + i, "z " * 63 + " ".join("unseen" if j % 13 == 5 else x for j, x in enumerate(w))))  # a changed word in every window
+        rows.append((300 + i, "z " * 50 + " ".join(x + " y" * (j % 4 == 1) for j, x in enumerate(w))))
+    rows += [(400, "alpha " + "x " * 60 + "delta"), (401, "alpha x delta y beta gamma"), (402, "alpha x delta y beta")]
+    want = {}
+    for d, t in rows:
+        w, found = (t or "").split(), set()
+        for i, b in bench:
+            b = re.findall(r"\w+", b or "")
+            n = min(13, len(b))
+            for s in range(len(b) - n + 1 if n else 0):
+                own = set(b[s : s + n])
+                if any(5 * len(own & set(w[p : p + 2 * n])) >= 4 * len(own) for p in range(len(w))):
+                    found.add(i)
+        want[d] = (len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest())
+    assert all(want[i][0] for i in (0, 1, 2, 3, 4, 5, 92, 202, 203, 204, 205, 302, 304, 401)) and not any(want[i][0] for i in (400, 402))
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontam.contamination(docs(spark, rows), items, near=True).collect()
+    assert len(got) == len(rows) and {r.id: (r.n_near, r.near_sha256) for r in got} == want
+    assert decontam.contamination(docs(spark, rows), items.limit(0), near=True).where("n_near > 0").count() == 0
+
+
 # 9
 def cut_lines(rows, least):
     out, seen = {}, {}
