@@ -1,10 +1,11 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph is a line, or a window of WINDOW words (every STRIDE words) of a longer one.  One
+A paragraph is a line, or a window of WINDOW words (every STRIDE words) of a longer one; and such a
+window of a whole text of several lines, so that wrapped notices are whole.  One
 logistic regression per licence family on hashed word n-grams (FTRL updates) scores it; Platt
 scaling on held-out examples calibrates the scores, and a paragraph none of whose probabilities
-reaches one half is unknown.  A predicted family counts only if the paragraph holds CONFIRM of the
-word pairs of one of the family's templates.
+reaches one half is unknown.  Every family that reaches it counts if the paragraph holds CONFIRM of
+the word pairs of one of the family's templates, unless another one's template explains them better.
 
 Training data are the templates in random surroundings, and as the unknown class sentences that
 talk about licences without granting one, and words of a bounded sample of the corpus.
@@ -66,6 +67,15 @@ def confirms(family: str, text: str) -> float:
     return max(len(p & own) / len(p) for p in TEMPLATE_PAIRS[family])
 
 
+def confirmed_families(families: list[str], text: str) -> set[str]:
+    """Those of ``families`` that the text confirms.  One whose word pairs there are all part of
+    another's template that the text holds to a larger share is left out (GPL within LGPL)."""
+    own = pairs(text)
+    best = {f: max((len(p & own) / len(p), len(p), i) for i, p in enumerate(TEMPLATE_PAIRS[f])) for f in families}
+    best = {f: (x[0], TEMPLATE_PAIRS[f][x[2]]) for f, x in best.items() if x[0] >= CONFIRM}
+    return {f for f, (x, p) in best.items() if not any(y > x and p & own <= q for y, q in best.values())}
+
+
 def examples(words: list[str], seed: int = 7) -> list[tuple[str, str | None]]:
     """(paragraph, family or None) from the templates, other sentences and corpus words."""
     rng = random.Random(seed)
@@ -148,7 +158,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     families, sorted, comma-joined ('' for none).
 
     One row per row of ``docs``.  A null or blank text has no paragraph; whole texts are scanned,
-    long lines in windows; repeated rows give equal rows; an empty table gives none; other columns
+    by lines and across them; repeated rows give equal rows; an empty table gives none; other columns
     are not looked at.
     """
     model = fit(corpus_words(docs, text_col, sample))
@@ -162,36 +172,37 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
         weights, scale = shared.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                lists = pc.split_pattern(pc.fill_null(part.column(1), ""), "\n")
-                lines = lists.flatten()
-                line_at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                doc_of = np.repeat(np.arange(len(part)), np.diff(line_at))
-                cols, ok, at = HASHING.batch(lines)
+                whole = pc.fill_null(part.column(1), "")
+                lists = pc.split_pattern(whole, "\n")
+                breaks = np.diff(lists.offsets.to_numpy())
+                wrapped = np.nonzero(breaks > 1)[0]
+                texts = pa.concat_arrays([lists.flatten(), whole.take(pa.array(wrapped))])
+                doc_of = np.concatenate([np.repeat(np.arange(len(part)), breaks), wrapped])
+                cols, ok, at = HASHING.batch(texts)
                 sums = np.zeros((cols.shape[1] + 1, len(FAMILIES)))
                 for c, o in zip(cols, ok):
                     sums[1:] += weights[c] * o[:, None]
                 np.cumsum(sums, axis=0, out=sums)
                 n = np.diff(at)
                 wins = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
-                line = np.repeat(np.arange(len(n)), wins)
-                k = np.arange(len(line)) - np.repeat(np.cumsum(wins) - wins, wins)
-                a = at[line] + k * STRIDE
-                b = np.minimum(a + WINDOW, at[line] + n[line])
+                text = np.repeat(np.arange(len(n)), wins)
+                k = np.arange(len(text)) - np.repeat(np.cumsum(wins) - wins, wins)
+                a = at[text] + k * STRIDE
+                b = np.minimum(a + WINDOW, at[text] + n[text])
                 raw = (sums[b] - sums[a]) / np.sqrt(np.maximum(1, b - a))[:, None] + weights[-1]
                 p = 1 / (1 + np.exp(-np.clip(raw * scale[:, 0] + scale[:, 1], -30, 30)))
-                best = p.argmax(axis=1)
-                hit = np.nonzero(p[np.arange(len(p)), best] >= 0.5)[0] if len(p) else []
                 found: list[set[str]] = [set() for _ in range(len(part))]
                 predicted, confirmed = np.zeros(len(part), np.int32), np.zeros(len(part), np.int32)
-                paragraphs = np.bincount(doc_of[line], minlength=len(part)).astype(np.int32)
-                for i in hit:
-                    d, family = doc_of[line[i]], FAMILIES[best[i]]
-                    words = lines[int(line[i])].as_py().split()
-                    lo = int(a[i] - at[line[i]])
+                paragraphs = np.bincount(doc_of[text], minlength=len(part)).astype(np.int32)
+                last, words = -1, []
+                for i in np.nonzero((p >= 0.5).any(axis=1))[0]:
+                    d, lo = doc_of[text[i]], int(a[i] - at[text[i]])
+                    if text[i] != last:
+                        last, words = text[i], texts[int(text[i])].as_py().split()
                     predicted[d] += 1
-                    if confirms(family, " ".join(words[max(0, lo - STRIDE) : lo + WINDOW + STRIDE])) >= CONFIRM:
-                        confirmed[d] += 1
-                        found[d].add(family)
+                    sure = confirmed_families([FAMILIES[f] for f in np.nonzero(p[i] >= 0.5)[0]], " ".join(words[max(0, lo - STRIDE) : lo + WINDOW + STRIDE]))
+                    confirmed[d] += bool(sure)
+                    found[d] |= sure
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([",".join(sorted(f)) for f in found]), pa.array(paragraphs), pa.array(predicted), pa.array(confirmed)],
                     names=["id", "licenses", "n_paragraphs", "n_predicted", "n_confirmed"],

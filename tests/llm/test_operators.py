@@ -353,3 +353,18 @@ def test_licenses(spark):
     got = {r.id: r for r in licenses.scan(docs(spark, rows)).collect()}
     assert [got[i].licenses for i in (1, 2, 7)] == ["MIT", "GPL", "Apache-2.0"] and all(got[i].licenses == "" for i in (4, 5, 6, 8))
     assert got[3].licenses and got[7].n_paragraphs > 100 and got[5].n_paragraphs == 0
+
+
+def test_licenses_wrapped_and_dual(spark):
+    import textwrap
+
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in it"
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version 3"
+    texts = {"BSD": bsd, "MIT": mit, "GPL": gnu.format("General"), "LGPL": gnu.format("Lesser General"), "AGPL-3.0": gnu.format("Affero General")}
+    rows = [(i, "\n".join(textwrap.wrap(t, 40))) for i, t in enumerate(texts.values())]
+    rows.append((9, "Licensed under CC BY-NC 4.0. and Licensed under the Apache License, Version 2.0."))
+    rows.append((10, "Released under the MIT License or licensed under the Apache License, Version 2.0"))
+    got = {r.id: r.licenses for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts)
+    assert (got[9], got[10]) == ("Apache-2.0,CC-BY-NC-4.0", "Apache-2.0,MIT")
