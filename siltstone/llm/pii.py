@@ -31,10 +31,20 @@ FIND = re.compile(
     r"|(?P<ymd>(?<!\d)\d{4}-\d{2}-\d{2}(?!\d))"
     r"|(?P<dmy>(?<!\d)\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4}(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<tel>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\d(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d))"
+    r"|(?P<tel>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{1,4}){1,5}(?!\d)|(?<![\d(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d))"
     r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))",
     re.A,
 )
+#: Characters of an IBAN by country.
+IBAN_SIZE = {
+    k: int(n)
+    for n, ks in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT", 26: "IS TR", 27: "FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW", 31: "MT SC", 32: "LC",
+    }.items()
+    for k in ks.split()
+}
 MAIL = re.compile(r"([A-Za-z0-9._%+\-]+)(@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})", re.A)
 
 
@@ -170,16 +180,35 @@ def _date(kind: str, value: str, key: bytes) -> str | None:
     return None
 
 
+def shorter(value: str) -> list[str]:
+    """A possible IBAN's beginnings that end with a group, that of its country's length first,
+    then the longest first."""
+    ends = [i for i in range(1, len(value) + 1) if value[i - 1] != " " and (i == len(value) or value[i] == " ")]
+    cuts = [value[:i] for i in reversed(ends)]
+    size = IBAN_SIZE.get(value[:2])
+    cuts.sort(key=lambda v: len(v.replace(" ", "")) != size)
+    return [v for v in cuts if v == value or len(v.replace(" ", "")) >= 15]
+
+
 def redact(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """-> (new text, [(kind, start, end) in the old text])."""
     found: list[tuple[str, int, int]] = []
 
-    def number(m: re.Match) -> str:
-        new = pseudonym(m.lastgroup, m[0], key)
-        if new is None:
-            return m[0]
-        found.append((m.lastgroup, m.start(), m.end()))
-        return new
+    def numbers() -> str:
+        parts, done, at = [], 0, 0
+        while m := FIND.search(text, at):
+            kind = m.lastgroup
+            for value in shorter(m[0]) if kind == "iban" else (m[0],):
+                new = pseudonym(kind, value, key)
+                if new is not None:
+                    at = m.start() + len(value)
+                    parts += (text[done : m.start()], new)
+                    found.append((kind, m.start(), at))
+                    done = at
+                    break
+            else:
+                at = m.start() + 1  # what was rejected may hide a value
+        return "".join((*parts, text[done:]))
 
     def mail(m: re.Match) -> str:
         symbols = re.sub(r"[^A-Za-z0-9]", "", m[1])
@@ -188,7 +217,7 @@ def redact(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
         found.append(("email", m.start(), m.end()))
         return refill(m[1], alnum(key, "email", symbols)) + m[2]
 
-    out = FIND.sub(number, text)
+    out = numbers()
     if "@" in out:
         out = MAIL.sub(mail, out)
     return out, found

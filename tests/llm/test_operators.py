@@ -176,6 +176,18 @@ def test_pseudonyms(spark):
     assert got[1].text == new and got[2].text is None and got[3].n_values == 0 and got[4].text in new and got[4].kinds == "tel"
 
 
+def test_values_behind_a_rejected_match():
+    for value, after in (("ES91 2100 0418 4502 0005 1332", " BIC"), ("AT611904300234573201", " 2024"), ("DE89370400440532013000", " AB12 X"), ("GB82 WEST 1234 5698 7654 32", " EUR")):
+        new, found = pii.redact(f"to {value}{after} end", KEY)
+        assert found == [("iban", 3, 3 + len(value))] and value not in new and new.endswith(after + " end"), value
+        assert pii.redact(value, KEY)[0] == new[3 : 3 + len(value)]
+    new, found = pii.redact("call +33 1 23 45 67 89 now", KEY)
+    assert [k for k, _, _ in found] == ["tel"] and "1 23 45 67 89" not in new and new.startswith("call +33 ")
+    card = "4111 1111 1111 1111"
+    assert pii.redact(f"1234 {card}", KEY)[1] == [("card", 5, 24)]
+    assert pii.redact("AB12 CDEF 1234 5678 192.168.0.1", KEY)[1] == [("ip", 20, 31)]
+
+
 # 6
 def fingerprint(t):
     w = [x.lower() if x.isascii() else x.translate({i: i + 32 for i in range(65, 91)}) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
