@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows below which a table of a few short columns is broadcast.
+#: A table is broadcast up to so many rows, and so many bytes of its longest row times its rows.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 _own_dir: list[str] = []
+#: Folders written inside the open ``scratch`` blocks, innermost last.
+_open: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests
-    on one machine) a temporary folder of this process."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Where that is unset, a temporary
+    folder of this process, on a local master only; on a cluster that is an error, for executors
+    would each write to a disk of their own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="siltstone-"))
         root = _own_dir[0]
@@ -26,14 +33,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage like a reliable checkpoint, survives lost executors, and, unlike an RDD
-    checkpoint, is columnar and compressed.  ``clear_scratch`` removes what was written.
+    checkpoint, is columnar and compressed.  ``scratch`` and ``clear_scratch`` remove what was
+    written.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
@@ -41,17 +52,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all tables this application materialised.  Results not yet consumed need them."""
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables written inside, save those whose path was taken out of the
+    list it gives.  A DataFrame that still reads one of them must have been written out by then."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path = jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (materialised, narrow) with a broadcast hint if it has at most ``rows`` rows; a
-    larger one is joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables this application materialised.  Results not yet consumed need them."""
+    delete(spark, scratch_root(spark))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (materialised) with a broadcast hint if it has at most ``rows`` rows and, counting
+    every row as long as the longest, ``most`` bytes; a larger one is joined by shuffle."""
+    wide = [f"coalesce(octet_length(to_json(struct(`{f.name}`))), 0)" for f in df.schema.fields if f.dataType.typeName() in ("array", "string", "struct", "map", "binary")]
+    size = " + ".join([str(8 * len(df.columns)), *wide])
+    got = df.limit(rows + 1).selectExpr(f"{size} as b").agg(F.count("*").alias("n"), F.max("b").alias("b")).first()
+    return F.broadcast(df) if got["n"] <= rows and got["n"] * (got["b"] or 0) <= most else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,7 +116,14 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with a column that stands for id and text, and its name: a filter decides by it, so
+    rows without an id, and different texts under one id, are each judged on their own."""
+    name = fresh(docs, "key")
+    return docs.withColumn(name, F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))), name
+
+
 def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is among ``ids (id)``."""
+    """``docs`` without the rows whose id is among ``ids (id)``; a null matches a null."""
     name = fresh(docs, "drop")
-    return docs.join(ids.select(F.col("id").alias(name)), F.col(id_col) == F.col(name), "left_anti")
+    return docs.join(ids.select(F.col("id").alias(name)), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

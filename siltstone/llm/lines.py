@@ -9,14 +9,17 @@ repeated run is deleted; first occurrences stay.
 1. Winnow: the window at a line is the shortest span from it with ``min_words`` words; each
    window's smallest line hash is selected (the first at a tie).  Windows depend on their content
    only, so equal runs of ``min_words`` words select a common fingerprint: that is guaranteed.
-2. Join positions: fingerprints selected twice or more, joined back to their documents.
-3. Extend both ways: from such a fingerprint's windows to all spans of ``min_words`` words that
-   cannot be shortened at their left or at their right.  A maximal repeated run is the union of
-   its spans of either kind, so comparing spans by content and order finds the same lines as
-   extending each pair of occurrences line by line, yet a line that occurs in a third of all
-   documents costs one row per occurrence, not one per pair.
+   Consecutive windows that select the same line are one posting (fingerprint, row, lo..hi).
+2. Join positions: the postings of fingerprints selected twice or more go back to their documents,
+   and their windows are joined with the first position that holds the same content.
+3. Extend both ways: a match reaches one line further right if the shortest span of ``min_words``
+   words that ends there has an earlier equal, and one further left if the shortest that starts
+   there has.  Each step is a span of its own with its own first position, so a maximal repeated run
+   is the union of its spans, and a line in a third of all documents costs one row per occurrence,
+   never one per pair.
 4. Delete the lines of each span whose content has an earlier occurrence.
 
+Spans are equal if two hashes of every line are (96 bits); texts are not shipped to be compared.
 Hot fingerprints and spans are counted before their shuffle; the joins back have a written table
 on either side, so Spark can split a hot key's partition.
 """
@@ -29,9 +32,6 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize, read
 
 MIN_WORDS = 25
-#: Up to so many repeated fingerprints in a document, its spans are filtered by them; beyond, all
-#: its spans are compared (the same result, without a long search for each span).
-FILTER_UP_TO = 64
 #: Cuts a text into lines; a text that holds the mark itself is cut by the slower, equal form.
 MARK = "\ufdd0"
 CUT = r"(?<=[.!?]\s|\n)(?=\S)"
@@ -71,7 +71,7 @@ def _minimum() -> str:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """-> (row, id, h, w, o): by line its hash, its window's length in lines (0: none) and the
+    """-> (row, id, h, g, w, o): by line its two hashes, its window's length in lines (0: none) and the
     place in the window of the selected line.  A line's words are what single spaces part."""
     full = _span(f"slice(n, i + 1, {min_words})", min_words)
     return (
@@ -79,35 +79,41 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
         .selectExpr("id", "xxhash64(id, t) as row", f"{pieces('t')} as p")
         .selectExpr("row", "id", r"transform(p, x -> trim(BOTH ' \n\r\t' FROM x)) as p")
         .selectExpr(
-            "row", "id", "transform(p, x -> xxhash64(x)) as h",
+            "row", "id", "transform(p, x -> xxhash64(x)) as h", "transform(p, x -> hash(x)) as g",
             "transform(p, x -> least(1 + octet_length(x) - octet_length(replace(x, ' ', '')), 1000)) as n",
         )
         .selectExpr("*", f"transform(sequence(1, size(h)), i -> {_short_span(min_words)}) as s")
-        .selectExpr("row", "id", "h", f"transform(s, (x, i) -> if(x > 0, x, {full})) as w")
+        .selectExpr("row", "id", "h", "g", f"transform(s, (x, i) -> if(x > 0, x, {full})) as w")
         .selectExpr("*", f"transform(w, (w, i) -> {_minimum()}) as o")
     )
 
 
 def fingerprints(sig: DataFrame) -> DataFrame:
-    """-> (row, f): each selected line's hash."""
-    chosen = "array_distinct(filter(transform(o, (x, i) -> if(x > 0, i + x, 0)), i -> i > 0))"
-    return sig.selectExpr("row", f"explode(transform({chosen}, i -> h[i - 1])) as f")
+    """-> (row, f, lo, hi): each selected line's hash, with the first and last window that selects
+    it.  What windows select never moves back, so a line's windows are neighbours."""
+    changes = "filter(sequence(1, n), b -> b = 1 or p[b - 1] <> p[b - 2])"
+    posting = "named_struct('f', h[p[b - 1] - 1], 'lo', b, 'hi', coalesce(get(lo, i + 1) - 1, n))"
+    return (
+        sig.selectExpr("row", "h", "transform(filter(o, x -> x > 0), (x, i) -> i + x) as p")
+        .where("size(p) > 0").selectExpr("row", "h", "p", "size(p) as n")
+        .selectExpr("row", "h", "p", "n", f"{changes} as lo")
+        .selectExpr("row", f"inline(transform(lo, (b, i) -> {posting}))")
+    )
 
 
 def spans(sig: DataFrame, hits: DataFrame) -> DataFrame:
-    """-> (m, k, id, row, b, e): the spans b..e around repeated fingerprints; (m, k) stands for
-    the content.
+    """-> (m, k, id, row, b, e): the spans b..e of windows that select repeated fingerprints, and
+    their extensions; (m, k) stands for the content.
 
     The window at b ends at b + w - 1.  It is the shortest span to the right of b; the shortest
     spans to the left of their ends start at b for the ends from there up to before the end of the
     next line's window.
     """
-    known = f"(size(r) > {FILTER_UP_TO} or array_contains(r, h[b + o[b - 1] - 2]))"
+    starts = "flatten(transform(r, x -> sequence(x.lo, x.hi)))"
     stop = "if(b < size(h) and w[b] > 0, b + w[b] - 1, size(h))"
     ends = f"sequence(b + w[b - 1] - 1, greatest(b + w[b - 1] - 1, {stop}))"
-    starts = f"filter(sequence(1, size(h)), b -> w[b - 1] > 0 and {known})"
-    part = "slice(h, b, e - b + 1)"
-    row = f"named_struct('m', array_min({part}), 'k', xxhash64({part}), 'b', b, 'e', e)"
+    part = "slice({}, b, e - b + 1)".format
+    row = f"named_struct('m', array_min({part('h')}), 'k', xxhash64({part('h')}, {part('g')}), 'b', b, 'e', e)"
     every = f"flatten(transform({starts}, b -> transform({ends}, e -> {row})))"
     return sig.join(hits, "row").selectExpr("id", "row", f"explode({every}) as s").select("s.m", "s.k", "id", "row", "s.b", "s.e")
 
@@ -119,7 +125,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sig = materialize(signatures(docs, id_col, text_col, min_words), "lines")
     fps = fingerprints(sig)
     often = materialize(fps.groupBy("f").agg(F.count("*").alias("c")).where("c > 1").select("f"), "often")
-    hits = fps.join(often, "f").groupBy("row").agg(F.collect_set("f").alias("r"))
+    hits = fps.join(often, "f").groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
     found = materialize(spans(sig, hits), "spans")
     first = materialize(
         found.groupBy("m", "k").agg(F.min(F.struct("id", "row", "b")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"),
@@ -137,7 +143,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every row is returned.  A null text stays null (none removed); a text whose
     lines are all repeated becomes empty.  Equal rows (same id and text) count as one document
     and stay equal; rows that share an id only are ordered by a hash of their text.  Null ids sort
-    first.  Columns other than id and text pass through, save an n_removed of their own.
+    first.  Columns other than id and text pass through, save an n_removed (in any case) of their
+    own, which is replaced.
     """
     base = docs.drop("n_removed")
     row, key, cut = (fresh(base, x) for x in ("row", "key", "cut"))

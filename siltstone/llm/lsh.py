@@ -5,10 +5,9 @@ floor((a_i . x + b_i) / WIDTH) over PROJECTIONS Gaussian a_i.  With the values b
 at cosine 0.9 meet in one of the tables with probability 0.99, at 0.95 with 0.9998.  Vectors that
 share a bucket are compared exactly, in double precision, in blocks of matrix products.
 
-Equal vectors are collapsed first.  A bucket of more than BLOCK vectors is dealt into blocks, and
-each pair of blocks is a cell of its own, so a hot bucket spreads over many tasks of bounded
-memory.  A cell emits counts and a spanning forest of its links, never the pairs; a pair counts in
-the first table in which it meets.
+Equal vectors are collapsed first into classes, numbered in a written table.  Buckets are dealt into
+cells of bounded size (``cells``).  A cell emits counts and a spanning forest of its links, never the
+pairs; a pair counts in the first table in which it meets.
 """
 
 from __future__ import annotations
@@ -17,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
+from .cells import BLOCK, deal, whole_cells
 from .common import materialize, read
 from .components import connected_components
 
 TABLES, PROJECTIONS, WIDTH, SEED = 20, 8, 2.0, 42
-BLOCK = 1024
 MIN_COSINE = 0.9
 
 
@@ -74,7 +73,7 @@ def _digests(batches):
             x = x + 0.0  # -0.0 is 0.0
             for i, v in zip(rows, x):
                 out[i] = hashlib.blake2b(v.tobytes(), digest_size=16).digest()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "dig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(1)], names=["id", "dig", "vec"])
 
 
 def _hashes(batches):
@@ -83,17 +82,11 @@ def _hashes(batches):
 
     for batch in batches:
         for rows, x in _usable(batch.column(1)):
-            unit = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
-            keys = table_keys(unit)
+            most = np.abs(x).max(axis=1, keepdims=True)
+            unit = x / most / np.linalg.norm(x / most, axis=1, keepdims=True)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows)),
-                    batch.column(2).take(pa.array(rows)),
-                    pa.array([x.shape[1]] * len(rows), pa.int32()),
-                    pa.array(list(keys), pa.list_(pa.int32())),
-                    pa.array(list(x), pa.list_(pa.float64())),
-                ],
-                names=["id", "cnt", "dim", "keys", "vec"],
+                [batch.column(0).take(pa.array(rows)), pa.array([x.shape[1]] * len(rows), pa.int32()), pa.array(list(table_keys(unit)), pa.list_(pa.int32()))],
+                names=["node", "dim", "keys"],
             )
 
 
@@ -139,22 +132,19 @@ def _cells(batches):
     import numpy as np
     import pyarrow as pa
 
-    names = ["id", "n", "root"]
-
-    def done(t):
-        """One table whose cells are complete."""
-        cell = np.stack([t.column(c).to_numpy(zero_copy_only=False) for c in ("tab", "key", "dim", "bi", "bj")], axis=1)
-        cuts = np.nonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1), True])[0]
-        ids, counts, block = (t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "cnt", "block"))
+    cell = ["tab", "key", "dim", "bi", "bj"]
+    for t, cuts in whole_cells(batches, cell):
+        at = np.stack([t.column(c).to_numpy(zero_copy_only=False) for c in cell], axis=1)
+        ids, counts, block = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "cnt", "block"))
         keys = np.array(t.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), TABLES)
         values = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        ends = np.r_[0, np.cumsum(cell[:, 2])]
+        ends = np.r_[0, np.cumsum(at[:, 2], dtype=np.int64)]
         out_id, out_n, out_root = [], [], []
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a < 2:
                 continue
-            x = values[ends[a] : ends[b]].reshape(b - a, -1)
-            tab, _, _, bi, bj = cell[a]
+            x = values[ends[a] : ends[b]].reshape(b - a, -1).astype(np.float64)
+            tab, _, _, bi, bj = at[a]
             rows = np.arange(b - a)
             left = rows if bi == bj else rows[block[a:b] == bi]
             right = left if bi == bj else rows[block[a:b] == bj]
@@ -169,72 +159,48 @@ def _cells(batches):
                 out_n.append(np.zeros(len(i), np.int64))
                 out_root.append(root)
         if out_id:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_id, out_n, out_root)], names=names)
-
-    rest = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        rest = pa.concat_tables([rest, t]) if rest is not None else t
-        cell = np.stack([rest.column(c).to_numpy() for c in ("tab", "key", "dim", "bi", "bj")], axis=1)
-        last = np.nonzero((cell[1:] != cell[:-1]).any(axis=1))[0]
-        if len(last):
-            cut = int(last[-1]) + 1
-            yield from done(rest.slice(0, cut).combine_chunks())
-            rest = rest.slice(cut)
-    if rest is not None and len(rest):
-        yield from done(rest.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_id, out_n, out_root)], names=["id", "n", "root"])
 
 
 def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """-> (id, n_links, component_id, kept) per row of ``vectors``.
 
-    n_links counts the other vectors linked directly (cosine of MIN_COSINE or more found in a
-    shared bucket); component_id is the smallest id reachable.  Null, empty or zero vectors and
-    vectors with null or non-finite components link with nothing, nor do vectors of different
-    widths.  Equal vectors always link.  An empty table gives no rows; other columns are ignored.
+    The row is what links: rows that share an id are vectors of their own, and so are rows with a
+    null id.  n_links counts the other rows linked directly (cosine of MIN_COSINE or more found in
+    a shared bucket); component_id is the smallest id reachable, null where only null ids are;
+    kept says whether it is the row's own.  Null, empty or zero vectors and vectors with null or
+    non-finite components link with nothing, nor do vectors of different widths.  Equal vectors
+    always link.  An empty table gives no rows; other columns are ignored.  Ids are integers.
     """
-    vec = F.col(vec_col).cast("array<double>")
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
-    own = materialize(map_arrow(src, _digests, "id long, dig binary"), "digests")
-    classes = materialize(
-        own.where("dig is not null").groupBy("dig").agg(F.min("id").alias("rep"), F.count("*").alias("cnt")), "classes"
-    )
-    reps = classes.select(F.col("rep").alias("id"), "dig", "cnt")
-    # one vector per class: of rows that share the smallest id and the vector, any one
-    first = own.join(reps, ["id", "dig"]).select("id", "cnt").distinct()
-    payload = src.dropDuplicates(["id"]).join(first, "id").select("id", "vec", "cnt")
-    hashed = materialize(map_arrow(payload, _hashes, "id long, cnt long, dim int, keys array<int>, vec array<double>"), "hashed")
-
-    placed = hashed.select("id", "dim", F.posexplode("keys").alias("tab", "key"))
-    sizes = placed.groupBy("tab", "key", "dim").agg(F.count("*").alias("m")).where("m > 1")
-    sizes = materialize(sizes.selectExpr("tab", "key", "dim", f"cast(ceil(m / {BLOCK}) as int) as nb"), "buckets")
-    cell = (
-        "explode(if(nb = 1, array(named_struct('bi', 0, 'bj', 0)), transform(sequence(0, nb - 1), "
-        "j -> named_struct('bi', least(block, j), 'bj', greatest(block, j))))) as c"
-    )
-    ids = (
-        placed.join(sizes, ["tab", "key", "dim"])
-        .withColumn("block", F.expr("cast(pmod(xxhash64(id), nb) as int)"))
-        .selectExpr("id", "tab", "key", "dim", "block", cell)
-        .selectExpr("id", "tab", "key", "block", "c.bi", "c.bj")
-    )
+    field = vectors.schema[vec_col].dataType.simpleString()
+    kind = "array<float>" if field == "array<float>" else "array<double>"
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec"))
+    own = materialize(map_arrow(src, _digests, f"id long, dig binary, vec {kind}"), "digests")
+    one = own.where("dig is not null").groupBy("dig").agg(F.min("id").alias("rep"), F.count("*").alias("cnt"), F.first("vec").alias("vec"))
+    classes = materialize(one.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    keys = materialize(map_arrow(classes.select("node", "vec"), _hashes, "node long, dim int, keys array<int>"), "keys")
+    ids = deal(keys.select("node", "dim", F.posexplode("keys").alias("tab", "key")), ["tab", "key", "dim"], BLOCK)
     dealt = (
-        ids.join(hashed.select("id", "cnt", "dim", "keys", "vec"), "id")
+        ids.join(keys.select("node", "keys").join(classes.select("node", "cnt", "vec"), "node"), "node")
+        .select("tab", "key", "dim", "bi", "bj", "block", "node", "cnt", "keys", "vec")
         .repartition("tab", "key", "dim", "bi", "bj")
         .sortWithinPartitions("tab", "key", "dim", "bi", "bj")
     )
     found = materialize(map_arrow(dealt, _cells, "id long, n long, root long"), "links")
     links = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
     cc = connected_components(found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
-    label = materialize(
-        classes.join(links, F.col("rep") == F.col("id"), "left").drop("id")
-        .join(cc, F.col("rep") == F.col("node"), "left")
-        .selectExpr("dig", "coalesce(n, 0) + cnt - 1 as n_links", "coalesce(component, rep) as component_id"),
-        "label",
+    rooted = materialize(
+        classes.select("node", "dig", "rep", "cnt").join(links, F.col("node") == F.col("id"), "left").drop("id")
+        .join(cc.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+        .selectExpr("dig", "rep", "coalesce(n, 0) + cnt - 1 as n_links", "coalesce(component, node) as root"),
+        "rooted",
     )
-    return own.join(label, "dig", "left").selectExpr(
-        "id", "coalesce(n_links, 0) as n_links", "coalesce(component_id, id) as component_id",
-        "coalesce(component_id, id) = id as kept",
+    low = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "low")
+    label = materialize(rooted.join(low, "root").select("dig", "n_links", "component_id"), "label")
+    return own.select("id", "dig").join(label, "dig", "left").selectExpr(
+        "id", "coalesce(n_links, 0) as n_links", "if(n_links is null, id, component_id) as component_id",
+        "if(n_links is null, id, component_id) <=> id as kept",
     )
 
 

@@ -72,24 +72,54 @@ def test_ftrl_separates():
 
 
 # 2
+def brute_links(rows):
+    """[(id, vector or None)] -> by row (n_links, component_id, kept), all pairs compared."""
+    ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
+    near = np.zeros((len(rows), len(rows)), bool)
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if ok[i] and ok[j] and len(a) == len(b):
+                x, y = np.array(a, np.float64), np.array(b, np.float64)
+                near[i, j] = near[j, i] = x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.9 or a == b
+    out = []
+    for i, (own, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(np.nonzero(near[todo.pop()])[0].tolist()) - seen
+            seen |= new
+            todo += new
+        low = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+        out.append((own, int(near[i].sum()), low, own == low))
+    return out
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
     vs = [v for b in base for v in (b, b * 2, b + 0.05 * rng.standard_normal(16), b + 0.3 * rng.standard_normal(16))] + [base[0]] * 5
-    rows = [(i, v.astype(np.float32).tolist(), "x") for i, v in enumerate(vs)]
-    rows += [(900, None, "x"), (901, [0.0] * 16, "x"), (902, [float("nan")] * 16, "x"), (903, [1.0, None] * 8, "x"), (904, [], "x"), (905, [1.0, 2.0], "x")]
-    got = {r.id: r for r in lsh.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep string")).collect()}
-    x = np.array([v.astype(np.float32) for v in vs], np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = x @ x.T >= 0.9
-    np.fill_diagonal(near, False)
-    label = np.arange(len(x))
-    for _ in range(len(x)):
-        label = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
-    found = sum(got[i].n_links for i in range(len(x)))
-    assert found <= near.sum() and found >= 0.97 * near.sum()
-    assert sum(got[i].component_id == label[i] for i in range(len(x))) >= 0.97 * len(x)
-    assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(900, 906))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vs)]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (904, []), (905, [1.0, 2.0]), (906, [float("inf")] + [1.0] * 15)]
+    got = {r.id: r for r in lsh.embedding_components(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, rep string")).collect()}
+    want = brute_links(rows)
+    assert len(got) == len(rows)
+    found, links = sum(r.n_links for r in got.values()), sum(n for _, n, _, _ in want)
+    print("recall of links", found / links)
+    assert 0.97 * links <= found <= links
+    assert sum(got[i].component_id == c and got[i].kept == k for i, _, c, k in want) >= 0.97 * len(want)
+    assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(900, 907))
+
+
+def test_embeddings_with_repeated_and_null_ids(spark):
+    rows = [
+        (1, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (3, [0.01, 1.0, 0.0, 0.0]), (4, None), (4, [0.0, 0.0, 1.0, 0.0]),
+        (5, [0.0, 0.01, 1.0, 0.0]), (None, [0.0, 0.0, 0.0, 1.0]), (6, [0.0, 0.0, 0.01, 1.0]), (None, None), (None, [-1.0, 0.0, 0.0, 0.0]),
+        (7, [2.0, 0.0, 0.0, 0.0]), (7, [2.0, 0.0, 0.0, 0.0]),
+    ]
+    kind = "vec_id long, embedding array<double>"
+    got = lsh.embedding_components(spark.createDataFrame(rows, kind)).collect()
+    want = [(i, n, c, True if i is None and c is None else bool(k)) for i, n, c, k in brute_links(rows)]
+    assert sorted(map(repr, ((r.id, r.n_links, r.component_id, r.kept) for r in got))) == sorted(map(repr, want))
+    assert lsh.embedding_components(spark.createDataFrame([], kind)).collect() == []
 
 
 def test_cells_count_each_link_once():
@@ -343,6 +373,44 @@ def cut_lines(rows, least):
     return out
 
 
+def cut_runs(rows, least):
+    """Maximal runs of lines that an earlier position of any document repeats, found pair by pair."""
+    docs_, out = [], {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        p = re.split(r"(?<=[.!?]\s)(?=\S)|(?<=\n)(?=\S)", t or "", flags=re.A)
+        docs_.append((d, t, p, [x.strip(" \n\r\t") for x in p]))
+    for i, (d, t, p, s) in enumerate(docs_):
+        n, cut = [min(1000, 1 + x.count(" ")) for x in s], set()
+        for j in range(i + 1):
+            o = docs_[j][3]
+            for shift in range(-len(o) + 1, len(s)) if j < i else range(1, len(s)):
+                a = max(0, shift)
+                while a < len(s) and a - shift < len(o):
+                    b = a
+                    while b < len(s) and b - shift < len(o) and s[b] == o[b - shift]:
+                        b += 1
+                    if sum(n[a:b]) >= least:
+                        cut |= set(range(a, b))
+                    a = b + 1
+        out[d] = None if t is None else "".join(x for k, x in enumerate(p) if k not in cut)
+    return out
+
+
+@pytest.mark.parametrize("least", [5, 10, 25])
+def test_lines_equal_maximal_repeated_runs(spark, least):
+    rng = random.Random(least)
+    pool = [" ".join(rng.choices(["red", "oak", "sun", "ink"], k=rng.choice((1, 2, 6, 14, 30)))).capitalize() + "." for _ in range(30)]
+    rows = []
+    for i in range(24):
+        own = rng.choices(pool, k=rng.choice((0, 1, 4, 20, 60)))
+        rows.append((i, " ".join(own)))
+    rows.append((30, " ".join(pool * 12)))  # hundreds of repeated fingerprints in one document
+    rows.append((31, "\n".join(pool[5:25])))
+    rows += [(40 + i, "The same line everywhere. " + " ".join(rng.choices(pool, k=3))) for i in range(40)]  # a hot line
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, rows), min_words=least).collect()}
+    assert got == cut_runs(rows, least)
+
+
 def test_lines(spark, corpus):
     rows = [r for r in corpus if r[0] not in (10_004,)]
     for least in (5, 25):
