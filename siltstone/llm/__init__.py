@@ -1,2 +1,2 @@
-"""Training-data operators.  Self-contained: it imports nothing else of siltstone
-and nothing else of siltstone imports it."""
+"""Training-data operators.  Of the rest of siltstone they use ``shipping`` alone, and nothing else of
+siltstone imports them."""

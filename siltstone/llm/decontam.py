@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, small, without
+from .common import keyed, materialize, read, small, without
 
 WINDOW = 13
 #: Contaminated: at least one word in twenty is hit.
@@ -189,8 +189,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated documents; of rows with one id, all go if one must."""
-    return without(docs, id_col, contamination(docs, items, id_col, text_col).where("contaminated").select("id").distinct())
+    """``docs`` without the contaminated rows.  Every row is judged by its own text, those without
+    an id or with one id too; equal rows fare alike."""
+    with_key, key = keyed(docs, id_col, text_col)
+    bad = contamination(with_key, items, key, text_col).where("contaminated").select("id").distinct()
+    return without(with_key, key, bad).drop(key)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

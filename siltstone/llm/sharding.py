@@ -57,8 +57,8 @@ def lookup_table(spark: SparkSession, shards: list[str], size: int = SIZE) -> Da
 
 
 def assign(rows: DataFrame, table: DataFrame, key: str = "doc_id", size: int = SIZE) -> DataFrame:
-    """``rows`` with ``slot`` and ``shard``.  The key's string form is hashed; a null key counts
-    as the empty string.  Equal keys share a shard; every row is returned; no shuffle.  Columns
+    """``rows`` with ``slot`` and ``shard``.  The key's string form is hashed, a null key's as that
+    of a string of one NUL.  Equal keys share a shard; every row is returned; no shuffle.  Columns
     named slot or shard are replaced."""
     base = rows.drop("slot", "shard").withColumn("slot", F.expr(f"cast({hash32(f'coalesce(cast(`{key}` as string), chr(0))')} % {size} as int)"))
     return base.join(F.broadcast(table), "slot").select(*base.columns, "shard")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from siltstone.llm import bpe, components, decontam, features, licenses, lines, lsh, pii, quality, sharding, simhash, warc
+from siltstone.llm import bpe, components, copies, decontam, features, licenses, lines, lsh, pii, quality, sharding, simhash, warc
 from siltstone.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -256,11 +256,70 @@ def test_simhash(spark, corpus):
         low = new
     got = simhash.simhash_components(docs(spark, corpus)).collect()
     assert len(got) == len(corpus) and all(r.fp % (1 << 64) == fps[r.id] and r.component_id == low[r.id] for r in got)
-    kept = [r.doc_id for r in simhash.near_dedup(docs(spark, corpus)).collect()]
-    assert sorted(kept) == sorted(i for i, _ in corpus if low[i] == i)
     assert simhash.simhash_components(docs(spark, [])).count() == 0
 
 
+def similar_groups(rows):
+    """[(id, text)] -> (smallest row of each group, all links), by all pairs of 5-word shingle sets."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < 5 else zip(*(w[k:] for k in range(5)))))
+    n = len(rows)
+    low, links = list(range(n)), []
+    for i in range(n):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                links.append((j, i))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            if low[i] != low[j]:
+                low[i] = low[j] = min(low[i], low[j])
+                changed = True
+    return low, links
+
+
+def test_near_copies(spark, corpus):
+    rng = random.Random(2)
+    rows = [r for r in corpus if r[0] != 10_004]
+    for i, (d, t) in enumerate(list(rows)):
+        w = (t or "").split()
+        if len(w) > 40:
+            for k in range(rng.choice((0, 1, 3))):
+                v = list(w)
+                for _ in range(max(1, len(w) // rng.choice((60, 100, 200)))):
+                    v[rng.randrange(len(v))] = f"new{rng.randrange(999)}"
+                rows.append((40_000 + 10 * i + k, " ".join(v)))
+    rows.sort(key=lambda r: (r[0], r[1] or ""))
+    low, links = similar_groups(rows)
+    own, groups = copies.copy_groups(docs(spark, rows))
+    got = own.join(groups.withColumnRenamed("id", "keep").drop("key"), "dig").select("id", "keep").collect()
+    assert len(got) == len(rows)
+    keep = {}
+    for r in got:
+        keep.setdefault(r.id, r.keep)
+    different = [(a, b) for a, b in links if rows[a][1] != rows[b][1]]
+    found = sum(keep[rows[a][0]] == keep[rows[b][0]] for a, b in different)
+    print("recall of near copies", found, len(different))
+    assert len(different) > 50 and found >= 0.9 * len(different)
+    for i, r in enumerate(rows):  # nothing is grouped that all pairs don't group
+        group = {rows[j][0] for j in range(len(rows)) if low[j] == low[i]}
+        assert keep[r[0]] in group
+    kept = copies.near_dedup(docs(spark, rows)).collect()
+    assert len(kept) == len({(r.keep) for r in got}) and {r.doc_id for r in kept} == set(keep.values())
+
+
+def test_near_copies_without_ids_and_under_one_id(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (1, "some other text that is of its own here"), (2, text + " tail"), (None, "rows without an id are rows of their own"), (None, "another text without any id at all"), (5, None), (6, ""), (7, "x"), (7, "x"), (8, text)]
+    got = sorted(((r.doc_id, r.text) for r in copies.near_dedup(docs(spark, rows)).collect()), key=repr)
+    assert got == sorted([rows[0], rows[1], rows[3], rows[4], rows[5], rows[7]], key=repr)
+    assert copies.near_dedup(docs(spark, [])).collect() == [] and copies.near_dedup(docs(spark, rows)).columns == docs(spark, rows).columns
+
+
 # 7
 def test_warc(spark):
     big, small = "é" * 600, "x" * 999
