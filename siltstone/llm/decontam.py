@@ -2,19 +2,22 @@
 
 Index: one posting (term, document row, position) for each training token that is a benchmark
 term, written to the shared folder, and one end-of-text posting per document that holds its word
-count.  Search: for each window of a test item the rarest term by corpus frequency is its anchor;
-an anchor's postings, less its place in the item, are the alignments (document, item, offset).
-The item's terms, shifted by the offset, are intersected with the document's postings; 13
-consecutive survivors (or the whole shorter item) are an exact phrase match.  Proximity matches
-(op8's further columns) need most of a window's terms near each other, in any order.
-
-Broadcast are only the benchmark's own terms, anchors and items, and only when counted small;
-larger ones are joined by shuffle.
+count.  Items with the same words are one search.  For each window of a search the rarest term by
+corpus frequency is its anchor; an anchor's postings, less its place in the item, are the alignments
+(document, search, offset).  The offset-adjusted terms are intersected with the document's postings
+there; 13 consecutive survivors (or the whole shorter item) are an exact phrase match.  Proximity
+matches (op8's further columns) need most of a window's terms near each other, in any order: two of
+its rarest terms must meet in a block of text, and the block's postings decide.
+
+Postings are looked at in blocks of BLOCK words, and only in blocks where something may match, so a
+very long text is many small rows.  Broadcast are only the benchmark's own terms, anchors and searches
+and tables of candidate places, each counted (rows and bytes) first; larger ones are joined by
+shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, materialize, read, small, without
@@ -22,8 +25,10 @@ from .common import keyed, materialize, read, small, without
 WINDOW = 13
 #: Contaminated: at least one word in twenty is hit.
 SHARE = 20
-#: Words of a document by which proximity matches start.
-BLOCK = 64
+#: Words of a block; a posting's key is its term's number and its place in the block.
+BLOCK, PLACES = 64, 128
+#: So many of a window's rarest terms must meet before its other terms are looked for.
+MEET = 2
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,45 +43,35 @@ class PositionalIndex:
     """Postings of ``docs`` for the terms of ``items``.
 
     ``postings (tid, row, pos, id)``: ``row`` numbers the documents; ``tid`` -1 is the posting
-    behind a document's last word, which alone carries ``id``.  ``items (irow, item_id, t)``: the
-    items with words, as term ids.
+    behind a document's last word, which alone carries ``id``.  ``items (irow, t)``: the different
+    word sequences of items, as term numbers; ``names (irow, item_id)``: the items of each.
     """
 
-    def __init__(self, docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", near: bool = True):
-        own = materialize(
-            items.select(F.col(item_col).alias("item_id"), words(item_text).alias("w")).where("size(w) > 0")
-            .withColumn("irow", F.monotonically_increasing_id()),
-            "items",
-        )
+    def __init__(self, docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text"):
+        spark = docs.sparkSession
+        named = materialize(items.select(F.col(item_col).cast("string").alias("item_id"), words(item_text).alias("w")).where("size(w) > 0"), "items")
+        own = materialize(named.select("w").distinct().withColumn("irow", F.monotonically_increasing_id()), "searches")
+        self.names = materialize(named.join(own, "w").select("irow", "item_id").distinct(), "names")
         placed = own.select("irow", F.posexplode("w").alias("p", "term"))
-        terms = placed.select("term").distinct().withColumn("tid", F.row_number().over(Window.orderBy("term")))
-        self.terms = materialize(terms, "terms")
-        by_place = placed.join(small(self.terms), "term").groupBy("irow").agg(F.array_sort(F.collect_list(F.struct("p", "tid"))).alias("t"))
-        self.items = materialize(own.select("irow", "item_id").join(by_place, "irow").selectExpr("irow", "item_id", "t.tid as t"), "item_terms")
-        end = docs.sparkSession.sql("select '' as term, -1 as tid")
+        terms = materialize(placed.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "terms")
+        by_place = placed.join(small(terms), "term").groupBy("irow").agg(F.array_sort(F.collect_list(F.struct("p", "tid"))).alias("t"))
+        self.items = materialize(by_place.selectExpr("irow", "t.tid as t"), "item_terms")
+        end = spark.sql("select '' as term, -1L as tid")
         texts = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w")).withColumn("row", F.monotonically_increasing_id())
-        if near:
-            texts = self.texts = materialize(texts, "texts")
         tokens = texts.select("id", "row", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "term"))
-        lookup = small(materialize(self.terms.unionByName(end), "lookup"))
+        lookup = small(materialize(terms.unionByName(end), "lookup"))
         self.postings = materialize(
             tokens.join(lookup, "term").select("tid", "row", "pos", F.when(F.col("tid") == -1, F.col("id")).alias("id")), "postings"
         )
-
-    def hashes(self) -> DataFrame:
-        """-> (row, w array<bigint>): the documents' words, hashed."""
-        return self.texts.selectExpr("row", "transform(w, x -> xxhash64(x)) as w")
-
-    def frequencies(self) -> DataFrame:
-        return self.postings.where("tid >= 0").groupBy("tid").agg(F.count("*").alias("cf"))
+        self.found = self.postings.where("tid >= 0").select("tid", "row", "pos")
+        self.frequencies = materialize(self.found.groupBy("tid").agg(F.count("*").alias("cf")), "cf")
 
     def anchors(self, window: int = WINDOW) -> DataFrame:
-        """-> (tid, irow, p): by item the places of its windows' rarest terms.  A window with a
+        """-> (tid, irow, p): by search the places of its windows' rarest terms.  A window with a
         term that occurs nowhere has none."""
         placed = self.items.select("irow", F.posexplode("t").alias("p", "tid"))
-        freq = materialize(self.frequencies(), "cf")
         counted = (
-            placed.join(small(freq), "tid", "left").groupBy("irow")
+            placed.join(small(self.frequencies), "tid", "left").groupBy("irow")
             .agg(F.array_sort(F.collect_list(F.struct("p", "tid", F.coalesce("cf", F.lit(0)).alias("cf")))).alias("a"))
             .selectExpr("irow", "a", "a.cf as c")
         )
@@ -88,103 +83,124 @@ class PositionalIndex:
         return counted.selectExpr("irow", f"explode(transform({places}, i -> a[i - 1])) as x").select("x.tid", "irow", "x.p")
 
     def alignments(self, window: int = WINDOW) -> DataFrame:
-        """-> (row, irow, shift): where item place 0 would stand in the document."""
+        """-> (row, irow, shift): where a search's place 0 would stand in the document."""
         anchors = small(materialize(self.anchors(window), "anchors"))
-        return self.postings.where("tid >= 0").join(anchors, "tid").selectExpr("row", "irow", "pos - p as shift").distinct()
+        return self.found.join(anchors, "tid").selectExpr("row", "irow", "pos - p as shift").distinct()
+
+    def lists(self, places: DataFrame, reach: int = 0) -> DataFrame:
+        """-> (row, block, keys): the postings of the blocks ``places (row, block)`` and of the
+        ``reach`` words behind each, a key being tid * PLACES + place in the block."""
+        wanted = small(materialize(places.select("row", "block").distinct(), "places"))
+        blocks = "array(pos div {0})" if not reach else "if(pos >= {0} and pos % {0} < {1}, array(pos div {0}, pos div {0} - 1), array(pos div {0}))"
+        dealt = self.found.selectExpr("tid", "row", "pos", f"explode({blocks.format(BLOCK, reach)}) as block")
+        return (
+            dealt.join(wanted, ["row", "block"], "left_semi").groupBy("row", "block")
+            .agg(F.collect_list(F.expr(f"tid * {PLACES} + pos - block * {BLOCK}")).alias("keys"))
+        )
 
     def matches(self, window: int = WINDOW) -> DataFrame:
-        """Exact phrases -> (row, item_id, hit array<int>): by alignment the document positions
-        inside occurrences of the item's windows."""
-        at = materialize(self.alignments(window), "alignments")
-        rows = small(materialize(at.select("row").distinct(), "rows"))
-        key = "cast(pos as bigint) * 2147483648L + tid"
-        lists = self.postings.where("tid >= 0").join(rows, "row", "left_semi").groupBy("row").agg(F.collect_list(F.expr(key)).alias("keys"))
-        need = "transform(filter(sequence(0, size(t) - 1), p -> shift + p >= 0), p -> cast(shift + p as bigint) * 2147483648L + t[p])"
-        whole = f"least({window}, size(t))"
+        """Exact phrases -> (row, irow, hit array<bigint>): by alignment the document positions
+        inside occurrences of the search's windows."""
+        length = materialize(self.items.selectExpr("irow", "size(t) as words"), "lengths")
+        touched = f"explode(sequence(greatest(0, shift) div {BLOCK}, greatest(0, shift + words - 1) div {BLOCK})) as block"
+        at = materialize(self.alignments(window).join(small(length), "irow").selectExpr("row", "irow", "shift", touched), "alignments")
+        need = (
+            f"transform(filter(sequence(greatest(0, block * {BLOCK} - shift), least(size(t) - 1, block * {BLOCK} + {BLOCK - 1} - shift)), p -> shift + p >= 0), "
+            f"p -> t[cast(p as int)] * {PLACES} + shift + p - block * {BLOCK})"
+        )
+        got = (
+            at.join(self.lists(at), ["row", "block"]).join(small(self.items), "irow")
+            .selectExpr("row", "irow", "shift", "size(t) as words", f"transform(array_intersect({need}, keys), k -> k % {PLACES} + block * {BLOCK}) as g")
+            .groupBy("row", "irow", "shift").agg(F.first("words").alias("words"), F.array_sort(F.flatten(F.collect_list("g"))).alias("g"))
+        )
+        whole = f"least({window}, words)"
         starts = f"filter(sequence(1, size(g)), i -> i + {whole} - 1 <= size(g) and g[i + {whole} - 2] - g[i - 1] = {whole} - 1)"
         return (
-            at.join(lists, "row").join(small(self.items), "irow")
-            .selectExpr("row", "item_id", "t", f"transform(array_intersect({need}, keys), k -> cast(shiftright(k, 31) as int)) as g")
-            .where(f"size(g) >= {whole}")
-            .selectExpr("row", "item_id", f"array_distinct(flatten(transform({starts}, i -> sequence(g[i - 1], g[i - 1] + {whole} - 1)))) as hit")
+            got.where(f"size(g) >= {whole}")
+            .selectExpr("row", "irow", f"array_distinct(flatten(transform({starts}, i -> sequence(g[i - 1], g[i - 1] + {whole} - 1)))) as hit")
             .where("size(hit) > 0")
         )
 
-    def near_anchors(self, share: float = 0.8) -> DataFrame:
-        """-> (tid, irow): of a window's n distinct terms at least k must be near, so n - k may
-        miss, and one of its n - k + 1 rarest must be there."""
-        freq = materialize(self.frequencies(), "cf")
-        counted = self.windows(share).selectExpr("irow", "win", "n - k + 1 as most", "explode(ts) as tid").join(small(freq), "tid", "left")
-        rarest = counted.groupBy("irow", "win").agg(F.first("most").alias("most"), F.array_sort(F.collect_list(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "tid"))).alias("a"))
-        return rarest.selectExpr("explode(slice(a, 1, most)) as x", "irow").select("x.tid", "irow").distinct()
-
     def windows(self, share: float = 0.8) -> DataFrame:
-        """-> (irow, win, words, ts, n, k): by item window its distinct terms, their number and
+        """-> (irow, win, words, ts, n, k): by search window its distinct terms, their number and
         how many of them make a match."""
         words = f"least({WINDOW}, size(t))"
         wins = self.items.selectExpr("irow", f"{words} as words", f"posexplode(transform(sequence(1, size(t) - {words} + 1), s -> array_distinct(slice(t, s, {words})))) as (win, ts)")
         return wins.selectExpr("irow", "win", "words", "ts", "size(ts) as n", f"cast(ceil({share!r}D * size(ts) - 1e-9D) as int) as k")
 
-    def proximity(self, span: int | None = None, share: float = 0.8) -> DataFrame:
-        """Proximity matches -> (row, item_id, start): the first places where at least ``share``
-        of the distinct terms of one of an item's windows stand within ``span`` words (twice the
-        window's own), in any order.
+    def near_anchors(self, share: float = 0.8) -> DataFrame:
+        """-> (irow, tid, need): of a window's n distinct terms k must be near, so of its n - k + m
+        rarest ones m must be; m is MEET, or k if that is less.  ``need`` is the least m of the
+        search's windows."""
+        counted = self.windows(share).selectExpr("irow", "win", "n", "k", f"least(k, {MEET}) as m", "explode(ts) as tid").join(small(self.frequencies), "tid", "left")
+        rarest = counted.groupBy("irow", "win", "n", "k", "m").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "tid"))).alias("a"))
+        every = rarest.selectExpr("irow", "m", "explode(slice(a, 1, n - k + m)) as x").groupBy("irow", "x.tid").agg(F.min("m").alias("m"))
+        need = rarest.groupBy("irow").agg(F.min("m").alias("need"))
+        return every.select("irow", "tid").join(need, "irow")
 
-        Documents are looked at in blocks of BLOCK words and the span behind them, and only where
-        a block holds one of the item's anchors; words are compared by 64-bit hashes.
-        """
+    def proximity(self, span: int | None = None, share: float = 0.8) -> DataFrame:
+        """Proximity matches -> (row, irow): documents where at least ``share`` of the distinct terms
+        of one of a search's windows stand within ``span`` words (twice the window's own), in any
+        order."""
         reach = (span or 2 * WINDOW) - 1
+        if reach + BLOCK > PLACES:
+            raise ValueError(f"span must be {PLACES - BLOCK + 1} words at most")
         anchors = small(materialize(self.near_anchors(share), "near_anchors"))
-        blocks = f"sequence(cast(greatest(0, pos - {reach}) div {BLOCK} as int), cast(pos div {BLOCK} as int))"
-        at = self.postings.where("tid >= 0").join(anchors, "tid").selectExpr("row", "irow", f"explode({blocks}) as block").distinct()
-        hashed = self.terms.selectExpr("tid", "xxhash64(term) as h")
-        wins = materialize(
-            self.windows(share).selectExpr("irow", "win", f"{span or '2 * words'} as span", "k", "explode(ts) as tid").join(small(hashed), "tid")
-            .groupBy("irow", "win", "span", "k").agg(F.collect_list("h").alias("hs")),
-            "near_windows",
+        blocks = f"sequence(greatest(0, pos - {reach}) div {BLOCK}, pos div {BLOCK})"
+        at = (
+            self.found.join(anchors, "tid").selectExpr("row", "irow", "need", "tid", f"explode({blocks}) as block").distinct()
+            .groupBy("row", "irow", "block", "need").agg(F.count("*").alias("c")).where("c >= need")
         )
-        own = materialize(wins.groupBy("irow").agg(F.min("k").alias("least_k"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("all_hs")), "near_items")
-        part = f"slice(w, cast(block * {BLOCK} + 1 as int), {BLOCK + reach})"
+        at = materialize(at.select("row", "irow", "block"), "near_places")
+        wins = materialize(self.windows(share).selectExpr("irow", f"{span or '2 * words'} as span", "k", "ts"), "near_windows")
+        least = materialize(wins.groupBy("irow").agg(F.min("k").alias("least_k"), F.array_distinct(F.flatten(F.collect_list("ts"))).alias("every")), "near_items")
+        got = f"array_intersect(array_distinct(transform(keys, x -> x div {PLACES})), every)"
         some = (
-            at.join(self.hashes(), "row").join(small(own), "irow").selectExpr("row", "irow", "block", f"{part} as w", "all_hs", "least_k")
-            .selectExpr("row", "irow", "block", "w", "least_k", "array_intersect(w, all_hs) as got").where("size(got) >= least_k")
+            at.join(self.lists(at, reach), ["row", "block"]).join(small(least), "irow")
+            .selectExpr("row", "irow", "least_k", "keys", f"{got} as got").where("size(got) >= least_k")
         )
-        starts = f"filter(sequence(1, least({BLOCK}, size(w))), i -> array_contains(hs, w[i - 1]) and size(array_intersect(slice(w, i, span), hs)) >= k)"
+        own = f"array_sort(transform(filter(keys, x -> array_contains(ts, x div {PLACES})), x -> struct(x % {PLACES} as o, x div {PLACES} as t)))"
+        there = f"exists(own, x -> x.o < {BLOCK} and size(array_distinct(transform(filter(own, y -> y.o >= x.o and y.o < x.o + span), y -> y.t))) >= k)"
         return (
-            some.join(small(wins), "irow").where("size(array_intersect(got, hs)) >= k")
-            .selectExpr("row", "irow", f"block * {BLOCK} + array_min({starts}) - 1 as start").where("start is not null")
-            .groupBy("row", "irow").agg(F.min("start").alias("start"))
-            .join(small(self.items), "irow").select("row", "item_id", "start")
+            some.join(small(wins), "irow").where("size(array_intersect(got, ts)) >= k")
+            .selectExpr("row", "irow", "span", "k", f"{own} as own").where(there).select("row", "irow").distinct()
         )
 
+    def named(self, found: DataFrame, n: str, digest: str) -> DataFrame:
+        """``found (row, irow)``, distinct -> (row, n, digest): the number of a document's items and
+        the hash of their sorted ids.  Documents with the same searches share the work."""
+        sets = materialize(found.groupBy("row").agg(F.array_sort(F.collect_list("irow")).alias("irows")), "found")
+        ids = sets.select("irows").distinct().selectExpr("irows", "explode(irows) as irow").join(small(self.names), "irow")
+        by_set = ids.groupBy("irows").agg(F.array_sort(F.collect_set("item_id")).alias("x")).selectExpr("irows", f"cast(size(x) as bigint) as {n}", f"sha2(array_join(x, ','), 256) as {digest}")
+        return sets.join(by_set, "irows").select("row", n, digest)
+
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, near: bool = False) -> DataFrame:
     """-> (id, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of ``docs``;
     with ``near`` also (n_near, near_sha256), the items that match by proximity.
 
-    A null or wordless text has no words and no hit.  Items without words match nothing; of items
-    with one id, any match counts once.  Rows that share an id are judged each on its own; empty
-    tables give no rows, or no hits; other columns are not looked at.
+    A null or wordless text has no words and no hit.  Items without words match nothing, and items
+    without an id are counted nowhere but hit; of items with one id, any match counts once.  Rows that
+    share an id are judged each on its own; empty tables give no rows, or no hits; other columns are
+    not looked at.
     """
-    index = PositionalIndex(docs, items, id_col, text_col, near=near)
-    hits = index.matches(window).groupBy("row").agg(
-        F.collect_list("hit").alias("hits"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("found")
-    )
-    hits = hits.selectExpr("row", "size(array_distinct(flatten(hits))) as n_hit", "found")
+    index = PositionalIndex(docs, items, id_col, text_col)
+    found = materialize(index.matches(window), "matches")
+    hits = found.groupBy("row").agg(F.collect_list("hit").alias("hits")).selectExpr("row", "cast(size(array_distinct(flatten(hits))) as bigint) as n_hit")
     ends = index.postings.where("tid = -1").selectExpr("row", "id", "cast(pos as bigint) as n_words")
+    empty = "sha2('', 256)"
     out = [
         "id",
         "n_words",
-        "cast(coalesce(n_hit, 0) as bigint) as n_hit",
-        "cast(coalesce(size(found), 0) as bigint) as n_items",
-        "sha2(coalesce(array_join(found, ','), ''), 256) as items_sha256",
+        "coalesce(n_hit, 0L) as n_hit",
+        "coalesce(n_items, 0L) as n_items",
+        f"coalesce(items_sha256, {empty}) as items_sha256",
         f"coalesce(n_hit, 0) > 0 and {SHARE} * coalesce(n_hit, 0) >= n_words as contaminated",
     ]
-    both = ends.join(hits, "row", "left")
+    both = ends.join(hits, "row", "left").join(index.named(found.select("row", "irow").distinct(), "n_items", "items_sha256"), "row", "left")
     if near:
-        by_row = index.proximity().groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("close"))
-        both = both.join(by_row, "row", "left")
-        out += ["cast(coalesce(size(close), 0) as bigint) as n_near", "sha2(coalesce(array_join(close, ','), ''), 256) as near_sha256"]
+        both = both.join(index.named(index.proximity(), "n_near", "near_sha256"), "row", "left")
+        out += ["coalesce(n_near, 0L) as n_near", f"coalesce(near_sha256, {empty}) as near_sha256"]
     return both.selectExpr(*out)
 
 

@@ -377,10 +377,21 @@ def test_decontamination(spark, corpus):
 
 
 def test_proximity(spark):
-    item = [(1, "alpha beta gamma delta")]
-    rows = [(1, "x alpha y beta z gamma w delta"), (2, "alpha " + "x " * 60 + "delta")]
-    got = decontam.PositionalIndex(docs(spark, rows), spark.createDataFrame(item, "item_id long, text string")).proximity(span=10).collect()
-    assert {r.item_id for r in got} <= {1}
+    item = [(1, "alpha beta gamma delta"), (2, "one"), (3, "one one one")]
+    rows = [(1, "x alpha y beta z gamma w delta"), (2, "alpha " + "x " * 60 + "delta"), (3, "y " * 62 + "delta x x gamma beta alpha one")]
+    index = decontam.PositionalIndex(docs(spark, rows), spark.createDataFrame(item, "item_id long, text string"))
+    got = index.proximity(span=10).join(index.names, "irow").join(index.postings.where("tid = -1").select("row", "id"), "row")
+    assert sorted((r.id, r.item_id) for r in got.collect()) == [(1, "1"), (3, "1"), (3, "2"), (3, "3")]
+
+
+def test_long_items_and_repeated_items(spark):
+    word = [f"w{i}" for i in range(200)]
+    item = [(1, " ".join(word)), (2, " ".join(word)), (None, "solo"), (3, "the"), (4, "the")]
+    rows = [(1, "x " * 50 + " ".join(word) + " y"), (2, " ".join(word[:100]) + " gap " + " ".join(word[100:])), (3, "the end of the solo"), (4, " ".join(word[:12]))]
+    got = {r.id: r for r in decontam.contamination(docs(spark, rows), spark.createDataFrame(item, "item_id long, text string"), near=True).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert [(got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256) for i in (1, 2, 3, 4)] == [(251, 200, 2, sha("1,2")), (201, 200, 2, sha("1,2")), (5, 3, 2, sha("3,4")), (12, 0, 0, sha(""))]
+    assert (got[4].n_near, got[4].near_sha256, got[4].contaminated) == (2, sha("1,2"), False)
 
 
 def test_proximity_equals_brute_force(spark):
