@@ -94,18 +94,21 @@ class Hashing:
 @dataclass
 class Ftrl:
     """Logistic regression by follow-the-regularised-leader (FTRL-proximal) updates: per column
-    the gradient sum z and the squared gradient sum n; the weight is their closed form."""
+    the gradient sum z and the squared gradient sum n; the weight is their closed form.  With
+    ``outputs`` several regressions over the same columns learn side by side."""
 
     columns: int
     alpha: float = 0.3
     beta: float = 1.0
     l1: float = 0.02
     l2: float = 0.1
+    outputs: int = 0
 
     def __post_init__(self):
         import numpy as np
 
-        self.z, self.n = np.zeros(self.columns + 1), np.zeros(self.columns + 1)
+        shape = (self.columns + 1, self.outputs) if self.outputs else self.columns + 1
+        self.z, self.n = np.zeros(shape), np.zeros(shape)
 
     def weights(self, at=slice(None)):
         import numpy as np
@@ -114,14 +117,14 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def update(self, cols, values, label: int) -> None:
-        """One example; the last column is the bias."""
+    def update(self, cols, values, label) -> None:
+        """One example; the last column is the bias.  ``label``: 0 or 1, or one for each output."""
         import numpy as np
 
         at, x = np.append(cols, self.columns), np.append(values, 1.0)
         w = self.weights(at)
-        p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-        g = (p - label) * x
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        g = np.multiply.outer(x, p - label)
         step = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += g - step * w
         self.n[at] += g * g

@@ -3,12 +3,15 @@
 A paragraph is a line, or a window of WINDOW words (every STRIDE words) of a longer one; and such a
 window of a whole text of several lines, so that wrapped notices are whole.  One
 logistic regression per licence family on hashed word n-grams (FTRL updates) scores it; Platt
-scaling on held-out examples calibrates the scores, and a paragraph none of whose probabilities
-reaches one half is unknown.  Every family that reaches it counts if the paragraph holds CONFIRM of
-the word pairs of one of the family's templates, unless another one's template explains them better.
+scaling calibrates the scores on templates that the scored model has not seen (FOLDS models, each
+without every FOLDS-th template), and a paragraph none of whose probabilities reaches KNOWN is
+unknown.  Every family that reaches it counts if the paragraph holds CONFIRM of
+the word pairs of one of the family's templates, unless another one's template explains them better
+or the notice is denied ("not released under").
 
 Training data are the templates in random surroundings, and as the unknown class sentences that
-talk about licences without granting one, and words of a bounded sample of the corpus.
+talk about licences without granting one, and words of a bounded sample of the corpus: one window of
+SAMPLE_WORDS words, at a hashed place of the whole text, of at most SAMPLE_DOCS different texts.
 """
 
 from __future__ import annotations
@@ -23,61 +26,90 @@ from ..shipping import map_arrow
 from .common import read, slices
 from .features import Ftrl, Hashing
 
-#: Usual notices by licence family.
+#: Usual notices by licence family, the first parts of licence texts among them.
 TEMPLATES = {
-    "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "released under the Apache 2.0 license", "you may not use this file except in compliance with the License"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under the BSD 3-Clause License", "licensed under the BSD license"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC0": ["released into the public domain under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work"],
-    "GPL": ["licensed under the GNU General Public License, version 3", "licensed under the GNU General Public License, version 2", "under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "LGPL": ["licensed under the GNU Lesser General Public License, version 3", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0"],
+    "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "released under the AGPL v3 license", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "released under the Apache 2.0 license", "you may not use this file except in compliance with the License", "Apache License Version 2.0, January 2004"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under the BSD 3-Clause License", "licensed under the BSD license", "Use of this source code is governed by a BSD-style license"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0", "released under the Boost Software License", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "under the Creative Commons Attribution 4.0 license"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "under the Creative Commons Attribution-NonCommercial 4.0 license"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "under the Creative Commons Attribution-ShareAlike 4.0 license"],
+    "CC0": ["released into the public domain under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work", "under the Creative Commons CC0 1.0 Universal Public Domain Dedication"],
+    "EPL-2.0": ["made available under the terms of the Eclipse Public License 2.0", "licensed under the Eclipse Public License v2.0", "released under the Eclipse Public License"],
+    "GPL": ["licensed under the GNU General Public License, version 3", "licensed under the GNU General Public License, version 2", "under the terms of the GNU General Public License as published by the Free Software Foundation", "released under the GPL v3 license", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "released under the ISC license", "licensed under the ISC license"],
+    "LGPL": ["licensed under the GNU Lesser General Public License, version 3", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "released under the LGPL v3 license", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "distributed under the terms of the MIT license"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "released under the Mozilla Public License Version 2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "released under the Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
 }
+#: Identifiers by family; "SPDX-License-Identifier: " and each is a template too.
+SPDX = {
+    "AGPL-3.0": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "Apache-2.0": ["Apache-2.0"], "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "BSL-1.0": ["BSL-1.0"],
+    "CC-BY-4.0": ["CC-BY-4.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC0": ["CC0-1.0"], "EPL-2.0": ["EPL-2.0"],
+    "GPL": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"], "ISC": ["ISC"], "LGPL": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "MIT": ["MIT"], "MPL-2.0": ["MPL-2.0"], "Unlicense": ["Unlicense"],
+}
+for _family, _ids in SPDX.items():
+    TEMPLATES[_family] += [f"SPDX-License-Identifier: {x}" for x in _ids]
 #: Sentences of the unknown class.
 OTHER = [
     "a driver must carry a licence at all times", "the public was released from the building under protest", "the license plate was registered in 2004",
     "all rights reserved by the publisher", "the general public may visit the museum", "students at MIT published a paper", "he works under the terms of a contract",
     "the software is available to licensed physicians only", "free copies of this version are sold in the shop", "the Apache helicopter landed", "Creative people share common attributes",
     "version 2 of the report was released", "the fishing licence expired in version 3 of the law", "the file is in compliance with the use of force rules", "this work is not yet finished",
+    "the eclipse was watched by the public", "Mozilla published a new browser version", "the permission was granted by the mayor", "redistribution of wealth is permitted by law", "a boost to software exports",
 ]
+#: Words that deny a notice if one of the three before it.
+DENIALS = {"not", "never", "no", "nor", "neither", "isn't", "aren't", "wasn't", "cannot"}
 FAMILIES = sorted(TEMPLATES)
 HASHING = Hashing(bits=16, words=3, shapes=0)
-#: Bound of the documents whose words go into training.
-SAMPLE_DOCS = 200
+#: Bounds of the different texts whose words go into training, and of the words of each.
+SAMPLE_DOCS, SAMPLE_WORDS = 200, 100
+FOLDS = 3
 WINDOW, STRIDE = 32, 16
 CONFIRM = 0.8
-_WORD = re.compile(r"\w+")
+#: A family is predicted from this calibrated probability on; templates decide then.
+KNOWN = 0.25
+#: Longer pieces of text are cut, with LAP characters in both parts.
+PIECE, LAP = 1 << 20, 2000
+_WORD = re.compile(r"\w+(?:['\u2019]t\b)?")
+
+
+def words_of(text: str) -> list[str]:
+    return ["license" if w == "licence" else w.replace("\u2019", "'") for w in map(str.lower, _WORD.findall(text))]
 
 
 def pairs(text: str) -> set[tuple[str, str]]:
-    w = [x.lower() for x in _WORD.findall(text)]
+    w = words_of(text)
     return set(zip(w, w[1:]))
 
 
 TEMPLATE_PAIRS = {f: [pairs(t) for t in ts] for f, ts in TEMPLATES.items()}
 
 
-def confirms(family: str, text: str) -> float:
-    """The largest share of one of the family's templates' word pairs that the text holds."""
-    own = pairs(text)
-    return max(len(p & own) / len(p) for p in TEMPLATE_PAIRS[family])
+def denied(words: list[str], own: set[tuple[str, str]]) -> bool:
+    """Whether one of the three words before the first of the template's word pairs denies it, in
+    every place where the template begins."""
+    at = [i for i, x in enumerate(zip(words, words[1:])) if x in own]
+    begins = [i for i in at if not any(i - len(own) < j < i for j in at)]
+    return bool(begins) and all(DENIALS & set(words[max(0, i - 3) : i]) for i in begins)
 
 
 def confirmed_families(families: list[str], text: str) -> set[str]:
     """Those of ``families`` that the text confirms.  One whose word pairs there are all part of
     another's template that the text holds to a larger share is left out (GPL within LGPL)."""
-    own = pairs(text)
+    words = words_of(text)
+    own = set(zip(words, words[1:]))
     best = {f: max((len(p & own) / len(p), len(p), i) for i, p in enumerate(TEMPLATE_PAIRS[f])) for f in families}
-    best = {f: (x[0], TEMPLATE_PAIRS[f][x[2]]) for f, x in best.items() if x[0] >= CONFIRM}
-    return {f for f, (x, p) in best.items() if not any(y > x and p & own <= q for y, q in best.values())}
+    best = {f: (x[0], x[1], TEMPLATE_PAIRS[f][x[2]]) for f, x in best.items() if x[0] >= CONFIRM}
+    return {f for f, (x, n, p) in best.items() if not any((y, m) > (x, n) and p & own <= q for y, m, q in best.values()) and not denied(words, p)}
 
 
-def examples(words: list[str], seed: int = 7) -> list[tuple[str, str | None]]:
-    """(paragraph, family or None) from the templates, other sentences and corpus words."""
+def examples(words: list[str], seed: int = 7) -> list[tuple[str, str | None, int]]:
+    """(paragraph, family or None, fold) from the templates, other sentences and corpus words.  A
+    template's, and an other sentence's, paragraphs share a fold."""
     rng = random.Random(seed)
     around = lambda most: [rng.choice(words) for _ in range(rng.randrange(most + 1))]
 
@@ -88,11 +120,11 @@ def examples(words: list[str], seed: int = 7) -> list[tuple[str, str | None]]:
         most = rng.choice((4, 12, 30))
         return " ".join(around(most) + w + around(most)) + rng.choice(["", ".", "!", "###"])
 
-    out: list[tuple[str, str | None]] = [(spot(t), f) for f, ts in TEMPLATES.items() for t in ts for _ in range(24)]
-    out += [(spot(t), None) for t in OTHER for _ in range(16)]
-    out += [(" ".join(around(60)), None) for _ in range(400)]
+    out: list[tuple[str, str | None, int]] = [(spot(t), f, k % FOLDS) for f, ts in TEMPLATES.items() for k, t in enumerate(ts) for _ in range(16)]
+    out += [(spot(t), None, k % FOLDS) for k, t in enumerate(OTHER) for _ in range(16)]
+    out += [(" ".join(around(60)), None, k % FOLDS) for k in range(400)]
     every = [x for ts in TEMPLATES.values() for t in ts for x in t.split()]
-    out += [(spot(" ".join(rng.sample(every, 5))), None) for _ in range(120)]  # licence words in no order
+    out += [(spot(" ".join(rng.sample(every, 5))), None, k % FOLDS) for k in range(160)]  # licence words in no order
     rng.shuffle(out)
     return out
 
@@ -123,34 +155,65 @@ def platt(scores, labels, steps: int = 200):
     return w
 
 
+def train(rows, labels, epochs: int = 6):
+    """-> weights (columns + 1, families): each family against all else, by FTRL updates that all
+    families make at once."""
+    import numpy as np
+
+    model = Ftrl(1 << HASHING.bits, alpha=0.6, l1=0.03, outputs=len(FAMILIES))
+    for _ in range(epochs):
+        for (cols, values), y in zip(rows, labels):
+            model.update(cols, values, y)
+    return model.weights().astype(np.float64)
+
+
 def fit(words: list[str]):
-    """-> (weights (columns + 1, families), calibration (families, 2))."""
+    """-> (weights (columns + 1, families), calibration (families, 2)).  The calibration is learnt on
+    scores of templates that the scoring model was not trained on."""
     import numpy as np
     import pyarrow as pa
 
     data = examples(words)
-    rows = list(vectors(pa.array([t for t, _ in data])))
-    train = [i for i in range(len(data)) if i % 4]
-    held = [i for i in range(len(data)) if not i % 4]
-    weights, scale = [], []
-    for family in FAMILIES:
-        y = np.array([f == family for _, f in data], np.float64)
-        model = Ftrl(1 << HASHING.bits, l1=0.05)
-        for _ in range(4):
-            for i in train:
-                model.update(*rows[i], int(y[i]))
-        w = model.weights()
-        weights.append(w)
-        scale.append(platt(np.array([w[rows[i][0]] @ rows[i][1] + w[-1] for i in held]), y[held]))
-    return np.array(weights, np.float32).T.copy(), np.array(scale)
-
-
-def corpus_words(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_DOCS) -> list[str]:
-    """Words of at most ``sample`` documents (the first 100 words of each, the smallest hashes of
-    the text first), for the surroundings of training examples only."""
-    head = docs.select(F.xxhash64(text_col).alias("h"), F.slice(F.split(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 2000), r"\s+"), 1, 100).alias("w"))
-    rows = head.orderBy("h").limit(sample).collect()
-    return [x for r in rows for x in r["w"] if x] or ["text"]
+    rows = list(vectors(pa.array([t for t, _, _ in data])))
+    y = np.array([[f == x for x in FAMILIES] for _, f, _ in data], np.float64)
+    fold = np.array([k for _, _, k in data])
+    scores = np.zeros(y.shape)
+    for k in range(FOLDS):
+        w = train([rows[i] for i in np.nonzero(fold != k)[0]], y[fold != k])
+        for i in np.nonzero(fold == k)[0]:
+            scores[i] = rows[i][1] @ w[rows[i][0]] + w[-1]
+    scale = [platt(scores[:, f], y[:, f]) for f in range(len(FAMILIES))]
+    return train(rows, y).astype(np.float32), np.array(scale)
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> list[str]:
+    """Words of at most ``sample`` different texts, for the surroundings of training examples only:
+    those with the smallest hashes, and of each a window of ``words`` words at a hashed place.  A
+    threshold on the hash keeps most texts from being cut into words; where copies leave too few, it
+    is raised."""
+    src = docs.where(f"length(`{text_col}`) > 0").select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("t"))
+    total, share = docs.count(), 1.0
+    if total > 8 * sample:
+        share = 8 * sample / total
+    while True:
+        most = int(share * 2**64) - 2**63 - 1
+        some = src.where(F.col("h") <= most).selectExpr("h", r"filter(split(t, r'\s+'), w -> w <> '') as w")
+        window = f"slice(w, cast(pmod(xxhash64(h), greatest(1, size(w) - {words} + 1)) as int) + 1, {words})"
+        rows = some.groupBy("h").agg(F.first(F.expr(window)).alias("w")).orderBy("h").limit(sample).collect()
+        if len(rows) >= sample or share >= 1:
+            return [x for r in rows for x in r["w"]] or ["text"]
+        share = min(1.0, 8 * share)
+
+
+def cut(text: str) -> list[str]:
+    """A long text in pieces that share LAP characters, ending at white space where there is some."""
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        space = max(text.rfind(" ", at + PIECE - LAP, end), text.rfind("\n", at + PIECE - LAP, end))
+        out.append(text[at : space if space > 0 else end])
+        at = max(at + 1, (space if space > 0 else end) - LAP)
+    return [*out, text[at:]]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -158,8 +221,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     families, sorted, comma-joined ('' for none).
 
     One row per row of ``docs``.  A null or blank text has no paragraph; whole texts are scanned,
-    by lines and across them; repeated rows give equal rows; an empty table gives none; other columns
-    are not looked at.
+    by lines and across them, very long ones in overlapping pieces; repeated rows give equal rows; an
+    empty table gives none; other columns are not looked at.
     """
     model = fit(corpus_words(docs, text_col, sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -178,6 +241,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
                 wrapped = np.nonzero(breaks > 1)[0]
                 texts = pa.concat_arrays([lists.flatten(), whole.take(pa.array(wrapped))])
                 doc_of = np.concatenate([np.repeat(np.arange(len(part)), breaks), wrapped])
+                if (pc.max(pc.utf8_length(texts)).as_py() or 0) > PIECE:
+                    pieces = [cut(t) for t in texts.to_pylist()]
+                    texts, doc_of = pa.array([x for p in pieces for x in p]), np.repeat(doc_of, [len(p) for p in pieces])
                 cols, ok, at = HASHING.batch(texts)
                 sums = np.zeros((cols.shape[1] + 1, len(FAMILIES)))
                 for c, o in zip(cols, ok):
@@ -195,12 +261,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
                 predicted, confirmed = np.zeros(len(part), np.int32), np.zeros(len(part), np.int32)
                 paragraphs = np.bincount(doc_of[text], minlength=len(part)).astype(np.int32)
                 last, words = -1, []
-                for i in np.nonzero((p >= 0.5).any(axis=1))[0]:
+                for i in np.nonzero((p >= KNOWN).any(axis=1))[0]:
                     d, lo = doc_of[text[i]], int(a[i] - at[text[i]])
                     if text[i] != last:
                         last, words = text[i], texts[int(text[i])].as_py().split()
                     predicted[d] += 1
-                    sure = confirmed_families([FAMILIES[f] for f in np.nonzero(p[i] >= 0.5)[0]], " ".join(words[max(0, lo - STRIDE) : lo + WINDOW + STRIDE]))
+                    sure = confirmed_families([FAMILIES[f] for f in np.nonzero(p[i] >= KNOWN)[0]], " ".join(words[max(0, lo - STRIDE) : lo + WINDOW + STRIDE]))
                     confirmed[d] += bool(sure)
                     found[d] |= sure
                 yield pa.RecordBatch.from_arrays(

@@ -518,3 +518,35 @@ def test_licenses_wrapped_and_dual(spark):
     got = {r.id: r.licenses for r in licenses.scan(docs(spark, rows)).collect()}
     assert [got[i] for i in range(len(texts))] == list(texts)
     assert (got[9], got[10]) == ("Apache-2.0,CC-BY-NC-4.0", "Apache-2.0,MIT")
+
+
+def test_licenses_on_texts_not_trained_on(spark):
+    """Notices that are no template, and texts that grant nothing: precision and recall by family."""
+    cases = [
+        ("MIT", "This project is released under the MIT License, see the file beside it."), ("MIT", "The code is licensed under the MIT licence."), ("MIT", "SPDX-License-Identifier: MIT"),
+        ("Apache-2.0", "All samples here are licensed under the Apache License, Version 2.0 (the License)"), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"),
+        ("GPL", "This file is licensed under the GNU General Public License, version 3 or later"), ("GPL", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+        ("LGPL", "It is licensed under the GNU Lesser General Public License, version 3"), ("AGPL-3.0", "The server is licensed under the GNU Affero General Public License, version 3"),
+        ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"), ("ISC", "Everything is released under the ISC licence"),
+        ("EPL-2.0", "This program is made available under the terms of the Eclipse Public License 2.0 which is available"), ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+        ("CC-BY-4.0", "Distributed under the Creative Commons Attribution 4.0 licence"), ("CC-BY-SA-4.0", "Photos are licensed under CC BY-SA 4.0"), ("MPL-2.0", "licensed under the Mozilla Public License 2.0 by its authors"),
+        ("Unlicense", "This is free and unencumbered software released into the public domain."), ("CC0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
+    ]
+    clean = [
+        "Everything here is **not** released under the MIT license", "This was never licensed under the Apache License, Version 2.0", "The licence of the driver was taken", "She studied at MIT and released a paper under a pen name",
+        "The public license office opens at nine", "An apache pilot holds a license", "The terms of the general public debate", "Mozilla and Eclipse are names", "permission was granted to distribute leaflets", "Creative work of the commons",
+    ]
+    rows = [(i, t) for i, (_, t) in enumerate(cases)] + [(100 + i, t) for i, t in enumerate(clean)]
+    rows += [(200, "word " * 260_000 + "Released under the MIT License " + "word " * 20_000), (201, "a\n" * 3 + "w " * 700_000 + "\nLicensed under CC BY 4.0\n" + "w " * 10)]
+    got = {r.id: r.licenses for r in licenses.scan(docs(spark, rows)).collect()}
+    right = [f == got[i] for i, (f, _) in enumerate(cases)]
+    print("licences: recall", sum(right) / len(right), [c for c, ok in zip(cases, right) if not ok], "false", [(t, got[100 + i]) for i, t in enumerate(clean) if got[100 + i]])
+    assert sum(right) >= len(right) - 1 and not any(got[100 + i] for i in range(len(clean)))
+    assert (got[200], got[201]) == ("MIT", "CC-BY-4.0")
+    assert licenses.scan(docs(spark, [])).collect() == []
+
+
+def test_license_sample_is_bounded_and_of_whole_texts(spark):
+    rows = [(i, "copy " * 300) for i in range(500)] + [(1000 + i, "head " * 200 + f"tail{i} " * 800) for i in range(60)]
+    words = licenses.corpus_words(docs(spark, rows), sample=40, words=10)
+    assert len(words) == 400 and sum(w.startswith("tail") for w in words) > 200 and words.count("copy") <= 10
