@@ -6,6 +6,9 @@ e-mail addresses are replaced by another value of the same format.  A value is a
 size N of its format's domain; E is a keyed Feistel permutation of [0, N) by cycle walking, and
 the pseudonym is E(E^-1(x) + 1 mod N): a keyed permutation without fixed points, so equal values
 stay linked over all documents, different values stay different, and no value stays as it is.
+
+A date's domain are the days with as many digits in day and month, and with a day above or below 12:
+so a date keeps its width however it is written, and equal dates in different styles stay linked.
 """
 
 from __future__ import annotations
@@ -145,6 +148,10 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind in ("ymd", "dmy"):
         return _date(kind, value, key)
+    if kind == "email":
+        local, at, host = value.partition("@")
+        symbols = re.sub(r"[^A-Za-z0-9]", "", local)
+        return refill(local, alnum(key, kind, symbols)) + at + host if symbols else None
     if kind == "tel":
         if not 7 <= len(own) <= 15:
             return None
@@ -156,27 +163,40 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     raise ValueError(kind)
 
 
+@lru_cache(maxsize=1)
+def _days() -> tuple[dict[int, tuple[tuple[int, int], int]], dict[tuple[int, int], list[int]]]:
+    """A day's domain and its place there; each domain's days in order."""
+    place, domains = {}, {}
+    for x in range(FIRST_DAY, LAST_DAY + 1):
+        d = dt.date.fromordinal(x)
+        domain = (0 if d.day < 10 else 1 if d.day <= 12 else 2, int(d.month >= 10))
+        days = domains.setdefault(domain, [])
+        place[x] = (domain, len(days))
+        days.append(x)
+    return place, domains
+
+
 def _date(kind: str, value: str, key: bytes) -> str | None:
-    a, b, c = (int(p) for p in re.split(r"[-./]", value))
+    fields = re.split(r"[-./]", value)
+    a, b, c = map(int, fields)
     tries = [("ymd", a, b, c)] if kind == "ymd" else [("dmy", c, b, a), ("mdy", c, a, b)]
     for style, y, m, d in tries:
         try:
             x = dt.date(y, m, d).toordinal()
         except ValueError:
             continue
-        if not FIRST_DAY <= x <= LAST_DAY:
+        place, domains = _days()
+        if x not in place:
             return None
-        perm = permutation(key, style, LAST_DAY - FIRST_DAY + 1)
-        while True:
-            x = perm(x - FIRST_DAY) + FIRST_DAY
-            new = dt.date.fromordinal(x)
-            if style != "mdy" or new.day > 12:  # else it would read as day and month
-                break
+        domain, i = place[x]
+        days = domains[domain]
+        new = dt.date.fromordinal(days[permutation(key, f"date{domain}", len(days))(i)])
         if style == "ymd":
             return new.isoformat()
         sep = re.search(r"[./]", value)[0]
-        first, second = (new.day, new.month) if style == "dmy" else (new.month, new.day)
-        return f"{first:02d}{sep}{second:02d}{sep}{new.year}"
+        both = (new.day, new.month) if style == "dmy" else (new.month, new.day)
+        first, second = (f"{x:0{len(old)}d}" for x, old in zip(both, fields))
+        return f"{first}{sep}{second}{sep}{new.year}"
     return None
 
 
@@ -191,36 +211,37 @@ def shorter(value: str) -> list[str]:
 
 
 def redact(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
-    """-> (new text, [(kind, start, end) in the old text])."""
+    """-> (new text, [(kind, start, end) in the old text, in order]).  One pass over the old text: an
+    e-mail address is one value, whatever numbers its local part holds."""
     found: list[tuple[str, int, int]] = []
+    parts, done, at = [], 0, 0
+
+    def put(kind: str, start: int, end: int, new: str) -> None:
+        nonlocal done
+        parts.extend((text[done:start], new))
+        found.append((kind, start, end))
+        done = end
 
-    def numbers() -> str:
-        parts, done, at = [], 0, 0
-        while m := FIND.search(text, at):
+    def numbers(at: int, end: int) -> None:
+        while m := FIND.search(text, at, end):
             kind = m.lastgroup
             for value in shorter(m[0]) if kind == "iban" else (m[0],):
                 new = pseudonym(kind, value, key)
                 if new is not None:
                     at = m.start() + len(value)
-                    parts += (text[done : m.start()], new)
-                    found.append((kind, m.start(), at))
-                    done = at
+                    put(kind, m.start(), at, new)
                     break
             else:
                 at = m.start() + 1  # what was rejected may hide a value
-        return "".join((*parts, text[done:]))
-
-    def mail(m: re.Match) -> str:
-        symbols = re.sub(r"[^A-Za-z0-9]", "", m[1])
-        if not symbols:
-            return m[0]
-        found.append(("email", m.start(), m.end()))
-        return refill(m[1], alnum(key, "email", symbols)) + m[2]
-
-    out = numbers()
-    if "@" in out:
-        out = MAIL.sub(mail, out)
-    return out, found
+
+    for m in MAIL.finditer(text) if "@" in text else ():
+        new = pseudonym("email", m[0], key)
+        if new is not None:
+            numbers(at, m.start())
+            put("email", m.start(), m.end(), new)
+            at = m.end()
+    numbers(at, len(text))
+    return "".join((*parts, text[done:])), found
 
 
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,12 @@
 """WARC archives: a writer, and a splittable reader.
 
-Each record is a gzip member of its own.  A reader task owns the records whose member starts in
+Each record is a gzip member of its own, with an id of its own.  A page's block is an HTTP response
+whose body is the payload; a revisit's is its header alone, and it names the page it repeats by URI,
+date and payload digest (and by X-Refers-To-Page).  A reader task owns the records whose member starts in
 its byte range: it scans the range for gzip magic, accepts a candidate if its first bytes inflate
 to a WARC header, then follows the members one after the other past the range's end, if the last
-one reaches there.  Damage between members is skipped by scanning on.
+one reaches there.  Damage between members is skipped by scanning on; a member that begins as a
+record but breaks off, or holds less than its Content-Length, gives a row of type ``damaged``.
 
 Files are reached through ``pyarrow.fs``, so the folder may be any URI it knows (file, hdfs, s3,
 gs).  A writing task's files count only if its manifest rows were committed, so retried and lost
@@ -12,6 +15,7 @@ tasks leave no duplicates.
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import uuid
 import zlib
@@ -27,7 +31,8 @@ FILE_BYTES = 256 << 20
 MIN_REVISIT = 1000
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SCHEMA = "type string, record_id string, refers_to string, uri string, payload_digest string, payload_length long, payload binary"
+SCHEMA = "type string, record_id string, page_id long, refers_to long, uri string, date string, payload_digest string, payload_length long, payload binary"
+HTTP = "application/http; msgtype=response"
 
 
 def _clean(value) -> str:
@@ -42,17 +47,28 @@ def member(headers: list[tuple[str, object]], block: bytes) -> bytes:
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+    """A record's fields, names in lower case, and its block.  ValueError if it is not whole."""
     head, _, rest = record.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    return fields, rest[: int(fields.get("content-length", len(rest)))]
+    length = int(fields.get("content-length", ""))
+    if not 0 <= length <= len(rest):
+        raise ValueError("the block is shorter than Content-Length")
+    return fields, rest[:length]
 
 
-def write_records(records: DataFrame, folder: str) -> DataFrame:
-    """``records (id, uri, payload string, refers_to)`` -> manifest (path, bytes, records), written
-    out.  A record with ``refers_to`` is a revisit without payload; a null payload is empty."""
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    """The body of an HTTP response, else the block."""
+    return block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+
+
+def write_records(records: DataFrame, folder: str, date: dt.datetime | None = None) -> DataFrame:
+    """``records (id, uri, payload string, refers_to, refers_to_uri)`` -> manifest (path, bytes,
+    records), written out.  A record with ``refers_to`` is a revisit without payload; a null payload is
+    empty.  All records take the date of the call if none is given."""
+    when = (date or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         import pyarrow as pa
@@ -67,23 +83,24 @@ def write_records(records: DataFrame, folder: str) -> DataFrame:
                     if out is None:
                         path = f"{root}/{uuid.uuid4().hex}.warc.gz"
                         out, size, n = fs.open_output_stream(path, compression=None), 0, 0
-                        size += out.write(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>")], b"software: siltstone\r\n"))
+                        info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", when), ("Content-Type", "application/warc-fields")]
+                        size += out.write(member(info, b"software: siltstone\r\n"))
                     data = (row["payload"] or "").encode()
                     old = row["refers_to"]
-                    size += out.write(
-                        member(
-                            [
-                                ("WARC-Type", "response" if old is None else "revisit"),
-                                ("WARC-Record-ID", f"<urn:siltstone:{row['id']}>"),
-                                ("WARC-Target-URI", row["uri"]),
-                                ("WARC-Payload-Digest", "sha1:" + hashlib.sha1(data).hexdigest()),
-                                ("X-Payload-Length", len(data)),
-                                ("WARC-Profile", None if old is None else PROFILE),
-                                ("WARC-Refers-To", None if old is None else f"<urn:siltstone:{old}>"),
-                            ],
-                            data if old is None else b"",
-                        )
-                    )
+                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n".encode()
+                    fields = [
+                        ("WARC-Type", "response" if old is None else "revisit"),
+                        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
+                        ("WARC-Date", when),
+                        ("WARC-Target-URI", row["uri"]),
+                        ("Content-Type", HTTP),
+                        ("WARC-Payload-Digest", "sha1:" + hashlib.sha1(data).hexdigest()),
+                        ("X-Payload-Length", len(data)),
+                        ("X-Page", row["id"]),
+                    ]
+                    if old is not None:
+                        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", row["refers_to_uri"]), ("WARC-Refers-To-Date", when), ("X-Refers-To-Page", old)]
+                    size += out.write(member(fields, http + data if old is None else http))
                     n += 1
                     if size >= FILE_BYTES:
                         out.close()
@@ -93,24 +110,30 @@ def write_records(records: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "records": [n]})
 
-    cols = records.select(F.col("id").cast("long").alias("id"), F.col("uri").cast("string").alias("uri"), F.col("payload").cast("string").alias("payload"), F.col("refers_to").cast("long").alias("refers_to"))
+    cols = records.select(F.col("id").cast("long").alias("id"), F.col("uri").cast("string").alias("uri"), F.col("payload").cast("string").alias("payload"), F.col("refers_to").cast("long").alias("refers_to"), F.col("refers_to_uri").cast("string").alias("refers_to_uri"))
     return materialize(map_arrow(cols, run, "path string, bytes long, records long"), "warc-manifest")
 
 
 class _Window:
-    """Forward reads of a file with a buffer."""
+    """Forward reads of a file: ``buf[at:]`` is what was read from ``base + at`` on.  Reads grow with
+    what is held, and what was passed is dropped in large steps, so nothing is copied over and over."""
 
-    def __init__(self, file, at: int, step: int = 1 << 18):
-        self.file, self.at, self.step, self.buf = file, at, step, b""
+    def __init__(self, file, base: int, step: int = 1 << 18):
+        self.file, self.base, self.step, self.buf, self.at = file, base, step, bytearray(), 0
 
     def fill(self) -> bool:
-        self.file.seek(self.at + len(self.buf))
-        more = self.file.read(self.step)
+        if self.at > self.step and 2 * self.at > len(self.buf):
+            del self.buf[: self.at]
+            self.base, self.at = self.base + self.at, 0
+        self.file.seek(self.base + len(self.buf))
+        more = self.file.read(max(self.step, len(self.buf) - self.at))
         self.buf += more
         return bool(more)
 
-    def skip(self, n: int) -> None:
-        self.at, self.buf = self.at + n, self.buf[n:]
+    def head(self, n: int) -> bytes:
+        while len(self.buf) - self.at < n and self.fill():
+            pass
+        return bytes(self.buf[self.at : self.at + n])
 
 
 def is_record(head: bytes) -> bool:
@@ -122,48 +145,52 @@ def is_record(head: bytes) -> bool:
 
 
 def records_in(file, start: int, end: int):
-    """The records (fields, block) whose members start in [start, end)."""
+    """The records (fields, block) whose members start in [start, end).  For a member that begins as
+    a record but is not whole: (None, its place)."""
     w = _Window(file, start)
     while True:
-        i = w.buf.find(MAGIC)
+        i = w.buf.find(MAGIC, w.at)
         if i < 0:
-            if w.at + len(w.buf) - 2 >= end or not w.fill():
+            w.at = max(w.at, len(w.buf) - 2)
+            if w.base + w.at >= end or not w.fill():
                 return
             continue
-        if w.at + i >= end:
+        if w.base + i >= end:
             return
-        w.skip(i)
-        while len(w.buf) < 256 and w.fill():
-            pass
-        if not is_record(w.buf[:4096]):
-            w.skip(1)
+        w.at = i
+        if not is_record(w.head(4096)):
+            w.at += 1
             continue
         z, out, used = zlib.decompressobj(31), [], 0
         try:
             while not z.eof:
-                if used == len(w.buf) and not w.fill():
+                if w.at + used == len(w.buf) and not w.fill():
                     raise zlib.error("cut off")
-                piece = w.buf[used:]
+                piece = bytes(w.buf[w.at + used : w.at + used + (1 << 20)])
                 out.append(z.decompress(piece))
                 used += len(piece) - len(z.unused_data)
             record = parse(b"".join(out))
         except (zlib.error, ValueError):
-            w.skip(1)
+            yield None, w.base + w.at
+            w.at += 1
             continue
         yield record
-        w.skip(used)
+        w.at += used
 
 
 def read_records(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``files (path, bytes)`` under ``folder``'s file system -> SCHEMA, a row per record but
-    warcinfo.  A file without records gives none."""
+    warcinfo; for a damaged one a row with its file as uri and its place as payload_length.  A file
+    without records gives none."""
 
     def run(batches):
         import pyarrow as pa
         from pyarrow import fs as pafs
 
         fs, _ = pafs.FileSystem.from_uri(folder)
-        schema = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("payload", pa.binary())])
+        text, whole = pa.string(), pa.int64()
+        schema = pa.schema([("type", text), ("record_id", text), ("page_id", whole), ("refers_to", whole), ("uri", text), ("date", text), ("payload_digest", text), ("payload_length", whole), ("payload", pa.binary())])
+        number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
 
         def flush(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -173,11 +200,15 @@ def read_records(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES)
                 with fs.open_input_file(s["path"]) as file:
                     rows, size = [], 0
                     for h, block in records_in(file, s["start"], s["end"]):
+                        if h is None:
+                            rows.append(("damaged", None, None, None, s["path"], None, None, block, None))
+                            continue
                         if h.get("warc-type") == "warcinfo":
                             continue
-                        length = h.get("x-payload-length")
-                        rows.append((h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), int(length) if length else None, block))
-                        size += len(block)
+                        data = payload_of(h, block)
+                        ids = [number(h.get(x)) for x in ("x-page", "x-refers-to-page")]
+                        rows.append((h.get("warc-type"), h.get("warc-record-id"), *ids, h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-payload-digest"), number(h.get("x-payload-length")), data))
+                        size += len(data)
                         if size > 4 << 20:
                             yield flush(rows)
                             rows, size = [], 0
@@ -191,34 +222,35 @@ def read_records(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES)
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """``pages (id, digest, bytes)`` -> (id, target): pages whose payload of MIN_REVISIT bytes or
-    more also belongs to a page with a larger id."""
-    own = materialize(pages.where(f"bytes >= {MIN_REVISIT}").select("id", "digest"), "digests")
-    last = own.groupBy("digest").agg(F.max("id").alias("target"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return own.join(materialize(last, "last"), "digest").where("id <> target").select("id", "target").distinct()
+    """``pages (id, uri, digest, bytes)`` -> (id, digest, target, target_uri): pages whose payload of
+    MIN_REVISIT bytes or more also belongs to a page with a larger id."""
+    own = materialize(pages.where(f"bytes >= {MIN_REVISIT} and id is not null").select("id", "uri", "digest"), "digests")
+    last = own.groupBy("digest").agg(F.max(F.struct("id", "uri")).alias("last"), F.count("*").alias("c")).where("c > 1").drop("c")
+    both = own.join(materialize(last, "last"), "digest").where("id <> last.id")
+    return both.selectExpr("id", "digest", "last.id as target", "last.uri as target_uri").distinct()
 
 
-def archive(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html") -> DataFrame:
+def archive(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", date: dt.datetime | None = None) -> DataFrame:
     """Write all pages as WARC records -> manifest.
 
-    Null payloads are empty, and small ones are all responses; repeated rows are each written;
-    rows that share an id and a payload are all responses or all revisits.  A null id is written
-    as such and its page never is a revisit.  An empty table writes nothing.
+    Null payloads are empty, and small ones are all responses; repeated rows are each written, with
+    record ids of their own; different payloads under one id are judged each on its own.  A page
+    without an id is a response that names no page.  An empty table writes nothing.
     """
-    src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
-    old = materialize(revisits(src.selectExpr("id", "sha1(payload) as digest", "octet_length(payload) as bytes")), "revisits")
-    refers = src.join(small(old), "id", "left").withColumnRenamed("target", "refers_to")
-    return write_records(refers, folder)
+    src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
+    old = materialize(revisits(src.selectExpr("id", "uri", "sha1(payload) as digest", "octet_length(payload) as bytes")), "revisits")
+    old = small(old.toDF("page", "same", "refers_to", "refers_to_uri"))
+    found = src.join(old, (F.col("id") == F.col("page")) & (F.sha1("payload") == F.col("same")), "left")
+    return write_records(found, folder, date)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     back = read_records(archive(read(spark, sf_dir, "pages"), folder), folder)
-    num = lambda c: f"try_cast(regexp_extract({c}, '<urn:siltstone:(-?[0-9]+)>', 1) as bigint)"
-    return back.selectExpr(
-        f"{num('record_id')} as page_id",
+    return back.where("type in ('response', 'revisit')").selectExpr(
+        "page_id",
         "if(type = 'response', cast(octet_length(payload) as bigint), payload_length) as payload_bytes",
         "if(type = 'response', sha1(payload), substr(payload_digest, 6)) as payload_digest",
         "type as record_type",
-        f"{num('refers_to')} as refers_to",
+        "refers_to",
     )
