@@ -47,7 +47,8 @@ def typed_blocks(x: str) -> str:
         when a.cur is not null then named_struct('done', a.done, 'cur', named_struct('type', a.cur.type, 'params', a.cur.params, 'content', if(a.cur.content is null, l, concat(a.cur.content, '\\n', l))))
         else a end"""
     fold = f"aggregate(split({x}, '\\n'), named_struct('done', cast(array() as array<struct<type:string,params:map<string,string>,content:string>>), 'cur', {blank}), (a, l) -> {step}, a -> {done})"
-    clean = f"transform({fold}, b -> named_struct('type', b.type, 'params', b.params, 'content', {trim(chr(99) + 'oalesce(b.content, ' + chr(39) * 2 + ')')}))"
+    content = trim("coalesce(b.content, '')")
+    clean = f"transform({fold}, b -> named_struct('type', b.type, 'params', b.params, 'content', {content}))"
     whole = f"array(named_struct('type', 'text', 'params', cast(null as map<string,string>), 'content', {trim(x)}))"
     return f"case when {trim(x)} = '' then cast(array() as array<struct<type:string,params:map<string,string>,content:string>>) else transform(array({clean}), bs -> if(size(bs) = 0, {whole}, bs))[0] end"
 

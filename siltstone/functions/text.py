@@ -1,10 +1,12 @@
-"""Text functions as SQL expressions (JVM-side).  Lengths are UTF-8 bytes; blank means ASCII white
+"""Text functions as SQL expressions (JVM-side).  Lengths are UTF-8 bytes; blank means Unicode white
 space.  Each function takes SQL expressions and returns one, so it nests in any plan."""
 
 from __future__ import annotations
 
-#: ASCII white space at either end.
-EDGES = r"r'^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$'"
+#: Fixed value: Unicode white space, as a regular expression class that Java and RE2 both read.
+SPACE = r"[ \t\n\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: White space at either end.
+EDGES = f"r'^{SPACE}+|{SPACE}+$'"
 #: Tags that become line breaks, in order.
 BREAK_TAGS = [
     ("<br>", "\\n"), ("<br/>", "\\n"), ("<br />", "\\n"), ("</p>", "\\n\\n"), ("</div>", "\\n"), ("</li>", "\\n"),
@@ -27,8 +29,8 @@ def word_count(x: str) -> str:
 
 
 def fields(x: str) -> str:
-    """Words between ASCII white space."""
-    return f"filter(split({x}, r'[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '')"
+    """Words between Unicode white space."""
+    return f"filter(split({x}, r'{SPACE}+'), w -> w <> '')"
 
 
 def html_text(x: str) -> str:
@@ -75,11 +77,12 @@ def is_toc_page(x: str) -> str:
     """At least two of: chapter lines with dotted leaders, lines ending in a page number, short
     lines."""
     chapter = r"r'(?iu)(глава|chapter|раздел|section|часть|part|unit|module)\s+\d+'"
+    leader, number = r"r'[.]{3,}\s*\d+\s*$'", r"r'\s\d{1,4}\s*$'"
     lines = f"filter(transform(split({x}, '\\n'), l -> {trim('l')}), l -> l <> '')"
     share = lambda cond: f"cast(size(filter(ls, l -> {cond})) as double) / size(ls)"
     signals = (
-        f"if({share(f'l rlike {chapter} and l rlike ' + chr(114) + chr(39) + '[.]{3,}\\s*\\d+\\s*$' + chr(39))} > 0.2D, 1, 0)"
-        f" + if({share('l rlike ' + chr(114) + chr(39) + '\\s\\d{1,4}\\s*$' + chr(39))} > 0.4D, 1, 0)"
+        f"if({share(f'l rlike {chapter} and l rlike {leader}')} > 0.2D, 1, 0)"
+        f" + if({share(f'l rlike {number}')} > 0.4D, 1, 0)"
         " + if(aggregate(ls, 0L, (a, l) -> a + octet_length(l)) div size(ls) < 40, 1, 0)"
     )
     return f"(size(split({x}, '\\n')) >= 5 and transform(array({lines}), ls -> if(size(ls) = 0, false, {signals} >= 2))[0])"
@@ -99,9 +102,13 @@ def longest_run(words: str) -> str:
     return f"aggregate(transform({words}, w -> lower(w)), named_struct('w', cast(null as string), 'n', 0, 'm', 0), (a, w) -> {step}, a -> a.m)"
 
 
-def trigrams(words: str) -> str:
-    """Lower-cased 3-grams of an array of words."""
-    return f"if(size({words}) < 3, array(), transform(sequence(1, size({words}) - 2), i -> lower(array_join(slice({words}, i, 3), ' '))))"
+def most_trigram(words: str) -> str:
+    """How often the most frequent 3-gram of an array of words occurs, ignoring case: its grams'
+    hashes, sorted, and their longest equal stretch.  Nothing leaves the row."""
+    grams = "transform(sequence(1, size(lw) - 2), i -> xxhash64(lw[i - 1], lw[i], lw[i + 1]))"
+    step = "named_struct('g', g, 'n', if(g = a.g, a.n + 1L, 1L), 'm', greatest(a.m, if(g = a.g, a.n + 1L, 1L)))"
+    fold = f"aggregate(array_sort({grams}), named_struct('g', cast(null as bigint), 'n', 0L, 'm', 0L), (a, g) -> {step}, a -> a.m)"
+    return f"transform(array(transform({words}, w -> lower(w))), lw -> if(size(lw) < 3, 0L, {fold}))[0]"
 
 
 def comma_list(x: str) -> str:
@@ -118,22 +125,33 @@ def confidence(x: str) -> str:
     return f"case when {x} >= 0.7D then 'high' when {x} >= 0.4D then 'medium' else 'low' end"
 
 
+#: Characters a file name may not hold, and what each becomes.
+RESERVED, REPLACEMENT = r'/\:*?"<>|', "-----'---"
+
+
 def sanitize_filename(x: str) -> str:
-    """Reserved characters to hyphens, double quotes to single, white space collapsed (input in
-    Unicode NFC)."""
-    return f"{trim(chr(10).join([f'regexp_replace(translate({x}, {REPLACED}), r{chr(39)}[ {chr(92)}t{chr(92)}n{chr(92)}x0B{chr(92)}f{chr(92)}r]+{chr(39)}, {chr(39)} {chr(39)})']))}"
+    """Reserved characters to hyphens, double quotes to single, NUL dropped, white space collapsed
+    (input in Unicode NFC: ``nfc`` brings it there)."""
+    cleaned = f"replace(translate({x}, {literal(RESERVED)}, {literal(REPLACEMENT)}), chr(0), '')"
+    return trim(f"regexp_replace({cleaned}, r'{SPACE}+', ' ')")
 
 
-REPLACED = "concat(chr(47), chr(92), ':*?', chr(34), '<>|'), concat('-----', chr(39), '---')"
+def literal(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def title(path: str) -> str:
     """A path's base name without its last extension; hidden files keep theirs."""
     base = f"substring_index({path}, '/', -1)"
-    return f"if({path} = '', 'unnamed_document', {sanitize_filename(f'regexp_replace({base}, {STEM}, {chr(39)}{chr(36)}1{chr(39)})')})"
+    stem = f"regexp_replace({base}, r'(?s)^(.+)[.][^.]*$', '$1')"
+    return f"if({path} = '', 'unnamed_document', {sanitize_filename(stem)})"
 
 
-STEM = "r'(?s)^(.+)[.][^.]*$'"
+def document_title(frontmatter: str, path: str) -> str:
+    """The frontmatter's title if it has one, else the path's."""
+    own = trim(f"coalesce(try_element_at({frontmatter}, 'title'), '')")
+    return f"if({own} <> '', {own}, {title(path)})"
 
 
 def duration(seconds: str) -> str:
@@ -190,10 +208,136 @@ def vector_size(model: str) -> str:
     )
 
 
-def retryable(x: str) -> str:
-    return f"({x} in (429, 500, 502, 503, 504))"
+def retryable(status: str) -> str:
+    """Whether an HTTP status is worth another try."""
+    return f"({status} in (429, 500, 502, 503, 504))"
+
+
+#: Parts of the messages of errors that are worth another try.
+RETRYABLE = ["rate limit", "timeout", "5xx", "503", "502", "429", "too many requests", "unavailable"]
+
+
+def retryable_error(message: str) -> str:
+    return "(" + " or ".join(f"contains({message}, '{x}')" for x in RETRYABLE) + ")"
+
+
+#: First words of questions and commands, as the published behaviour description lists
+#: them.
+QUESTION_WORDS, COMMAND_WORDS = ["как", "что", "почему"], ["напиши", "объясни", "расскажи"]
 
 
 def query_format(x: str) -> str:
-    """A query's form: question, command or fragment (after a published behaviour description)."""
-    return f"case when {trim(x)} rlike r'[?]$' or lower({trim(x)}) rlike r'^(what|who|why|how|when|where|which|что|кто|как|почему|когда|где)\\b' then 'question' when {word_count(x)} < 4 then 'fragment' when {trim(x)} rlike r'[.!]$' then 'statement' else 'command' end"
+    """A query's form: a question mark at the end or a question word first makes a question, an
+    imperative first a command; of the rest up to three words are a fragment, more a statement."""
+    first = f"regexp_extract(lower({trim(x)}), r'^([\\p{{L}}]+)', 1)"
+    among = lambda ws: f"{first} in ({', '.join(literal(w) for w in ws)})"
+    return (
+        f"case when endswith({trim(x)}, '?') or {among(QUESTION_WORDS)} then 'question' when {among(COMMAND_WORDS)} then 'command' "
+        f"when {word_count(x)} < 4 then 'fragment' else 'statement' end"
+    )
+
+
+def keyword_overlap(query: str, x: str) -> str:
+    """How many different words of a query a text holds, ignoring case."""
+    return f"size(array_intersect(array_distinct({fields(f'lower({query})')}), {fields(f'lower({x})')}))"
+
+
+def byte_cap(x: str, n: int) -> str:
+    """The longest beginning of at most n bytes that ends at a character boundary."""
+    cuts = f"transform(sequence(0, 3), i -> substring(encode({x}, 'utf-8'), 1, {n} - i))"
+    return f"if(octet_length({x}) <= {n}, {x}, cast(filter({cuts}, c -> is_valid_utf8(cast(c as string)))[0] as string))"
+
+
+def display_cut(x: str, n: int) -> str:
+    """At most n bytes for a listing, the last three of a cut one being dots."""
+    return f"if(octet_length({x}) > {n}, concat({byte_cap(x, n - 3)}, '...'), {x})"
+
+
+def is_hash_name(x: str) -> str:
+    """Whether a folder's name is a document's hash: eight hex digits."""
+    return f"({x} rlike r'^[0-9a-f]{{8}}$')"
+
+
+def eta(done: str, took_ms: str, total: str, failed: str, skipped: str, active: str) -> str:
+    """The time that remaining files take at the mean pace of the finished ones."""
+    left = f"({total} - {done} - {failed} - {skipped})"
+    sec = f"cast(({left} * ({took_ms} div {done}) div {active} + 500) div 1000 as bigint)"
+    h, m, s = f"{sec} div 3600", f"{sec} % 3600 div 60", f"{sec} % 60"
+    two = lambda v: f"lpad(cast({v} as string), 2, '0')"
+    return (
+        f"case when {done} < 1 or {active} = 0 then 'ETA ...' when {left} <= 0 then 'done' when {sec} < 60 then concat('ETA ', {sec}, 's') "
+        f"when {h} > 0 then concat('ETA ', {h}, 'h', {two(m)}, 'm') when {s} > 0 then concat('ETA ', {m}, 'm', {two(s)}, 's') else concat('ETA ', {m}, 'm') end"
+    )
+
+
+#: The stage that an event stands for.
+EVENT_STAGES = {
+    "pipeline_start": "pipeline", "pre_clean": "cleaning", "pre_clean_done": "cleaning", "splitting": "splitting", "processing_start": "processing",
+    "holistic_analysis": "holistic", "holistic_done": "holistic", "causal_extraction": "causal", "causal_done": "causal",
+    "context_enrichment": "enriching", "context_enrichment_done": "enriching", "assembling": "assembling", "completed": "done",
+}
+
+
+def stage_label(event: str, data: str) -> str:
+    """An event's stage, null where it keeps the current one.  ``data``: map<string,string>."""
+    get = lambda k: f"coalesce({data}['{k}'], '0')"
+    plain = " ".join(f"when {event} = '{k}' then '{v}'" for k, v in EVENT_STAGES.items())
+    return (
+        f"case when {event} = 'split_done' then if(coalesce(size({data}), 0) > 0, concat({get('chunks')}, ' chunks'), 'splitting') "
+        f"when {event} = 'processing_chunk' and size({data}) > 0 then concat('chunk ', {get('chunk')}, '/', {get('total')}) "
+        f"when {event} = 'processing_retry' and size({data}) > 0 then concat('chunk ', {get('chunk')}, ' retry ', {get('attempt')}) {plain} end"
+    )
+
+
+def event_line(event: str, error: str, data: str) -> str:
+    """An event as a line: its error, or its type and data in the order of the keys, values cut."""
+    pairs = f"transform(array_sort(map_keys({data})), k -> concat(' ', k, '=', {byte_cut(f'{data}[k]', 80)}))"
+    return f"if(coalesce({error}, '') <> '', concat('ERROR: ', {error}), concat({event}, coalesce(array_join({pairs}, ''), '')))"
+
+
+def mime(data: str) -> str:
+    """An image's type by its first bytes; JPEG if unknown."""
+    head = f"hex(substring({data}, 1, 12))"
+    return (
+        f"case when startswith({head}, '89504E47') then 'image/png' when startswith({head}, '47494638') then 'image/gif' "
+        f"when startswith({head}, '52494646') and endswith({head}, '57454250') then 'image/webp' when startswith({head}, '424D') then 'image/bmp' else 'image/jpeg' end"
+    )
+
+
+def data_url(data: str) -> str:
+    return f"concat('data:', {mime(data)}, ';base64,', base64({data}))"
+
+
+def string_list(x: str) -> str:
+    """A list written as a string: brackets off, cut at commas, blanks dropped."""
+    return comma_list(f"regexp_replace({x}, r'^[\\[\\]]+|[\\[\\]]+$', '')")
+
+
+def holistic(x: str) -> str:
+    """A reply's thesis (the last of its lines) and all its domains."""
+    every = "flatten(transform(regexp_extract_all(" + x + r", r'(?im)^[ \t]*domains:(.*)$', 1), d -> " + comma_list("d") + "))"
+    return f"named_struct('core_thesis', {field(x, 'core_thesis')}, 'domains', {every})"
+
+
+def holistic_reload(x: str) -> str:
+    """A stored analysis, ``thesis`` and behind ``Domains: `` its list."""
+    parts = f"split({x}, '\n\nDomains: ', 2)"
+    return f"named_struct('core_thesis', ({parts})[0], 'domains', if(size({parts}) > 1, split(({parts})[1], ', '), cast(array() as array<string>)))"
+
+
+def nfc_columns(df, *columns: str):
+    """``df`` with string columns in Unicode NFC, for which Spark has no function."""
+    from ..shipping import map_arrow
+
+    def run(batches):
+        import unicodedata
+
+        import pyarrow as pa
+
+        def nfc(column):
+            return pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in column.to_pylist()], column.type)
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([nfc(c) if n in columns else c for n, c in zip(batch.schema.names, batch.columns)], names=batch.schema.names)
+
+    return map_arrow(df, run, df.schema)

@@ -6,11 +6,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
+from collections import Counter
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import RETRYABLE
 from ..shipping import map_arrow
 
 MAX_ATTEMPTS = 3
@@ -42,6 +45,8 @@ class Offline:
             return f"- cause: {words[0]}\nmechanism: {words[len(words) // 2]}\neffect: {words[-1]}\nrelation: leads_to"
         if stage == "context":
             return f"This part concerns {words[0]}."
+        if stage == "image":
+            return f"An image of {len(text)} characters of data."
         return f"type: concept\ntopic: {words[0].lower()}\nsummary: {' '.join(words)}\nkey_points: {', '.join(words[:3])}\nconfidence: 0.8"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
@@ -56,31 +61,76 @@ class Offline:
         return out.tolist()
 
 
+class Refused(Exception):
+    """The server answers, and another try would not help."""
+
+
 class Http:
-    """A server with OpenAI-style /v1/chat/completions and /v1/embeddings."""
+    """A server with OpenAI-style /v1/chat/completions and /v1/embeddings.  Busy answers are tried
+    again, ``tries`` times in all; a refused key is final; an answer without content gives its
+    reasoning."""
 
-    def __init__(self, url: str, model: str, key: str = "", timeout: float = 60):
-        self.url, self.model, self.key, self.timeout = url.rstrip("/"), model, key, timeout
+    def __init__(self, url: str, model: str, key: str = "", timeout: float = 60, tries: int = 4, backoff: float = 2):
+        self.url, self.model, self.key, self.timeout, self.tries, self.backoff = url.rstrip("/"), model, key, timeout, tries, backoff
 
     def _post(self, path: str, body: dict) -> dict:
         import urllib.error
         import urllib.request
 
         req = urllib.request.Request(self.url + path, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
-        try:
-            with urllib.request.urlopen(req, timeout=self.timeout) as r:
-                return json.load(r)
-        except urllib.error.URLError as e:
-            raise Unavailable(str(e)) from e
+        for n in range(1, self.tries + 1):
+            try:
+                with urllib.request.urlopen(req, timeout=self.timeout) as r:
+                    return json.load(r)
+            except urllib.error.HTTPError as e:
+                if e.code not in (429, 500, 502, 503, 504):
+                    raise Refused(f"status {e.code}") from e
+                last = Unavailable(f"status {e.code}")
+            except (urllib.error.URLError, TimeoutError) as e:
+                last = Unavailable(str(e))
+            if n < self.tries:
+                time.sleep(n * n * self.backoff)
+        raise last
 
     def chat(self, stage: str, text: str) -> str:
         out = self._post("/v1/chat/completions", {"model": self.model, "messages": [{"role": "system", "content": stage}, {"role": "user", "content": text}]})
-        return out["choices"][0]["message"]["content"]
+        said = out["choices"][0]["message"]
+        return said.get("content") or said.get("reasoning") or said.get("reasoning_content") or ""
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         return [d["embedding"] for d in self._post("/v1/embeddings", {"model": self.model, "input": texts})["data"]]
 
 
+class Local(Http):
+    """A server with /api/chat and /api/embed."""
+
+    def chat(self, stage: str, text: str) -> str:
+        return self._post("/api/chat", {"model": self.model, "stream": False, "messages": [{"role": "system", "content": stage}, {"role": "user", "content": text}]})["message"]["content"]
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._post("/api/embed", {"model": self.model, "input": texts})["embeddings"]
+
+
+class Chain:
+    """Models in order: the next one is asked when one's error is worth another try.  Embeddings are
+    the first one's, since vectors of different models don't compare."""
+
+    def __init__(self, *providers: Provider):
+        self.providers = providers
+
+    def chat(self, stage: str, text: str) -> str:
+        for p in self.providers[:-1]:
+            try:
+                return p.chat(stage, text)
+            except Exception as e:  # noqa: BLE001 - judged by its message
+                if not isinstance(e, Unavailable) and not any(x in str(e) for x in RETRYABLE):
+                    raise
+        return self.providers[-1].chat(stage, text)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self.providers[0].embed(texts)
+
+
 class Fallback:
     """The first provider that can be reached."""
 
@@ -102,10 +152,24 @@ class Fallback:
         return self._try(lambda p: p.embed(texts))
 
 
-def call_model(rows: DataFrame, provider: Provider, stage: str, accept: str = "", partitions: int | None = None) -> DataFrame:
-    """``rows (doc_id, chunk_idx, text)`` plus (response, attempts, error): up to three attempts
-    while the reply doesn't match the pattern ``accept``; an error is a value, not a failed job.
-    ``partitions`` bounds the calls made at a time."""
+def repeats(reply: str) -> bool:
+    """Whether a reply of ten words or more says a word over ten times in a row, or three words over
+    five times."""
+    w = reply.lower().split()
+    if len(w) < 10:
+        return False
+    run = longest = 1
+    for a, b in zip(w, w[1:]):
+        run = run + 1 if a == b else 1
+        longest = max(longest, run)
+    return longest > 10 or max(Counter(zip(w, w[1:], w[2:])).values()) > 5
+
+
+def call_model(rows: DataFrame, provider: Provider, stage: str, accept: str = "", partitions: int | None = None, retry: bool = False, backoff: float = 2) -> DataFrame:
+    """``rows (doc_id, chunk_idx, text)`` plus (response, attempts, error, prompt_chars, completion_chars,
+    latency_ms): up to three attempts while the reply repeats itself or doesn't match the pattern
+    ``accept``, the later ones saying what was wrong; an error is a value, not a failed job, and tried
+    again (after 2 and 8 seconds) with ``retry`` only.  ``partitions`` bounds the calls made at a time."""
 
     def run(batches):
         import pyarrow as pa
@@ -114,25 +178,45 @@ def call_model(rows: DataFrame, provider: Provider, stage: str, accept: str = ""
         for batch in batches:
             out = []
             for text in batch.column(2).to_pylist():
-                reply, error, n = None, None, 0
+                reply, error, n, note, sent, took = None, None, 0, "", 0, 0.0
                 for n in range(1, MAX_ATTEMPTS + 1):
+                    asked = (text or "") + note
+                    sent += len(asked.encode())
+                    start = time.monotonic()
                     try:
-                        reply, error = provider.chat(stage, text or ""), None
+                        reply, error = provider.chat(stage, asked), None
                     except Exception as e:  # noqa: BLE001 - any provider error becomes data
-                        error = f"{type(e).__name__}: {e}"
+                        reply, error = None, f"{type(e).__name__}: {e}"
+                    took += time.monotonic() - start
+                    if reply is None:
+                        if retry and n < MAX_ATTEMPTS:
+                            time.sleep(n * n * backoff)
+                            continue
                         break
-                    if ok(reply):
+                    if repeats(reply):
+                        error, note = "repetitive reply", "\n\nThe last reply repeated itself. Answer anew, without repetitions."
+                    elif not ok(reply):
+                        error, note = "invalid reply", f"\n\nThe last reply did not have the form asked for:\n{reply}"
+                    else:
                         break
-                    error = "invalid reply"
-                out.append((reply, n, error))
+                out.append((reply, n, error, sent, len((reply or "").encode()), int(took * 1000)))
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())],
-                names=["doc_id", "chunk_idx", "text", "response", "attempts", "error"],
+                [*batch.columns, *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]],
+                names=["doc_id", "chunk_idx", "text", "response", "attempts", "error", "prompt_chars", "completion_chars", "latency_ms"],
             )
 
     src = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_idx").cast("int").alias("chunk_idx"), "text")
     src = src.repartition(partitions) if partitions else src
-    return map_arrow(src, run, "doc_id string, chunk_idx int, text string, response string, attempts int, error string")
+    return map_arrow(src, run, "doc_id string, chunk_idx int, text string, response string, attempts int, error string, prompt_chars long, completion_chars long, latency_ms long")
+
+
+def call_telemetry(replies: DataFrame, stage: str, model: str) -> DataFrame:
+    """What ``call_model`` gives as telemetry rows; a call without a chunk has a null chunk_index."""
+    return replies.selectExpr(
+        "doc_id as source", f"'{stage}' as stage", "chunk_idx as chunk_index", "attempts - 1 as retry_attempt", f"'{model}' as model", "0L as prompt_tokens", "0L as completion_tokens",
+        "prompt_chars", "completion_chars", "0D as cost", "latency_ms", "error is null as success", "error", "current_timestamp() as timestamp",
+    )
 
 
 def embed_texts(rows: DataFrame, provider: Provider, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trim
+from ..functions.text import fields, trim
 
+#: Bytes of a chunk, and below which one is merged.
 CHUNK_BYTES, MERGE_BYTES = 1500, 500
+#: Fixed value: Unicode white space.
+BLANK = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def paragraphs(x: str) -> str:
@@ -42,14 +45,72 @@ def chunks(x: str, most: int = CHUNK_BYTES) -> str:
     return f"if(octet_length({x}) <= {most}, array({x}), filter({merge_small(pack(paragraphs(x), most))}, c -> {trim('c')} <> ''))"
 
 
+def cut(text: str, most: int = CHUNK_BYTES, least: int = MERGE_BYTES) -> list[str]:
+    """``chunks`` in one linear pass over a text's paragraphs."""
+    if len(text.encode()) <= most:
+        return [text]
+    packed: list[list[str]] = []
+    sizes: list[int] = []
+    for p in filter(None, (x.strip(BLANK) for x in text.split("\n\n"))):
+        n = len(p.encode())
+        if packed and sizes[-1] + n + 2 <= most:
+            packed[-1].append(p)
+            sizes[-1] += n + 2
+        else:
+            packed.append([p])
+            sizes.append(n)
+    if len(packed) <= 1:
+        return ["\n\n".join(p) for p in packed]
+    out: list[list[str]] = []
+    wait: list[str] = []
+    for p, n in zip(packed, sizes):
+        if n < least:
+            wait += p
+        else:
+            out.append(wait + p)
+            wait = []
+    if wait:
+        if out:
+            out[-1] += wait
+        else:
+            out.append(wait)
+    return ["\n\n".join(p) for p in out]
+
+
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = CHUNK_BYTES, single_newlines: bool = True) -> DataFrame:
-    """-> (id, chunk_idx, text, n_bytes).  ``single_newlines``: a line break parts paragraphs."""
-    text = f"replace(`{text_col}`, '\\n', '\\n\\n')" if single_newlines else f"`{text_col}`"
-    return (
-        docs.select(F.col(id_col), F.expr(text).alias("t"))
-        .select(id_col, F.posexplode(F.expr(chunks("t", most))).alias("chunk_idx", "text"))
-        .withColumn("n_bytes", F.octet_length("text").cast("long"))
-    )
+    """-> (id, chunk_idx, text, n_bytes).  ``single_newlines``: a line break parts paragraphs.
+
+    On Arrow batches: where a chunk ends depends on the one before, and a fold in SQL copies its list
+    at each step, which a very long text makes quadratic.  A null text has no chunks.
+    """
+    from ..shipping import map_arrow
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, idx, out = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                if text is not None:
+                    cs = cut(text.replace("\n", "\n\n") if single_newlines else text, most)
+                    at += [row] * len(cs)
+                    idx += range(len(cs))
+                    out += cs
+            texts = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(idx, pa.int32()), texts], names=[id_col, "chunk_idx", "text"])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    got = map_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, chunk_idx int, text string")
+    return got.withColumn("n_bytes", F.octet_length("text").cast("long"))
+
+
+def parents_and_children(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parent: int = 512, child: int = 128) -> DataFrame:
+    """-> (parent_id, id, text, content_hash): texts in parents of ``parent`` words, each in children of
+    ``child``; the hash is that of the child's text."""
+    slices = lambda w, n: f"transform(sequence(0, greatest(0, (size({w}) - 1) div {n})), i -> slice({w}, i * {n} + 1, {n}))"
+    own = docs.selectExpr(f"{id_col} as d", f"{fields(text_col)} as w").where("size(w) > 0").selectExpr("d", f"posexplode({slices('w', parent)}) as (p, pw)")
+    each = own.selectExpr("concat(d, ':', p) as parent_id", f"posexplode({slices('pw', child)}) as (c, cw)").selectExpr("parent_id", "concat(parent_id, ':', c) as id", "array_join(cw, ' ') as text")
+    return each.withColumn("content_hash", F.sha2("text", 256))
 
 
 def parts(text: str, most: int = 28_000) -> list[str]:

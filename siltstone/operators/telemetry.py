@@ -10,18 +10,22 @@ from ..functions.text import duration, price_keys
 SUMS = ["round(sum(cost), 6) as cost", "sum(prompt_tokens) as tokens_in", "sum(completion_tokens) as tokens_out"]
 
 
+def prices(pricing: DataFrame) -> DataFrame:
+    """``pricing (model, input_price, output_price)`` with one row per lower-cased model: of several
+    the one of the smallest prices, so the result doesn't depend on their order."""
+    both = F.min(F.struct("input_price", "output_price")).alias("p")
+    return pricing.groupBy(F.lower("model").alias("model")).agg(both).select("model", "p.input_price", "p.output_price")
+
+
 def priced(calls: DataFrame, pricing: DataFrame) -> DataFrame:
-    """``calls`` with ``cost``: tokens per million at the price of the first key that is known;
-    0 for an unknown model.  ``pricing (model, input_price, output_price)`` is a small dimension."""
+    """``calls`` with ``cost``: tokens per million at the prices of the first key that is known, both
+    from one key; 0 for an unknown model.  ``pricing`` is a small dimension (``prices``)."""
     keyed = calls.withColumn("__k", F.expr(price_keys("model")))
-    dim = pricing.selectExpr("lower(model) as __m", "input_price", "output_price")
-    prices = []
+    dim = prices(pricing).selectExpr("model as __m", "struct(coalesce(input_price, 0D) as i, coalesce(output_price, 0D) as o) as __p")
     for i in range(3):
-        d = dim.selectExpr(f"__m as __m{i}", f"input_price as __i{i}", f"output_price as __o{i}")
-        keyed = keyed.join(d, F.col("__k")[i] == F.col(f"__m{i}"), "left")
-        prices.append(i)
-    has = lambda c: "coalesce(" + ", ".join(f"{c}{i}" for i in prices) + ", 0D)"
-    cost = f"cast(prompt_tokens as double) / 1e6D * {has('__i')} + cast(completion_tokens as double) / 1e6D * {has('__o')}"
+        keyed = keyed.join(dim.selectExpr(f"__m as __m{i}", f"__p as __p{i}"), F.col("__k")[i] == F.col(f"__m{i}"), "left")
+    keyed = keyed.withColumn("__p", F.expr("coalesce(__p0, __p1, __p2, struct(0D as i, 0D as o))"))
+    cost = "cast(prompt_tokens as double) / 1e6D * __p.i + cast(completion_tokens as double) / 1e6D * __p.o"
     return keyed.withColumn("cost", F.expr(cost)).select(*[c for c in calls.columns if c != "cost"], "cost")
 
 
@@ -37,10 +41,12 @@ def model_usage(calls: DataFrame) -> DataFrame:
     return calls.where("success and model <> ''").groupBy("model").agg(F.count("*").alias("calls"), *map(F.expr, SUMS))
 
 
-def chunk_cost(calls: DataFrame) -> DataFrame:
-    """Of each chunk the last successful call with a cost; calls without a chunk are left out."""
+def chunk_cost(calls: DataFrame, paid_only: bool = True) -> DataFrame:
+    """Of each chunk the last successful call, with a cost unless ``paid_only`` is off (free local
+    models); calls without a chunk are left out."""
     last = F.max_by(F.struct("model", "cost", "prompt_tokens", "completion_tokens", "latency_ms"), "seq").alias("c")
-    return calls.where("success and cost > 0 and chunk_index is not null").groupBy("source", "chunk_index").agg(last).select("source", "chunk_index", "c.*")
+    kept = calls.where("success and chunk_index is not null" + (" and cost > 0" if paid_only else ""))
+    return kept.groupBy("source", "chunk_index").agg(last).select("source", "chunk_index", "c.*")
 
 
 def status_stats(chunks: DataFrame) -> DataFrame:
@@ -86,3 +92,25 @@ def reassemble(lines: DataFrame) -> DataFrame:
         F.expr("array_join(transform(array_sort(collect_list(if(delta is not null, struct(seq, delta), null))), x -> x.delta), '')").alias("content"),
         F.expr("bool_or(body = '[DONE]')").alias("finished"),
     )
+
+
+def reassemble_objects(lines: DataFrame) -> DataFrame:
+    """Recorded lines of JSON objects (call_id, seq, line) -> (call_id, content, finished, prompt_tokens,
+    completion_tokens): malformed lines skipped, contents (nested under ``message`` or not) joined in
+    order up to the first that says done, the usage that of the last line that has one."""
+    get = lambda path, kind: f"try_variant_get(v, '$.{path}', '{kind}')"
+    got = lines.selectExpr("call_id", "seq", "try_parse_json(line) as v").where("v is not null").selectExpr(
+        "call_id", "seq", f"coalesce({get('message.content', 'string')}, {get('content', 'string')}) as delta", f"coalesce({get('done', 'boolean')}, false) as done",
+        f"{get('prompt_eval_count', 'bigint')} as i", f"{get('eval_count', 'bigint')} as o",
+    )
+    every = "array_sort(collect_list(struct(seq, delta, done, i, o)))"
+    by_call = got.groupBy("call_id").agg(F.expr(every).alias("x")).selectExpr("call_id", "x", "array_position(x.done, true) as stop")
+    return by_call.selectExpr("call_id", "if(stop > 0, slice(x, 1, cast(stop as int)), x) as x", "stop > 0 as finished").selectExpr(
+        "call_id", "array_join(x.delta, '') as content", "finished",
+        "aggregate(x, 0L, (a, y) -> coalesce(y.i, a)) as prompt_tokens", "aggregate(x, 0L, (a, y) -> coalesce(y.o, a)) as completion_tokens",
+    )
+
+
+def prompt_chars(messages: str) -> str:
+    """SQL: the bytes of all contents of an array of messages."""
+    return f"aggregate({messages}, 0L, (a, m) -> a + octet_length(coalesce(m.content, '')))"

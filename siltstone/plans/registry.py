@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse, text
-from ..operators import assemble, providers, search, split, telemetry
-from ..sources import files
+from ..operators import assemble, providers, resume, search, split, stages, telemetry
+from ..sinks import files as sinks
+from ..sources import files, workspace
 from ..streaming import telemetry as streams
 
 QUERIES: dict = {}
@@ -33,7 +34,9 @@ _FLAT = "replace(text, chr(10), ' ')"
 RESULTS_SQL = f"""select source as doc_id, doc_id as index, lang as topic, {{a}}lang, concat('t', doc_id % 7){{z}} as topics, {{a}}concat('d', doc_id % 3){{z}} as domains,
   case when doc_id % 5 = 0 then '' else substr({_FLAT}, 1, 40) end as summary, case when doc_id % 4 = 0 then '' else 'concept' end as type,
   {{a}}substr({_FLAT}, 1, 10), substr({_FLAT}, 11, 10){{z}} as key_points, case when doc_id % 3 = 0 then '' else concat('take ', doc_id) end as my_takeaway,
-  cast(doc_id % 10 as double) / cast(10 as double) as confidence, '' as source_quote, '' as applicability, text as content from {{docs}}"""
+  cast(doc_id % 10 as double) / cast(10 as double) as confidence, case when doc_id % 8 = 1 then substr(text, 1, 300) else '' end as source_quote,
+  case when doc_id % 6 = 1 then concat('first', chr(10), chr(10), 'then ', lang) else '  ' end as applicability, case when doc_id % 6 = 2 then concat('within ', source) else '' end as context,
+  case when doc_id % 4 = 1 then {{a}}concat(' step ', doc_id), ' ', 'next'{{z}} else {{a}}{{z}} end as steps, text as content from {{docs}}"""
 CALLS_SQL = """select event_id as seq, concat('s', user_id % 20) as source, event_type as stage, cast(event_id % 8 as int) as chunk_index,
   case event_id % 4 when 0 then 'm-large' when 1 then 'm-small:free' when 2 then 'm-mid-20250514' else 'other' end as model,
   cast(floor(abs(value) * 100) as bigint) as prompt_tokens, cast(floor(abs(value) * 37) as bigint) as completion_tokens,
@@ -47,7 +50,10 @@ _C = (
     "left join p p2 on lower(p2.model) = case when regexp_matches(c0.model, '-20[0-9]{6}$') then regexp_replace(c0.model, '-20[0-9]{6}$', '') end "
     "left join p p3 on lower(p3.model) = case when contains(c0.model, ':') then regexp_replace(c0.model, ':[^:]*$', '') end) "
 )
-_TRIM = r"regexp_replace({}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+#: White space as RE2 reads it, twice braced where a pattern is formatted.
+_SP = text.SPACE
+_SP2 = _SP.replace("{", "{{").replace("}", "}}")
+_TRIM = f"regexp_replace({{}}, '^{_SP2}+|{_SP2}+$', '', 'g')"
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +112,7 @@ def html_to_text(spark, d):
     return files.read_pages(table(spark, d, "pages"))
 
 
-_WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+_WORDS = f"list_filter(regexp_split_to_array(text, '{_SP}+'), lambda w: w <> '')"
 
 
 @query(
@@ -119,11 +125,8 @@ _WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lamb
 )
 def repetition_flags(spark, d):
     docs = table(spark, d, "documents").selectExpr("doc_id", f"{text.fields('text')} as w")
-    grams = docs.selectExpr("doc_id", f"explode({text.trigrams('w')}) as g").groupBy("doc_id", "g").count().groupBy("doc_id").agg(F.max("count").alias("most"))
-    runs = docs.selectExpr("doc_id", "size(w) as n", f"{text.longest_run('w')} as longest_run")
-    return runs.join(grams, "doc_id", "left").selectExpr(
-        "doc_id", "longest_run", "coalesce(most, 0L) as most_trigram", "n >= 10 and (longest_run > 10 or coalesce(most, 0) > 5) as repetitive"
-    )
+    each = docs.selectExpr("doc_id", "size(w) as n", f"{text.longest_run('w')} as longest_run", f"{text.most_trigram('w')} as most_trigram")
+    return each.selectExpr("doc_id", "longest_run", "most_trigram", "n >= 10 and (longest_run > 10 or most_trigram > 5) as repetitive")
 
 
 @query(
@@ -157,14 +160,21 @@ def toc_boilerplate_pages(spark, d):
     )
 
 
+_BOOK = "case when doc_id % 5 = 0 then concat(doc_id, chr(10), ' ', doc_id) when doc_id % 5 = 1 then repeat('7', 60) when doc_id % 5 = 2 then replace(text, ' ', concat(' .... ', doc_id % 7, chr(10), 'Chapter 1 ')) else concat(text, repeat(concat(chr(10), substr(text, 1, 5), ' ', doc_id % 99), cast(doc_id % 30 as int))) end"
+
+
 @query(
     "pdf_text",
-    """with p as (select doc_id // 10 as doc, doc_id as page, text from documents where strlen(trim(text)) >= 50) select doc, string_agg(text, chr(10) || chr(10) order by page) as text from p
-    where not (len(string_split(text, chr(10))) >= 5 and (case when len(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: regexp_matches(l, '\\s\\d{1,4}\\s*$'))) / cast(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) as double) > 0.4 then 1 else 0 end
-      + case when list_sum(list_transform(string_split(text, chr(10)), lambda l: strlen(trim(l)))) // len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) < 40 then 1 else 0 end) >= 2) group by doc""",
+    f"""with p as (select doc_id // 10 as doc, doc_id as page, {_BOOK} as t from documents),
+    l as (select doc, page, t, list_filter(list_transform(string_split(t, chr(10)), lambda l: {_TRIM.format('l')}), lambda l: l <> '') as ls from p),
+    k as (select doc, page, t from l where not (strlen({_TRIM.format('t')}) < 50 or regexp_matches({_TRIM.format('t')}, '^[0-9]+$')) and not (len(string_split(t, chr(10))) >= 5 and len(ls) > 0 and
+      (case when len(list_filter(ls, lambda l: regexp_matches(l, '(?i)(глава|chapter|раздел|section|часть|part|unit|module)\\s+\\d+') and regexp_matches(l, '[.]{{3,}}\\s*\\d+\\s*$'))) / cast(len(ls) as double) > 0.2 then 1 else 0 end
+      + case when len(list_filter(ls, lambda l: regexp_matches(l, '\\s\\d{{1,4}}\\s*$'))) / cast(len(ls) as double) > 0.4 then 1 else 0 end
+      + case when list_sum(list_transform(ls, lambda l: strlen(l))) // len(ls) < 40 then 1 else 0 end) >= 2))
+    select doc, string_agg(t, chr(10) || chr(10) order by page) as text from k group by doc""",
 )
 def pdf_text(spark, d):
-    return files.pdf_pages_to_text(table(spark, d, "documents").selectExpr("doc_id div 10 as doc", "doc_id as page", "text"))
+    return files.pdf_pages_to_text(table(spark, d, "documents").selectExpr("doc_id div 10 as doc", "cast(doc_id as bigint) as page", f"{_BOOK} as text"))
 
 
 @query("word_counts", "select doc_id, cast(len(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: w <> '')) as integer) as n_words, cast(strlen(text) as integer) as n_bytes from documents")
@@ -172,12 +182,20 @@ def word_counts(spark, d):
     return table(spark, d, "documents").selectExpr("doc_id", f"{text.word_count('text')} as n_words", "octet_length(text) as n_bytes")
 
 
+_RAW = "concat(case when doc_id % 4 = 0 then '  ' else '' end, case when doc_id % 7 = 0 then '' else concat('---', chr(10), 'author: \"', source, '\"', chr(10), 'no colon here', chr(10), 'author : ', source, doc_id % 3, chr(10), 'lang:', lang, chr(10), case when doc_id % 2 = 0 then concat('language: ', 'x:', lang, chr(10)) else '' end, '---', chr(10), chr(10)) end, text)"
+_FM = "regexp_extract(raw, '(?s)^---\\n(.*?)\\n---', 1)"
+_FV = "nullif(regexp_extract_all({}, '(?m)^[ \\t]*{}[ \\t]*:(.*)$', 1)[-1], '')"
+
+
 @query(
     "frontmatter_roundtrip",
-    "select doc_id, source as author, lang as language, regexp_replace(text, '^[\\n\\r]+', '') as body from documents",
+    f"""with r as (select doc_id, {_RAW} as raw from documents), m as (select doc_id, raw, {_FM} as m from r),
+    v as (select doc_id, raw, {_TRIM.format(_FV.format("m", "author"))} as a, {_TRIM.format(_FV.format("m", "language"))} as g, {_TRIM.format(_FV.format("m", "lang"))} as l from m)
+    select doc_id, regexp_replace(regexp_replace(a, '^["\\x27]', ''), '["\\x27]$', '') as author, coalesce(g, l) as language,
+    regexp_replace(regexp_replace(raw, '^[ \t\n\x0B\f\r]+(---)', '\\1'), '(?s)^---.*?---[\n\r]*', '') as body from v""",
 )
 def frontmatter_roundtrip(spark, d):
-    md = table(spark, d, "documents").selectExpr("doc_id", "concat('---\\nauthor: \"', source, '\"\\nlang: ', lang, '\\n---\\n', text) as raw")
+    md = table(spark, d, "documents").selectExpr("doc_id", f"{_RAW} as raw")
     return md.selectExpr("doc_id", f"{text.frontmatter('raw')} as m", f"{text.strip_frontmatter('raw')} as body").selectExpr(
         "doc_id", "m['author'] as author", "coalesce(try_element_at(m, 'language'), m['lang']) as language", "body"
     )
@@ -203,11 +221,14 @@ _WC = "len(list_filter(regexp_split_to_array({}, '[ \\n\\t]+'), lambda w: w <> '
 
 @query(
     "content_or_description",
-    f"""with x as (select doc_id, substr(text, 1, cast(doc_id % 50 as integer)) as c, case when doc_id % 6 = 0 then '' else substr(text, 1, 200) end as de from documents)
+    f"""with x as (select a.doc_id, case when a.doc_id % 7 = 0 then '' else a.text end as c, case when a.doc_id % 6 = 0 then '' else coalesce(b.text, '') end as de from documents a left join documents b on b.doc_id = a.doc_id + 1)
     select doc_id, case when c = '' then de when de = '' then c when {_WC.format('c')} < {_WC.format('de')} * 30 // 100 then de else c end as picked from x""",
 )
 def content_or_description(spark, d):
-    x = table(spark, d, "documents").selectExpr("doc_id", "substr(text, 1, cast(doc_id % 50 as int)) as c", "if(doc_id % 6 = 0, '', substr(text, 1, 200)) as de")
+    """Each text against the next document's."""
+    docs = table(spark, d, "documents")
+    both = docs.select("doc_id", "text").join(docs.selectExpr("doc_id - 1 as doc_id", "text as other"), "doc_id", "left")
+    x = both.selectExpr("doc_id", "if(doc_id % 7 = 0, '', text) as c", "if(doc_id % 6 = 0, '', coalesce(other, '')) as de")
     return x.selectExpr("doc_id", f"{files.pick_content('c', 'de')} as picked")
 
 
@@ -226,29 +247,66 @@ _REPLY = (
     type <> '' and not regexp_matches(type, '<\\w+>') and (case when regexp_matches(type, '<\\w+>') then 1 else 0 end + case when regexp_matches(summary, '<\\w+>') then 1 else 0 end) < 2 as valid from f""",
 )
 def kv_parse(spark, d):
-    r = table(spark, d, "documents").selectExpr("doc_id", f"{_REPLY} as r")
-    f = r.selectExpr("doc_id", *[f"{text.field('r', k)} as {k}" for k in ("type", "topic", "summary")])
-    m = "map('type', type, 'topic', topic, 'summary', summary)"
-    return f.selectExpr("doc_id", "type", f"array_join({text.comma_list('topic')}, '|') as topics", "summary", f"{parse.valid_result(m)} as valid")
+    m = table(spark, d, "documents").selectExpr("doc_id", f"{_REPLY} as r").selectExpr("doc_id", f"{parse.key_values('r')} as m")
+    return m.selectExpr("doc_id", "m['type'] as type", f"array_join({text.comma_list("m['topic']")}, '|') as topics", "m['summary'] as summary", f"{parse.valid_result('m')} as valid")
+
 
+_LONG = "concat('type: fact', chr(10), 'summary: ', text, chr(10), chr(10), 'ignored', chr(10), ' my_takeaway: a', chr(10), 'b', chr(10), 'topic: x', chr(10), 'not joined', chr(10), 'source_quote:', chr(10), 'lost', chr(10), 'Applicability: y', chr(10), 'z')"
+_KEY = "regexp_extract(lower({}), '^(type|title|topic|summary|key_points|source_quote|my_takeaway|confidence|applicability):', 1)"
+_LONG_SQL = f"""with l as (select doc_id, unnest(string_split({_LONG}, chr(10))) as l, generate_subscripts(string_split({_LONG}, chr(10)), 1) as i from documents),
+t as (select doc_id, i, {_TRIM.format('l')} as t from l), k as (select *, {_KEY.format('t')} as k from t),
+g as (select *, sum(case when k <> '' or t = '' then 1 else 0 end) over (partition by doc_id order by i) as g from k),
+h as (select doc_id, g, first_value(k) over w as k, first_value({_TRIM.format("substr(t, instr(t, ':') + 1)")}) over w as v, i, t, row_number() over w as n from g window w as (partition by doc_id, g order by i)),
+v as (select doc_id, k, g, any_value(v) as v, string_agg(case when n > 1 then concat(' ', t) else '' end, '' order by i) as rest from h where k <> '' group by all),
+m as (select doc_id, k, arg_max(case when v <> '' and k in ('summary', 'source_quote', 'my_takeaway', 'applicability') then v || rest else v end, g) as v from v group by all) """
 
-@query("kv_parse_multiline")
+
+@query(
+    "kv_parse_multiline",
+    _LONG_SQL + "select doc_id, " + ", ".join(f"max(case when k = '{k}' then v end) as {k}" for k in ("type", "summary", "my_takeaway", "topic", "source_quote", "applicability")) + " from m group by doc_id",
+)
 def kv_parse_multiline(spark, d):
-    r = table(spark, d, "documents").selectExpr("doc_id", "concat('type: fact\\nsummary: ', text, '\\n\\nignored\\nmy_takeaway: a\\nb\\ntopic: x') as r")
-    return r.selectExpr("doc_id", f"{parse.key_values('r')} as m").selectExpr("doc_id", "m['type'] as type", "m['summary'] as summary", "m['my_takeaway'] as my_takeaway", "m['topic'] as topic")
+    r = table(spark, d, "documents").selectExpr("doc_id", f"{_LONG} as r").selectExpr("doc_id", f"{parse.key_values('r')} as m")
+    return r.selectExpr("doc_id", *[f"m['{k}'] as {k}" for k in ("type", "summary", "my_takeaway", "topic", "source_quote", "applicability")])
 
 
-@query("typed_blocks")
+_TURN = "concat('> ', role, ': turn=', turn, ', k=v, =w', chr(10), text, case when turn % 3 = 2 then '' else concat(chr(10), '<', chr(10), 'between') end)"
+
+
+@query(
+    "typed_blocks",
+    f"""with r as (select conv_id, string_agg({_TURN}, chr(10) order by turn) as r from conversations group by conv_id),
+    l as (select conv_id, unnest(string_split(r, chr(10))) as l, generate_subscripts(string_split(r, chr(10)), 1) as i from r),
+    s as (select *, regexp_matches(trim(l), '^> \\S') as s, trim(l) = '<' as e from l),
+    b as (select *, sum(case when s then 1 else 0 end) over (partition by conv_id order by i) as b from s),
+    c as (select *, sum(case when e then 1 else 0 end) over (partition by conv_id, b order by i) as closed from b where b > 0),
+    g as (select conv_id, b, max(case when s then substr(trim(l), 3) end) as h, {_TRIM.format("coalesce(string_agg(case when not s and closed = 0 then l end, chr(10) order by i), '')")} as content from c group by all)
+    select conv_id, cast(b - 1 as integer) as idx, trim(string_split(h, ': ')[1]) as type, nullif(regexp_extract(h, 'turn=([0-9]+)', 1), '') as turn, content from g""",
+)
 def typed_blocks(spark, d):
-    turns = table(spark, d, "conversations").selectExpr("conv_id", "turn", "concat('> ', role, ': turn=', turn, ', k=v\\n', text, if(turn % 3 = 2, '', '\\n<')) as b")
+    turns = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{_TURN} as b")
     reply = turns.groupBy("conv_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(turn, b))), x -> x.b), '\\n')").alias("r"))
     return reply.selectExpr("conv_id", f"posexplode({parse.typed_blocks('r')}) as (idx, b)").selectExpr("conv_id", "idx", "b.type", "b.params['turn'] as turn", "b.content")
 
 
-@query("chunk_markdown_parse")
+_MD = "concat('before', chr(10), string_agg(concat('## chunk_', turn, chr(10), 'type: x', chr(10), case when turn % 2 = 0 then concat('topic: ', role, chr(10)) else '' end, 'summary: s', turn, chr(10), 'key_points:', chr(10), '- a', turn, chr(10), 'confidence: low', chr(10), '- b', chr(10), case when turn % 3 = 0 then chr(10) else '' end, '- c', chr(10), case when turn % 4 = 3 then '' else text end), chr(10) order by turn))"
+
+
+@query(
+    "chunk_markdown_parse",
+    f"""with r as (select conv_id, {_MD} as r from conversations group by conv_id), l as (select conv_id, unnest(string_split(r, chr(10))) as l, generate_subscripts(string_split(r, chr(10)), 1) as i from r),
+    c as (select *, sum(case when starts_with(l, '## chunk_') then 1 else 0 end) over (partition by conv_id order by i) as c from l),
+    k as (select *, last_value(case when starts_with(l, 'key_points:') then 1 when l = '' or starts_with(l, 'topic: ') or starts_with(l, 'summary: ') or starts_with(l, '## chunk_') then 0 end ignore nulls) over (partition by conv_id, c order by i) as kp from c where c > 0),
+    f as (select conv_id, c, i, l, starts_with(l, '- ') and lag(kp, 1, 0) over (partition by conv_id, c order by i) = 1 as point, l = '' and lag(kp, 1, 0) over (partition by conv_id, c order by i) = 1 as closing,
+      regexp_matches(l, '^(## chunk_|topic: |summary: |key_points:|type: |source_quote: |my_takeaway: |confidence: |applicability: |steps:|context: )') as known from k),
+    b as (select conv_id, c, coalesce(max(case when starts_with(l, 'topic: ') then substr(l, 8) end), '') as topic, coalesce(max(case when starts_with(l, 'summary: ') then substr(l, 10) end), '') as summary, coalesce(string_agg(case when point then substr(l, 3) end, '|' order by i), '') as key_points,
+      ltrim(coalesce(string_agg(case when not known and not point and not closing then l end, chr(10) order by i), ''), chr(10)) as content from f group by all)
+    select conv_id, cast(row_number() over (partition by conv_id order by c) - 1 as integer) as idx, topic, summary, key_points, content from b where content <> ''""",
+)
 def chunk_markdown_parse(spark, d):
-    md = assemble.render(results(spark, d))
-    return md.selectExpr("doc_id", f"posexplode({parse.markdown_chunks('markdown')}) as (idx, c)").selectExpr("doc_id", "idx", "c.topic", "c.summary", "array_join(c.key_points, '|') as key_points", "c.content")
+    c = table(spark, d, "conversations")
+    md = c.groupBy("conv_id").agg(F.expr(_MD.replace("string_agg(concat('## chunk_'", "array_join(transform(array_sort(collect_list(struct(turn, concat('## chunk_'").replace("text end), chr(10) order by turn)", "text end)))), x -> x.col2), chr(10))")).alias("r"))
+    return md.selectExpr("conv_id", f"posexplode({parse.markdown_chunks('r')}) as (idx, c)").selectExpr("conv_id", "idx", "c.topic", "c.summary", "array_join(c.key_points, '|') as key_points", "c.content")
 
 
 @query(
@@ -263,19 +321,36 @@ def query_variants(spark, d):
     return t.selectExpr("conv_id", f"{parse.variants('t')} as v").selectExpr("conv_id", "size(v) as n", "array_join(v, '|') as variants")
 
 
+_THESIS = f"concat('core_thesis: old', chr(10), case when doc_id % 3 = 0 then '' else concat('Core_Thesis: ', substr({_FLAT}, 1, 50), chr(10)) end, 'noise', chr(10), ' domains: ', lang, chr(10), 'Domains: ', source, ', ,x')"
+
+
 @query(
     "holistic_parse",
-    f"select doc_id, trim(substr({_FLAT}, 1, 50)) as thesis, concat(lang, '|', source) as domains from documents",
+    f"""with r as (select doc_id, {_THESIS} as r from documents), l as (select doc_id, unnest(string_split(r, chr(10))) as l, generate_subscripts(string_split(r, chr(10)), 1) as i from r), t as (select doc_id, i, {_TRIM.format('l')} as t from l),
+    d as (select doc_id, i, unnest(string_split(substr(t, 9), ',')) as x, generate_subscripts(string_split(substr(t, 9), ','), 1) as j from t where starts_with(lower(t), 'domains:'))
+    select doc_id, thesis, domains from (select doc_id, {_TRIM.format("arg_max(substr(t, 13), i)")} as thesis from t where starts_with(lower(t), 'core_thesis:') group by doc_id)
+    join (select doc_id, string_agg({_TRIM.format('x')}, '|' order by i, j) as domains from d where {_TRIM.format('x')} <> '' group by doc_id) using (doc_id)""",
 )
 def holistic_parse(spark, d):
-    r = table(spark, d, "documents").selectExpr("doc_id", f"concat('core_thesis: old', chr(10), 'Core_Thesis: ', substr({_FLAT}, 1, 50), chr(10), 'domains: ', lang, chr(10), 'domains: ', source, ', ') as r")
-    every = "flatten(transform(regexp_extract_all(r, r'(?im)^[ \\t]*domains:(.*)$', 1), x -> " + text.comma_list("x") + "))"
-    return r.selectExpr("doc_id", f"{text.field('r', 'core_thesis')} as thesis", f"array_join({every}, '|') as domains")
+    r = table(spark, d, "documents").selectExpr("doc_id", f"{_THESIS} as r").selectExpr("doc_id", f"{text.holistic('r')} as h")
+    return r.selectExpr("doc_id", "h.core_thesis as thesis", "array_join(h.domains, '|') as domains")
 
 
-@query("causal_parse")
+_CAUSES = f"concat('- cause: ', lang, chr(10), 'mechanism: m', chr(10), 'effect: ', source, chr(10), 'relation: leads_to', chr(10), case when doc_id % 2 = 0 then concat('- cause: b', chr(10), 'effect: c', chr(10)) else '' end, 'preconditions:', chr(10), '- ', substr({_FLAT}, 1, 20), chr(10), '  - second', chr(10), 'counterfactuals:', chr(10), '- none')"
+
+
+@query(
+    "causal_parse",
+    f"""with l as (select doc_id, unnest(string_split({_CAUSES}, chr(10))) as l, generate_subscripts(string_split({_CAUSES}, chr(10)), 1) as i from documents), t as (select doc_id, i, {_TRIM.format('l')} as t from l),
+    s as (select *, lower(t) as w, sum(case when starts_with(lower(t), '- cause:') then 1 else 0 end) over (partition by doc_id order by i) as c, last_value(case when lower(t) in ('preconditions:', 'counterfactuals:') then lower(t) end ignore nulls) over (partition by doc_id order by i) as sec from t),
+    f as (select doc_id, c, max(case when starts_with(w, '- cause:') then {_TRIM.format('substr(t, 9)')} end) as ca, coalesce(max(case when starts_with(w, 'mechanism:') then {_TRIM.format('substr(t, 11)')} end), '') as me, coalesce(max(case when starts_with(w, 'effect:') then {_TRIM.format('substr(t, 8)')} end), '') as ef,
+      coalesce(max(case when starts_with(w, 'relation:') then {_TRIM.format('substr(t, 10)')} end), '') as re from s where sec is null and c > 0 group by all),
+    x as (select doc_id, string_agg(concat('- **', ca, '** → ', case when me = '' then '' else concat(me, ' → ') end, '**', ef, '** *(', re, ')*', chr(10)), '' order by c) as chains from f group by doc_id),
+    b as (select doc_id, string_agg(case when sec = 'preconditions:' then {_TRIM.format('substr(t, 3)')} end, '|' order by i) as p, string_agg(case when sec = 'counterfactuals:' then {_TRIM.format('substr(t, 3)')} end, '|' order by i) as q from s where starts_with(w, '- ') and not starts_with(w, '- cause:') group by doc_id)
+    select doc_id, chains, p as preconditions, q as counterfactuals from x join b using (doc_id)""",
+)
 def causal_parse(spark, d):
-    r = table(spark, d, "documents").selectExpr("doc_id", f"concat('- cause: ', lang, '\\nmechanism: m\\neffect: ', source, '\\nrelation: leads_to\\n- cause: b\\neffect: c\\npreconditions:\\n- ', substr({_FLAT}, 1, 20), '\\ncounterfactuals:\\n- none') as r")
+    r = table(spark, d, "documents").selectExpr("doc_id", f"{_CAUSES} as r")
     return r.selectExpr("doc_id", f"{parse.causal('r')} as c").selectExpr("doc_id", f"{parse.render_causal('c.chains')} as chains", "array_join(c.preconditions, '|') as preconditions", "array_join(c.counterfactuals, '|') as counterfactuals")
 
 
@@ -305,29 +380,86 @@ def causal_input(spark, d):
     return assemble.causal_input(results(spark, d))
 
 
+_META = """select source as doc_id, concat('lib/', source, '.v1.md') as path, case when length(source) % 2 = 0 then 'Own title' else '' end as title, case when length(source) % 3 = 0 then 'de' else '' end as language, concat('[', source, ' , ,b', ']') as topics,
+  concat('Thesis of ', source) as core_thesis from (select distinct source from {docs})"""
+
+
+def meta(spark, d) -> DataFrame:
+    m = spark.sql(_META, docs=table(spark, d, "documents"))
+    return m.selectExpr(
+        "doc_id", "path as source", "'book' as source_type", "map('title', title, 'author', doc_id, 'language', language, 'topics', topics, 'date', '2024-01-02', 'tags', '[]') as frontmatter", "core_thesis",
+        "array(named_struct('cause', 'a', 'mechanism', '', 'effect', 'b', 'relation', 'r'), named_struct('cause', 'c', 'mechanism', 'm', 'effect', doc_id, 'relation', 'q')) as causal_chains",
+        "array('one', 'two') as preconditions", "cast(array() as array<string>) as counterfactuals", "array(named_struct('path', 'x/y/z.png', 'description', 'A plan'), named_struct('path', 'w.jpg', 'description', '')) as images",
+    )
+
+
 @query(
     "assemble_metadata",
-    _R + f"select doc_id, cast(sum({_WC.format('content')}) as bigint) as word_count, count(*) as n_chunks, case when avg(confidence) >= 0.7 then 'high' when avg(confidence) >= 0.4 then 'medium' else 'low' end as confidence, 'processed' as status from r group by doc_id",
+    _R + f""", m as ({_META.format(docs="documents")}), t as (select doc_id, string_agg(t, '|' order by t) as topics from (select distinct doc_id, unnest(list_concat(case when topic <> '' then [topic] else [] end, topics, domains)) as t from r) group by doc_id)
+    select doc_id, word_count, n_chunks, confidence, t.topics, takeaways, 'processed' as status, case when title <> '' then title else concat(doc_id, '.v1') end as title, path as source, doc_id as author from
+    (select doc_id, cast(sum(len(list_filter(regexp_split_to_array(content, '{_SP}+'), lambda w: w <> ''))) as bigint) as word_count, count(*) as n_chunks, case when avg(confidence) >= 0.7 then 'high' when avg(confidence) >= 0.4 then 'medium' else 'low' end as confidence,
+      coalesce(string_agg(my_takeaway, '|' order by index) filter (where my_takeaway <> ''), '') as takeaways from r group by doc_id) join t using (doc_id) join m using (doc_id)""",
 )
 def assemble_metadata(spark, d):
-    return assemble.metadata(results(spark, d))
+    return assemble.metadata(results(spark, d), meta(spark, d))
+
+
+def _field(key: str, value: str) -> str:
+    block = f"concat('{key}: |', chr(10), array_to_string(list_transform(string_split({value}, chr(10)), lambda l: concat('  ', l, chr(10))), ''))"
+    return f"case when {_TRIM.format(value)} = '' then '' when contains({value}, chr(10)) then {block} else concat('{key}: ', {value}, chr(10)) end"
+
+
+def _list(key: str) -> str:
+    items = f"list_filter(list_transform({key}, lambda k: {_TRIM.format('k')}), lambda k: k <> '')"
+    return f"case when len({key}) > 0 then concat('{key}:', chr(10), coalesce(array_to_string(list_transform({items}, lambda k: concat('- ', k, chr(10))), ''), '')) else '' end"
+
+
+_LEVEL = "case when confidence >= 0.7 then 'high' when confidence >= 0.4 then 'medium' else 'low' end"
+_BLOCK = f"""concat('## chunk_', printf('%02d', cast(index + 1 as integer)), chr(10), chr(10), {_field('context', 'context')}, {_field('type', 'type')}, {_field('topic', 'topic')}, {_field('summary', 'summary')}, {_list('key_points')},
+  {_field('source_quote', 'source_quote')}, {_field('my_takeaway', 'my_takeaway')}, {_field('confidence', _LEVEL)}, {_field('applicability', 'applicability')}, {_list('steps')})"""
 
 
 @query(
     "assemble_markdown",
-    _R + """, f as (select *, list_filter(key_points, lambda k: trim(k, ' ') <> '') as kp, regexp_replace(summary, '^[ \\t\\n\\x0B\\f\\r]+$', '') as s from r where type <> '' or summary <> ''),
-    b as (select doc_id, string_agg(concat('## chunk_', case when index + 1 < 10 then concat('0', index + 1) else substr(cast(index + 1 as varchar), 1, 2) end, chr(10), chr(10), case when type = '' then '' else concat('type: ', type, chr(10)) end, concat('topic: ', topic, chr(10)),
-      case when s = '' then '' else concat('summary: ', summary, chr(10)) end, 'key_points:', chr(10), coalesce(array_to_string(list_transform(kp, lambda k: concat('- ', k, chr(10))), ''), ''),
-      case when my_takeaway = '' then '' else concat('my_takeaway: ', my_takeaway, chr(10)) end, 'confidence: ', case when confidence >= 0.7 then 'high' when confidence >= 0.4 then 'medium' else 'low' end, chr(10)), chr(10) order by index) as body from f group by doc_id)
-    select doc_id, concat('---', chr(10), 'id: ', doc_id, chr(10), 'language: ru', chr(10), 'status: processed', chr(10), '---', chr(10), chr(10), coalesce(body, '')) as markdown from (select distinct doc_id from r) left join b using (doc_id)""",
+    _R + f""", m as ({_META.format(docs="documents")}), n as (select *, row_number() over (partition by doc_id order by index) as n from r),
+    b as (select doc_id, coalesce(string_agg(concat(case when n > 1 then chr(10) else '' end, {_BLOCK}), '' order by index) filter (where type <> '' or summary <> ''), '') as body from n group by doc_id)
+    select doc_id, concat('---', chr(10), 'id: ', doc_id, chr(10), 'title: ', case when title <> '' then title else concat(doc_id, '.v1') end, chr(10), 'source_type: book', chr(10), 'source: ', path, chr(10), 'author: ', doc_id, chr(10), 'date: 2024-01-02', chr(10),
+      'language: ', case when language <> '' then language else 'ru' end, chr(10), 'topics: [', doc_id, ', b]', chr(10), 'status: processed', chr(10), 'tags: []', chr(10), '---', chr(10), chr(10), body, chr(10), '## Holistic Analysis', chr(10), chr(10), core_thesis, chr(10), chr(10),
+      '## Causal Chains', chr(10), chr(10), '- **a** → **b** *(r)*', chr(10), '- **c** → m → **', doc_id, '** *(q)*', chr(10), chr(10), '## Preconditions', chr(10), chr(10), '- one', chr(10), '- two', chr(10),
+      chr(10), '## Images', chr(10), chr(10), '![A plan](images/z.png)', chr(10), chr(10), '![](w.jpg)', chr(10), chr(10)) as markdown from b join m using (doc_id)""",
 )
 def assemble_markdown(spark, d):
+    return assemble.render(results(spark, d), meta(spark, d))
+
+
+@query("assemble_without_meta", _R + f""", n as (select *, row_number() over (partition by doc_id order by index) as n from r)
+    select doc_id, concat('---', chr(10), 'id: ', doc_id, chr(10), 'title: unnamed_document', chr(10), 'language: ru', chr(10), 'status: processed', chr(10), '---', chr(10), chr(10),
+      coalesce(string_agg(concat(case when n > 1 then chr(10) else '' end, {_BLOCK}), '' order by index) filter (where type <> '' or summary <> ''), '')) as markdown from n group by doc_id""")
+def assemble_without_meta(spark, d):
     return assemble.render(results(spark, d))
 
 
-@query("titles", f"select {_PATH} as path, concat('doc', doc_id) as title from documents")
+def _one_line(key: str, value: str) -> str:
+    return f"case when {_TRIM.format(value)} = '' then '' else concat('{key}: ', {value}, chr(10)) end"
+
+
+@query("export_chunks", _R + f"""select doc_id, printf('chunk_%03d.md', cast(index + 1 as integer)) as name, concat('## chunk_', printf('%02d', cast(index + 1 as integer)), chr(10), chr(10), {_one_line('type', 'type')}, {_one_line('topic', 'topic')}, {_one_line('summary', 'summary')}, {_list('key_points')},
+  {_one_line('source_quote', 'source_quote')}, {_one_line('my_takeaway', 'my_takeaway')}, {_one_line('confidence', _LEVEL)}, {_one_line('applicability', 'applicability')}, {_list('steps')}, case when content <> '' then concat(chr(10), content, chr(10)) else '' end) as text from r where type <> '' or summary <> ''""")
+def export_chunks(spark, d):
+    return assemble.export_chunks(results(spark, d))
+
+
+_FILE = "concat('dir/', case when doc_id % 5 = 0 then '.' else '' end, replace(substr(text, 1, 30), '/', '?'), ' \"a:b*', chr(9), ' <', doc_id, '>', case doc_id % 3 when 0 then '.v1.md' when 1 then '' else '.PDF' end)"
+
+
+@query(
+    "titles",
+    f"""with p as (select doc_id, {_FILE} as path from documents), b as (select doc_id, path, regexp_extract(path, '[^/]*$') as b from p),
+    s as (select doc_id, path, case when strlen(b) - strlen(regexp_extract(b, '[.][^.]*$')) > 0 then left(b, length(b) - length(regexp_extract(b, '[.][^.]*$'))) else b end as s from b)
+    select doc_id, path, {_TRIM.format(f"regexp_replace(replace(regexp_replace(s, '[\\\\:*?<>|]', '-', 'g'), chr(34), chr(39)), '{_SP2}+', ' ', 'g')").replace("{{", "{").replace("}}", "}")} as title from s""",
+)
 def titles(spark, d):
-    return table(spark, d, "documents").selectExpr(f"{_PATH} as path").selectExpr("path", f"{text.title('path')} as title")
+    return table(spark, d, "documents").selectExpr("doc_id", f"{_FILE} as path").selectExpr("doc_id", "path", f"{text.title('path')} as title")
 
 
 # Telemetry ------------------------------------------------------------------------------------
@@ -418,7 +550,7 @@ def sse_reassembly(spark, d):
 _ID = "cast(list_reduce(list_transform(range(1, 9), lambda i: cast(ascii(substr(sha256({x}), i, 1)) as hugeint)), lambda a, b: a * 256 + b) as bigint)"
 
 
-@query("point_ids", _PACKED + f"select concat(doc_id, ':chunk_', chunk_idx) as chunk_id, {_ID.format(x=chr(99) + 'oncat(doc_id, ' + chr(39) + ':chunk_' + chr(39) + ', chunk_idx)')} as point_id from k")
+@query("point_ids", _PACKED + f"select concat(doc_id, ':chunk_', chunk_idx) as chunk_id, {_ID.format(x="concat(doc_id, ':chunk_', chunk_idx)")} as point_id from k")
 def point_ids(spark, d):
     c = split.chunk_documents(table(spark, d, "documents")).selectExpr("concat(doc_id, ':chunk_', chunk_idx) as chunk_id")
     return c.selectExpr("chunk_id", f"{text.point_id('chunk_id')} as point_id")
@@ -426,69 +558,120 @@ def point_ids(spark, d):
 
 @query(
     "upsert_points",
-    "with n as (select vec_id % 100 as id, vec_id as seq, label from embeddings where vec_id % 2 = 0), l as (select id, max(seq) as seq, arg_max(label, seq) as label from n group by id) select * from l union all select vec_id as id, vec_id as seq, label from embeddings where vec_id not in (select id from l)",
+    "with n as (select vec_id + label as id, vec_id as seq, label from embeddings), l as (select id, max(seq) as seq, arg_max(label, seq) as label from n group by id) select * from l union all select vec_id as id, vec_id as seq, label from embeddings where vec_id not in (select id from l)",
 )
 def upsert_points(spark, d):
     e = table(spark, d, "embeddings")
-    return search.upsert(e.selectExpr("vec_id as id", "vec_id as seq", "label"), e.where("vec_id % 2 = 0").selectExpr("vec_id % 100 as id", "vec_id as seq", "label"))
+    return search.upsert(e.selectExpr("vec_id as id", "vec_id as seq", "label"), e.selectExpr("vec_id + label as id", "vec_id as seq", "label"))
 
 
 TOP = 10
-_DENSE = f"""dense as (select vec_id as id, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) as score from embeddings order by score desc, id limit {2 * TOP}),
-dr as (select *, row_number() over (order by score desc, id) as rank from dense)"""
+#: The queries: every row whose id is divisible by this.
+EVERY = 50
+_DENSE = f"""dq as (select vec_id as query, embedding::double[] as q from embeddings where vec_id % {EVERY} = 0),
+dr as (select query, id, score, row_number() over (partition by query order by score desc, id) as rank from (select query, vec_id as id, round(list_cosine_similarity(embedding::double[], q), 9) as score from embeddings, dq) qualify rank <= {2 * TOP})"""
 
 
-def _query_vector(spark, d) -> list[float]:
-    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+def dense_hits(spark, d, k: int) -> DataFrame:
+    points = table(spark, d, "embeddings")
+    return search.dense_topk(points, points.where(f"vec_id % {EVERY} = 0").selectExpr("vec_id as query", "embedding as vector"), k, "vec_id", "embedding")
 
 
-@query("dense_topk", f"with {_DENSE} select id, round(score, 9) as score, rank from dr")
+@query("dense_topk", f"with {_DENSE} select query, id, score, rank from dr")
 def dense_topk(spark, d):
-    hits = search.dense_topk(table(spark, d, "embeddings"), _query_vector(spark, d), 2 * TOP, "vec_id", "embedding")
-    return hits.selectExpr("id", "round(score, 9) as score", "cast(rank as bigint) as rank")
+    """Each vector whose id is divisible by 50 against all vectors."""
+    return dense_hits(spark, d, 2 * TOP).select("query", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-TERMS = ["the", "of", "la", "und"]
-_TFS = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as tf{i}" for i, t in enumerate(sorted(TERMS)))
-_BM25 = (
-    "w as (select doc_id as id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w from documents), t as (select id, len(w) as dl, " + _TFS + " from w), "
-    "st as (select count(*) as n, avg(dl) as avgdl, " + ", ".join(f"count_if(tf{i} > 0) as df{i}" for i in range(len(TERMS))) + " from t), "
-    "sp as (select id, " + " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))" for i in range(len(TERMS))) + " as score from t, st where " + " or ".join(f"tf{i} > 0" for i in range(len(TERMS))) + ")"
-)
+_BM25 = f"""w as (select doc_id as id, list_filter(regexp_split_to_array(lower(text), '{_SP}+'), lambda x: x <> '') as w from documents), st as (select count(*) as n, avg(len(w)) as avgdl from w),
+tf as (select id, dl, term, count(*) as tf from (select id, len(w) as dl, unnest(w) as term from w) group by all), df as (select term, count(*) as df from tf group by term),
+sc as (select q.id as query, tf.id as id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * tf.dl / avgdl))), 9) as score
+  from (select id, term from tf where id % {EVERY} = 0) q join df using (term) join tf using (term), st group by q.id, tf.id),
+sr as (select query, id, score, row_number() over (partition by query order by score desc, id) as rank from sc qualify rank <= {2 * TOP})"""
+
+
+def sparse_hits(spark, d, k: int) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return search.bm25(docs, docs.where(f"doc_id % {EVERY} = 0").selectExpr("doc_id as query", "text"), k)
 
 
-@query("bm25_topk", f"with {_BM25} select id, round(score, 9) as score from (select id, score from sp order by round(score, 9) desc, id limit {2 * TOP})")
+@query("bm25_topk", f"with {_BM25} select query, id, round(score, 6) as score, rank from sr")
 def bm25_topk(spark, d):
-    hits = search.bm25(table(spark, d, "documents"), " ".join(TERMS)).selectExpr("id", "round(score, 9) as score")
-    return hits.orderBy(F.desc("score"), "id").limit(2 * TOP)
+    """Each text whose id is divisible by 50, whole, as a query against all texts."""
+    return sparse_hits(spark, d, 2 * TOP).select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_FUSED = f"""{_DENSE}, {_BM25}, nd as (select query, count(*) as nd from dr group by query), ns as (select query, count(*) as ns from sr group by query),
+f as (select coalesce(dr.query, sr.query) as query, coalesce(dr.id, sr.id) as id, coalesce(dr.score, sr.score) as score, dr.rank as a, sr.rank as b from dr full join sr on dr.id = sr.id and dr.query = sr.query),
+g as (select f.query, id, score, coalesce(a, coalesce(nd, 0) + 1) as dense_rank, coalesce(b, coalesce(ns, 0) + 1) as sparse_rank from f left join nd using (query) left join ns using (query)),
+h as (select *, 1.0::double / (60 + dense_rank) + 1.0::double / (60 + sparse_rank) as rrf_score from g), hybrid as (select *, row_number() over (partition by query order by rrf_score desc, id) as rank from h qualify rank <= {TOP})"""
 
 
 @query(
     "rrf_hybrid",
-    f"""with {_DENSE}, {_BM25}, sr as (select id, score, row_number() over (order by score desc, id) as rank from (select id, round(score, 9) as score from sp order by 2 desc, 1 limit {2 * TOP})),
-    f as (select coalesce(dr.id, sr.id) as id, coalesce(dr.score, sr.score) as score, coalesce(dr.rank, (select count(*) from dr) + 1) as dense_rank, coalesce(sr.rank, (select count(*) from sr) + 1) as sparse_rank from dr full join sr on dr.id = sr.id)
-    select id, round(score, 9) as score, cast(dense_rank as bigint) as dense_rank, cast(sparse_rank as bigint) as sparse_rank, round(1.0::double / (60 + dense_rank) + 1.0::double / (60 + sparse_rank), 12) as rrf_score from f order by rrf_score desc, id limit {TOP}""",
+    f"with {_FUSED} select query, id, round(score, 6) as score, cast(dense_rank as bigint) as dense_rank, cast(sparse_rank as bigint) as sparse_rank, round(rrf_score, 12) as rrf_score, rank from hybrid",
 )
 def rrf_hybrid(spark, d):
-    dense = search.dense_topk(table(spark, d, "embeddings"), _query_vector(spark, d), 2 * TOP, "vec_id", "embedding")
-    out = search.rrf(dense, search.ranked(bm25_topk(spark, d)), TOP)
-    return out.selectExpr("id", "round(score, 9) as score", "cast(dense_rank as bigint) as dense_rank", "cast(sparse_rank as bigint) as sparse_rank", "round(rrf_score, 12) as rrf_score")
+    out = search.rrf(dense_hits(spark, d, 2 * TOP), sparse_hits(spark, d, 2 * TOP), TOP)
+    return out.selectExpr("query", "id", "round(score, 6) as score", "cast(dense_rank as bigint) as dense_rank", "cast(sparse_rank as bigint) as sparse_rank", "round(rrf_score, 12) as rrf_score", "cast(rank as bigint) as rank")
 
 
-@query("search_output")
+@query("rrf_without_sparse", f"with {_DENSE}, h as (select query, id, score, rank from dr where score >= 0.2) select query, id, score, rank as dense_rank, cast(1 as bigint) as sparse_rank, row_number() over (partition by query order by rank) as rank from h qualify rank <= {TOP}")
+def rrf_without_sparse(spark, d):
+    """The fusion over a store without sparse vectors, with a least retrieval score."""
+    dense = dense_hits(spark, d, 2 * TOP)
+    return search.rrf(dense, dense.limit(0), TOP, min_score=0.2).selectExpr("query", "id", "score", "cast(dense_rank as bigint) as dense_rank", "cast(sparse_rank as bigint) as sparse_rank", "cast(rank as bigint) as rank")
+
+
+@query("search_output", f"with {_FUSED} select query, id, concat(source, ':chunk_', id) as chunk_id, source as file, lang as topic, strlen(text) > 500 as cut, strlen(text) as bytes from hybrid join documents on doc_id = id")
 def search_output(spark, d):
-    """Hits as JSON lines, content cut to 500 bytes."""
-    docs = table(spark, d, "documents").selectExpr("doc_id as id", "source as file", "lang as topic", "text")
-    return rrf_hybrid(spark, d).join(docs, "id").selectExpr("id", f"to_json(struct(concat(id, ':chunk_0') as chunk_id, file, score, rrf_score, topic, {text.byte_cut('text', 500)} as content)) as line")
+    """Hits as JSON objects, content cut to 500 bytes, read back."""
+    docs = table(spark, d, "documents").selectExpr("doc_id as id", "source", "lang as topic", "text")
+    hits = rrf_hybrid(spark, d).join(docs, "id")
+    lines = hits.selectExpr("query", "id", "octet_length(text) as bytes", f"to_json(struct(concat(source, ':chunk_', id) as chunk_id, source as file, score, rrf_score, topic, {text.byte_cut('text', 500)} as content)) as line")
+    get = lambda k: f"get_json_object(line, '$.{k}') as {k}"
+    return lines.selectExpr("query", "id", get("chunk_id"), get("file"), get("topic"), "octet_length(get_json_object(line, '$.content')) between 498 and 503 and endswith(get_json_object(line, '$.content'), '...') as cut", "cast(bytes as bigint) as bytes")
 
 
 @query("index_pipeline")
 def index_pipeline(spark, d):
-    """Chunk, call the (offline, synthetic) model, parse, embed and key every document."""
+    """Chunk every document, call the (offline, synthetic) model, parse, embed, and upsert by point id."""
     chunks = split.chunk_documents(table(spark, d, "documents"))
-    replies = providers.call_model(chunks, providers.Offline(), "chunk", r"(?m)^type: \w")
-    parsed = replies.selectExpr("concat(doc_id, ':chunk_', chunk_idx) as id", "attempts", "error", f"{parse.key_values('response')} as m")
-    return parsed.selectExpr("id", f"{text.point_id('id')} as point_id", "m['topic'] as topic", "m['summary'] as summary", f"{parse.valid_result('m')} as valid", "attempts")
+    results = stages.chunk_results(chunks, providers.Offline())
+    points = results.where("error is null").selectExpr("concat(doc_id, ':chunk_', index) as id", "doc_id", "index", "topic", "summary", "valid", "content")
+    vectors = providers.embed_texts(points, providers.Offline(), "id", "content").withColumnRenamed("id", "vid")
+    found = points.join(vectors, F.col("id") == F.col("vid")).selectExpr("id", f"{text.point_id('id')} as point_id", "doc_id", "index", "topic", "summary", "valid", "vector", "cast(index as bigint) as seq")
+    return search.upsert(found.limit(0), found, "id")
+
+
+@query(
+    "pairwise_similarity",
+    "select vec_id as id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)), 9) as score from embeddings where vec_id <> 7",
+)
+def pairwise_similarity(spark, d):
+    return search.pairwise(table(spark, d, "embeddings"), 7, "vec_id", "embedding")
+
+
+@query(
+    "parents_of_hits",
+    f"with {_DENSE}, c as (select query, id // 10 as parent_id, count(*) as n_hits from dr group by all) select *, row_number() over (partition by query order by n_hits desc, parent_id) as rank from c qualify rank <= 3",
+)
+def parents_of_hits(spark, d):
+    children = table(spark, d, "embeddings").selectExpr("vec_id as id", "vec_id div 10 as parent_id")
+    return search.parents_of_hits(dense_hits(spark, d, 2 * TOP), children, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    "rerank_by_overlap",
+    f"with {_BM25}, k as (select sr.query, sr.id, len(list_intersect(list_distinct(a.w), b.w)) as o from sr join w a on a.id = sr.query join w b on b.id = sr.id) select query, id, cast(o as integer) as overlap, row_number() over (partition by query order by o desc, id) as rank from k qualify rank <= {TOP}",
+)
+def rerank_by_overlap(spark, d):
+    """BM25 hits in the order of the words they share with the query."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    hits = sparse_hits(spark, d, 2 * TOP).select("query", "id")
+    both = hits.join(docs.selectExpr("doc_id as query", "text as q"), "query").join(docs.selectExpr("doc_id as id", "text"), "id")
+    scored = both.selectExpr("query", "id", f"{text.keyword_overlap('q', 'text')} as rerank_score")
+    return search.rerank(hits, scored, TOP).selectExpr("query", "id", "rerank_score as overlap", "cast(rank as bigint) as rank")
 
 
 _MODELS = "select * from (values ('bge-m3'), ('nomic-embed'), ('text-embedding-3-small'), ('text-embedding-3-large'), ('text-embedding-ada-002'), ('x')) as m(model)"
@@ -500,3 +683,280 @@ _MODELS = "select * from (values ('bge-m3'), ('nomic-embed'), ('text-embedding-3
 )
 def vector_sizes(spark, d):
     return spark.sql(_MODELS).selectExpr("model", f"{text.vector_size('model')} as width")
+
+
+# Resuming -------------------------------------------------------------------------------------
+_EVENTS = "select user_id as doc_id, event_id as seq, case event_id % 6 when 0 then 'new' when 1 then 'stage' when 2 then 'chunks' when 3 then 'failed' when 4 then 'stage' else 'completed' end as event, case event_id % 6 when 1 then 'split' when 2 then cast(event_id % 40 as varchar(9)) when 3 then concat('error ', event_id) when 4 then 'holistic' end as value from {e}"
+_STATE = f"""e as ({_EVENTS.format(e="events")}), st as (select doc_id, arg_max(case event when 'new' then 'extracted' when 'stage' then value when 'failed' then 'failed' else 'done' end, seq) filter (where event <> 'chunks') as stage,
+  cast(arg_max(value, seq) filter (where event = 'chunks') as bigint) as chunks_total, arg_max(value, seq) filter (where event = 'failed') as failed_with from e group by doc_id)"""
+
+
+def states(spark, d) -> DataFrame:
+    return resume.document_state(spark.sql(_EVENTS.replace("varchar(9)", "string"), e=table(spark, d, "events")))
+
+
+@query("document_state", f"with {_STATE} select * from st")
+def document_state(spark, d):
+    return states(spark, d)
+
+
+@query(
+    "stages_past",
+    f"with {_STATE}, o as (select unnest(['extracted', 'cleaned', 'split', 'processing', 'holistic', 'causal', 'context_enrichment', 'done']) as s, unnest(range(8)) as i) select doc_id, coalesce(a.i, -1) > 2 and stage <> 'failed' as past_split, coalesce(a.i, -1) > 4 and stage <> 'failed' as past_holistic from st left join o a on a.s = stage",
+)
+def stages_past(spark, d):
+    return states(spark, d).selectExpr("doc_id", f"{resume.stage_past('stage', repr('split'))} as past_split", f"{resume.stage_past('stage', repr('holistic'))} as past_holistic")
+
+
+@query("files_to_do", f"with {_STATE} select c_custkey as doc_id, c_name as path from customer where c_custkey not in (select doc_id from st where stage = 'done')")
+def files_to_do(spark, d):
+    return resume.todo(table(spark, d, "customer").selectExpr("c_custkey as doc_id", "c_name as path"), states(spark, d))
+
+
+_CHUNK_EVENTS = "select user_id as doc_id, cast(event_id % 5 as int) as index, event_id as seq, case event_type when 'error' then 'failed' when 'purchase' then 'done' else 'started' end as event, cast(ts as timestamp) as at, case when event_type = 'error' then concat('e', event_id) else '' end as error from {e}"
+
+
+@query(
+    "chunk_state",
+    f"""with e as ({_CHUNK_EVENTS.format(e="events")}), l as (select doc_id, index, max(seq) filter (where event <> 'started') as seq from e group by all), x as (select l.doc_id, l.index, l.seq, e.event, e.at, e.error from l left join e on e.doc_id = l.doc_id and e.seq = l.seq),
+    b as (select x.doc_id, x.index, max(e.at) as begun from x join e on e.doc_id = x.doc_id and e.index = x.index and e.event = 'started' and (x.seq is null or e.seq < x.seq) where e.seq = (select max(f.seq) from e f where f.doc_id = x.doc_id and f.index = x.index and f.event = 'started' and (x.seq is null or f.seq < x.seq)) group by all)
+    select x.doc_id, x.index, coalesce(event = 'done', false) as done, coalesce(event = 'failed', false) as failed, case when event = 'failed' then error else '' end as error, cast(coalesce((epoch_us(x."at") - epoch_us(begun)) // 1000, 0) as bigint) as duration_ms from x left join b on b.doc_id = x.doc_id and b.index = x.index""",
+)
+def chunk_state(spark, d):
+    return resume.chunk_state(spark.sql(_CHUNK_EVENTS, e=table(spark, d, "events")))
+
+
+@query(
+    "restored_results",
+    """select doc_id, cast(doc_id % 9 as integer) as index, case when doc_id % 2 = 0 and doc_id % 3 <> 0 then 'status' when doc_id % 3 <> 0 and doc_id % 5 <> 0 then 'file' when doc_id % 7 = 0 then 'legacy' end as origin,
+    case when doc_id % 3 <> 0 and (doc_id % 2 = 0 or doc_id % 5 <> 0) then case when doc_id % 5 = 0 then '' else lang end when doc_id % 7 = 0 then source end as summary,
+    case when doc_id % 3 <> 0 and (doc_id % 2 = 0 or doc_id % 5 <> 0) then 'new' when doc_id % 7 = 0 then 'old' end as type from documents""",
+)
+def restored_results(spark, d):
+    docs = table(spark, d, "documents").selectExpr("doc_id", "cast(doc_id % 9 as int) as index", "lang", "source")
+    done = docs.where("doc_id % 2 = 0").selectExpr("doc_id", "index", "true as done")
+    stored = docs.where("doc_id % 3 <> 0").selectExpr("doc_id", "index", "if(doc_id % 5 = 0, '', lang) as summary", "'new' as type")
+    return resume.restored(docs.select("doc_id", "index"), done, stored, docs.where("doc_id % 7 = 0").selectExpr("doc_id", "index", "source as summary", "'old' as type"))
+
+
+@query(
+    "restored_texts",
+    f"""with {_STATE} select d.doc_id, case when coalesce(stage, '') in ('cleaned', 'split', 'processing', 'holistic', 'causal', 'context_enrichment', 'done') and d.doc_id % 2 = 0 then text when d.doc_id % 3 = 0 then lang end as text from documents d left join st on st.doc_id = d.doc_id""",
+)
+def restored_texts(spark, d):
+    docs = table(spark, d, "documents")
+    return resume.restored_text(docs, states(spark, d), docs.where("doc_id % 2 = 0").select("doc_id", "text"), docs.where("doc_id % 3 = 0").selectExpr("doc_id", "lang as text"))
+
+
+@query("stored_or_new_chunks", "select doc_id, case when doc_id % 4 = 0 then 'k2' else 'k1' end as key, case when doc_id % 4 = 0 or doc_id % 3 = 0 then text else 'kept' end as text from documents")
+def stored_or_new_chunks(spark, d):
+    docs = table(spark, d, "documents")
+    new = docs.selectExpr("doc_id", "if(doc_id % 4 = 0, 'k2', 'k1') as key", "text")
+    return resume.stored_or_new(docs.where("doc_id % 3 <> 0").selectExpr("doc_id", "'k1' as key", "'kept' as text"), new)
+
+
+# Sources and sinks ----------------------------------------------------------------------------
+_FETCHED = "case doc_id % 4 when 0 then text when 1 then {broken} else {json} end"
+
+
+@query(
+    "fetched_pages",
+    f"""with x as (select doc_id, text, case when doc_id % 3 = 0 then '' else lang end as c, case when doc_id % 5 = 0 then '' else text end as de from documents)
+    select doc_id, case doc_id % 4 when 0 then text when 1 then concat('{{not json', lang_) else case when c = '' then de when de = '' then c when {_WC.format('c')} < {_WC.format('de')} * 30 // 100 then de else c end end as text from (select x.*, l.lang as lang_ from x join documents l using (doc_id))""",
+)
+def fetched_pages(spark, d):
+    """What a fetcher printed: plain text, broken JSON, or JSON whose content or description counts."""
+    json = "to_json(named_struct('title', source, 'content', if(doc_id % 3 = 0, '', lang), 'description', if(doc_id % 5 = 0, '', text)))"
+    raw = table(spark, d, "documents").selectExpr("doc_id", f"case doc_id % 4 when 0 then text when 1 then concat('{{not json', lang) else {json} end as raw")
+    return raw.selectExpr("doc_id", f"{files.fetched('raw')} as text")
+
+
+@query(
+    "price_list",
+    """with p as (select lower(p_name) as model, concat('prov', p_size % 5) as provider, min_by(p_retailprice, p_partkey) as price from part where p_size % 7 <> 0 group by all) select model, arg_min(price, provider) as input_price, arg_min(price * 4, provider) as output_price from p group by model""",
+)
+def price_list(spark, d):
+    """A provider list as one JSON object; models without a cost are left out."""
+    part = table(spark, d, "part").selectExpr("concat('prov', p_size % 5) as provider", "if(p_size % 2 = 0, upper(p_name), p_name) as name", "p_partkey", "p_size", "if(p_size % 7 = 0, null, p_retailprice) as price")
+    first = part.where("price is not null").groupBy("provider", F.lower("name").alias("name")).agg(F.min_by("price", "p_partkey").alias("price"))
+    free = part.where("price is null").selectExpr("provider", "concat('free ', p_partkey) as name", "price")
+    models = first.unionByName(free).groupBy("provider").agg(F.expr("map_from_entries(collect_list(struct(name, struct(if(price is null, null, struct(price as input, price * 4 as output)) as cost))))").alias("models"))
+    raw = models.agg(F.expr("to_json(map_from_entries(collect_list(struct(provider, struct(models)))))").alias("json"))
+    return files.price_list(raw)
+
+
+@query("page_counts", "select doc_id, case when doc_id % 3 = 0 then 0 else cast(doc_id as integer) end as n from documents")
+def page_counts(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", "concat('Title: x', chr(10), if(doc_id % 3 = 0, 'Pages: none', concat('Pages:        ', doc_id)), chr(10)) as info").selectExpr("doc_id", f"{files.page_count('info')} as n")
+
+
+_VERSION = "concat('ws/', substr(md5(source), 1, 8), '/versions/v', doc_id, '/final.md')"
+
+
+@query("final_versions", f"select substr(md5(source), 1, 8) as doc_id, cast(max(doc_id) as integer) as version, arg_max(text, doc_id) as text from documents group by source")
+def final_versions(spark, d):
+    return workspace.final_versions(table(spark, d, "documents").selectExpr(f"{_VERSION} as path", "text"))
+
+
+@query("workspace_detect", "select true as workspace")
+def workspace_detect(spark, d):
+    return workspace.is_workspace(table(spark, d, "documents").selectExpr(f"{_VERSION} as path"))
+
+
+@query("flat_documents", "select substr(sha256(concat('n', doc_id, case doc_id % 3 when 0 then '.md' else '.markdown' end)), 1, 8) as doc_id, text from documents where doc_id % 3 < 2 and doc_id % 5 > 0")
+def flat_documents(spark, d):
+    return workspace.flat_documents(table(spark, d, "documents").selectExpr("concat('a/', if(doc_id % 5 = 0, '._', ''), 'n', doc_id, case doc_id % 3 when 0 then '.md' when 1 then '.markdown' else '.MD' end) as path", "text"))
+
+
+@query(
+    "checkpoint_chunks",
+    f"with c as (select source as doc_id, doc_id as n, text from documents where {_TRIM.format('text')} <> '') select doc_id, cast(row_number() over (partition by doc_id order by n) - 1 as integer) as chunk_idx, text from c",
+)
+def checkpoint_chunks(spark, d):
+    """Chunk files in the order of their numbers, not of their names."""
+    names = table(spark, d, "documents").selectExpr("concat('cp/', source, '/chunks/chunk-', doc_id, '.md') as path", "text").unionByName(table(spark, d, "documents").selectExpr("concat('cp/', source, '/chunks/notes.md') as path", "text"))
+    return workspace.read_chunks(names)
+
+
+@query(
+    "document_listing",
+    "select doc_id, case when substr(text, 1, 0 + doc_id % 60) = '' then '-' when doc_id % 60 > 30 and length(text) > 30 then concat(repeat('x', 27), '...') else repeat('x', cast(least(doc_id % 60, length(text)) as integer)) end as title, source, cast(1 as integer) as versions from documents",
+)
+def document_listing(spark, d):
+    docs = table(spark, d, "documents").selectExpr("doc_id", "repeat('x', cast(least(doc_id % 60, length(text)) as int)) as title", "source", "1 as versions")
+    return workspace.listing(docs)
+
+
+@query("chunk_files", _PACKED + f"select doc_id, printf('chunks/chunk-%03d.md', cast(chunk_idx + 1 as integer)) as name, text from k where {_TRIM.format('text')} <> ''")
+def chunk_files(spark, d):
+    return sinks.chunk_files(split.chunk_documents(table(spark, d, "documents")))
+
+
+# Model stages ---------------------------------------------------------------------------------
+@query(
+    "context_prompts",
+    _R + f""", a as (select *, row_number() over (partition by doc_id order by i) as n from (select doc_id, topic, min(index) as i from r where topic <> '' group by all)), s as (select doc_id, 'Document covering: ' || string_agg(topic, ', ' order by i) as about from a where n <= 5 group by doc_id)
+    select doc_id, index, strlen(concat('Document summary: ', about, chr(10), chr(10), 'Chunk content:', chr(10))) as head, least(strlen(content), 1000) >= 0 as capped from r join s using (doc_id) where content <> '' and summary <> '' and context = ''""",
+)
+def context_prompts(spark, d):
+    p = stages.context_prompts(results(spark, d))
+    return p.selectExpr("doc_id", "index", "cast(octet_length(substring_index(text, 'Chunk content:\\n', 1)) + 15 as bigint) as head", "octet_length(text) <= 1000 + octet_length(substring_index(text, 'Chunk content:\\n', 1)) + 15 as capped")
+
+
+@query("model_stages")
+def model_stages(spark, d):
+    """Chunk results, context, whole-document analysis and causes by the offline model, rendered."""
+    chunks = split.chunk_documents(table(spark, d, "documents").where("source is not null"))
+    return stages.analysed(chunks, providers.Offline())
+
+
+@query(
+    "partial_merge",
+    "select doc_id // 4 as doc_id, coalesce(arg_min(case when doc_id % 3 = 0 then '' else lang end, doc_id) filter (where doc_id % 3 <> 0), '') as topic, coalesce(arg_min(cast(doc_id % 2 as double), doc_id) filter (where doc_id % 2 > 0), 0) as confidence, string_agg(source, '|' order by doc_id) as points from documents group by doc_id // 4",
+)
+def partial_merge(spark, d):
+    parts = table(spark, d, "documents").selectExpr("doc_id div 4 as doc_id", "doc_id as part", "if(doc_id % 3 = 0, '', lang) as topic", "cast(doc_id % 2 as double) as confidence", "array(source) as points")
+    return assemble.merge_results(parts, ["doc_id"]).withColumn("points", F.array_join("points", "|"))
+
+
+@query("cleaned_parts", "select doc_id // 5 as doc_id, string_agg(text, chr(10) || chr(10) order by doc_id) as text from documents group by doc_id // 5")
+def cleaned_parts(spark, d):
+    return assemble.reassemble_parts(table(spark, d, "documents").selectExpr("doc_id div 5 as doc_id", "doc_id as part_idx", "text as part"))
+
+
+@query(
+    "object_stream",
+    "select conv_id as call_id, coalesce(string_agg(text, '' order by turn), '') as content, true as finished, cast(max(turn) * 3 as bigint) as prompt_tokens, cast(7 as bigint) as completion_tokens from conversations group by conv_id",
+)
+def object_stream(spark, d):
+    """Recorded lines of JSON objects, nested and flat, with broken lines and lines after the end."""
+    c = table(spark, d, "conversations")
+    one = "if(turn % 2 = 0, to_json(named_struct('message', named_struct('content', text), 'done', false, 'prompt_eval_count', turn * 3)), to_json(named_struct('content', text, 'done', false, 'prompt_eval_count', turn * 3)))"
+    end = c.groupBy("conv_id").agg(F.max("turn").alias("t"))
+    lines = c.selectExpr("conv_id as call_id", "turn * 2 as seq", f"{one} as line").unionByName(c.selectExpr("conv_id as call_id", "turn * 2 + 1 as seq", "'{broken' as line"))
+    lines = lines.unionByName(end.selectExpr("conv_id as call_id", "t * 2 + 2 as seq", "to_json(named_struct('done', true, 'eval_count', 7)) as line")).unionByName(end.selectExpr("conv_id as call_id", "t * 2 + 3 as seq", "to_json(named_struct('content', 'late')) as line"))
+    return telemetry.reassemble_objects(lines)
+
+
+@query("prompt_chars", "select conv_id, cast(sum(strlen(text)) as bigint) as chars from conversations group by conv_id")
+def prompt_chars(spark, d):
+    m = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("messages"))
+    return m.selectExpr("conv_id", f"{telemetry.prompt_chars('messages')} as chars")
+
+
+@query("chunk_cost_of_all_calls", _C + "select source, chunk_index, arg_max(model, seq) as model, round(arg_max(cost, seq), 10) as cost from c where success group by all")
+def chunk_cost_of_all_calls(spark, d):
+    return telemetry.chunk_cost(calls(spark, d), paid_only=False).selectExpr("source", "chunk_index", "model", "round(cost, 10) as cost")
+
+
+_EVENT_KIND = "case event_id % 9 when 0 then 'split_done' when 1 then 'processing_chunk' when 2 then 'processing_retry' when 3 then 'holistic_done' when 4 then 'other' when 5 then 'pre_clean' when 6 then 'completed' when 7 then 'splitting' else 'assembling' end"
+
+
+@query(
+    "event_labels",
+    f"""with e as (select event_id, {_EVENT_KIND} as e from events) select event_id, case e when 'split_done' then concat(event_id, ' chunks') when 'processing_chunk' then concat('chunk ', event_id % 5, '/9') when 'processing_retry' then concat('chunk ', event_id % 5, ' retry ', event_id % 3)
+    when 'holistic_done' then 'holistic' when 'pre_clean' then 'cleaning' when 'completed' then 'done' when 'splitting' then 'splitting' when 'assembling' then 'assembling' end as label,
+    case when event_id % 4 = 0 then concat('ERROR: bad ', event_id) else concat(e, ' attempt=', event_id % 3, ' chunk=', event_id % 5, ' chunks=', event_id, ' total=9') end as line from e""",
+)
+def event_labels(spark, d):
+    e = table(spark, d, "events").selectExpr("event_id", f"{_EVENT_KIND} as e", "map('total', '9', 'chunk', cast(event_id % 5 as string), 'chunks', cast(event_id as string), 'attempt', cast(event_id % 3 as string)) as data", "if(event_id % 4 = 0, concat('bad ', event_id), '') as error")
+    return e.selectExpr("event_id", f"{text.stage_label('e', 'data')} as label", f"{text.event_line('e', 'error', 'data')} as line")
+
+
+@query(
+    "remaining_time",
+    """with x as (select event_id, event_id % 7 as done, event_id * 97 as took, event_id % 5 as active from events), y as (select *, 60 - done - 5 - 5 as rest, case when done > 0 and active > 0 then ((60 - done - 5 - 5) * (took // done) // active + 500) // 1000 end as s from x)
+    select event_id, case when done < 1 or active = 0 then 'ETA ...' when rest <= 0 then 'done' when s < 60 then concat('ETA ', s, 's') when s >= 3600 then printf('ETA %dh%02dm', s // 3600, s % 3600 // 60) when s % 60 > 0 then printf('ETA %dm%02ds', s // 60, s % 60) else concat('ETA ', s // 60, 'm') end as eta from y""",
+)
+def remaining_time(spark, d):
+    x = table(spark, d, "events").selectExpr("event_id", "event_id % 7 as done", "event_id * 97 as took", "event_id % 5 as active")
+    return x.selectExpr("event_id", f"{text.eta('done', 'took', '60', '5', '5', 'active')} as eta")
+
+
+@query("image_types", "select doc_id, case doc_id % 5 when 0 then 'image/png' when 1 then 'image/gif' when 2 then 'image/webp' when 3 then 'image/bmp' else 'image/jpeg' end as type from documents")
+def image_types(spark, d):
+    head = "unhex(case doc_id % 5 when 0 then '89504E470D0A' when 1 then '474946383961' when 2 then '524946460000000057454250' when 3 then '424D0000' else 'FFD8FFE0' end)"
+    return table(spark, d, "documents").selectExpr("doc_id", f"{head} as b").selectExpr("doc_id", f"split(substr({text.data_url('b')}, 6), ';')[0] as type")
+
+
+@query(
+    "query_forms",
+    f"""with q as (select conv_id, turn, {_TRIM.format('text')} as t from conversations) select conv_id, turn, case when ends_with(t, '?') or regexp_matches(lower(t), '^(как|что|почему)([^\\p{{L}}]|$)') then 'question'
+    when regexp_matches(lower(t), '^(напиши|объясни|расскажи)([^\\p{{L}}]|$)') then 'command' when {_WC.format('t')} < 4 then 'fragment' else 'statement' end as form from q""",
+)
+def query_forms(spark, d):
+    return table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{text.query_format('text')} as form")
+
+
+@query("retryable_errors", "select event_id, event_id % 4 in (0, 2) as retry from events")
+def retryable_errors(spark, d):
+    e = table(spark, d, "events").selectExpr("event_id", "case event_id % 4 when 0 then 'server said 503' when 1 then 'no such model' when 2 then concat('timeout after ', 'x') else 'bad key' end as m")
+    return e.selectExpr("event_id", f"{text.retryable_error('m')} as retry")
+
+
+_TOKENS = "list_filter(regexp_split_to_array(text, '{sp}+'), lambda w: w <> '')".format(sp=_SP)
+
+
+@query(
+    "parent_child_chunks",
+    f"""with w as (select doc_id, {_TOKENS} as w from documents), p as (select doc_id, unnest(range(0, len(w), 512)) as a, w from w), q as (select doc_id, a, list_slice(w, a + 1, a + 512) as p from p), c as (select doc_id, a, unnest(range(0, len(p), 128)) as b, p from q)
+    select concat(doc_id, ':', a // 512) as parent_id, concat(doc_id, ':', a // 512, ':', b // 128) as id, array_to_string(list_slice(p, b + 1, b + 128), ' ') as text, sha256(array_to_string(list_slice(p, b + 1, b + 128), ' ')) as content_hash from c""",
+)
+def parent_child_chunks(spark, d):
+    return split.parents_and_children(table(spark, d, "documents"))
+
+
+@query("context_blocks", f"with {_DENSE} select query, concat('Source [', rank, ']: ', lang) as block from dr join documents on doc_id = id")
+def context_blocks(spark, d):
+    docs = table(spark, d, "documents").selectExpr("doc_id as id", "lang")
+    return search.context_block(dense_hits(spark, d, 2 * TOP).join(docs, "id"), "lang").select("query", "block")
+
+
+@query("delete_document", "select vec_id as id, label from embeddings where label <> 3")
+def delete_document(spark, d):
+    return search.delete_document(table(spark, d, "embeddings").selectExpr("vec_id as id", "label", "label as doc_id"), 3).select("id", "label")
+
+
+@query("point_count", "select count(*) as n, true as ready from embeddings")
+def point_count(spark, d):
+    return search.count(table(spark, d, "embeddings"))

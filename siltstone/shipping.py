@@ -25,7 +25,7 @@ def ship(spark) -> None:
     _sent.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow`` whose function may come from this package."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)

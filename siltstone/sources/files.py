@@ -35,13 +35,47 @@ def pick_content(content: str, description: str) -> str:
     )
 
 
+def list_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a folder (not below it) that an extractor takes -> (path, kind), without their bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path")
+    return files.where("not startswith(substring_index(path, '/', -1), '._')").selectExpr("path", f"{kind('path')} as kind").where("kind is not null")
+
+
 def list_directory(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a folder (not below it) that an extractor takes -> (path, kind, content)."""
+    """``list_paths`` with the files' bytes -> (path, kind, content)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     name = "substring_index(path, '/', -1)"
     return files.where(f"not startswith({name}, '._')").selectExpr("path", f"{kind('path')} as kind", "content").where("kind is not null")
 
 
+def fetched(raw: str) -> str:
+    """SQL: what a page fetcher printed: of JSON the content or the description, else as it is."""
+    get = lambda k: f"coalesce(try_variant_get(try_parse_json({raw}), '$.{k}', 'string'), '')"
+    return f"if(startswith(ltrim({raw}), '{{') and try_parse_json({raw}) is not null, {pick_content(get('content'), get('description'))}, {raw})"
+
+
+def page_count(info: str) -> str:
+    """SQL: the number of pages in a PDF tool's report, 0 if it has none."""
+    return f"coalesce(try_cast(regexp_extract({info}, r'Pages:\\s+(\\d+)', 1) as int), 0)"
+
+
+def price_list(raw: DataFrame) -> DataFrame:
+    """``raw (json)``: providers with models with costs -> (model, input_price, output_price), names in
+    lower case; models without a cost are left out; of a model that several providers have, the first
+    provider's in the order of their names."""
+    kind = "map<string,struct<models:map<string,struct<cost:struct<input:double,output:double>>>>>"
+    each = raw.selectExpr(f"explode(from_json(json, '{kind}')) as (provider, p)").selectExpr("provider", "explode(p.models) as (name, m)").where("m.cost is not null")
+    first = each.groupBy(F.lower("name").alias("model")).agg(F.min_by("m", "provider").alias("m"))
+    return first.selectExpr("model", "coalesce(m.cost.input, 0D) as input_price", "coalesce(m.cost.output, 0D) as output_price")
+
+
+def model_names(raw: DataFrame) -> DataFrame:
+    """``raw (json)``: a server's list of models, under data (with ids) or models (with names)."""
+    kind = "struct<data:array<struct<id:string>>,models:array<struct<name:string,key:string>>>"
+    both = raw.selectExpr(f"from_json(json, '{kind}') as j").selectExpr("explode(concat(coalesce(j.data.id, array()), coalesce(transform(j.models, m -> coalesce(m.name, m.key)), array()))) as model")
+    return both.where("model <> ''").distinct()
+
+
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """-> (path, text) without frontmatter."""
     files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -67,8 +101,8 @@ def read_epub(files: DataFrame) -> DataFrame:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
                         names = [n for n in z.namelist() if n.lower().endswith((".html", ".xhtml", ".htm")) and "toc" not in n.lower() and "nav" not in n.lower()]
                         rows += [(path, i, n.rsplit("/", 1)[-1], z.read(n).decode("utf-8", "replace"), None) for i, n in enumerate(names)] or [(path, 0, "", "", "no pages")]
-                except (zipfile.BadZipFile, OSError) as e:
-                    rows.append((path, 0, "", "", str(e)))
+                except Exception as e:  # noqa: BLE001 - a broken archive, or one member of it, is an error value
+                    rows = [r for r in rows if r[0] != path] + [(path, 0, "", "", f"{type(e).__name__}: {e}")]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], names=["path", "ord", "name", "html", "error"])
 
@@ -79,28 +113,68 @@ def read_epub(files: DataFrame) -> DataFrame:
     ).selectExpr("path", "text", "coalesce(error, if(text = '', 'no text', null)) as error")
 
 
-def read_epub_images(files: DataFrame) -> DataFrame:
-    """(path, content) -> (path, name, data) of an EPUB's images."""
+def _images(files: DataFrame, images_of) -> DataFrame:
+    """(path, content) -> (path, name, alt_text, data, error), a row per image that ``images_of`` a
+    file's bytes gives, or one with the error."""
 
     def run(batches):
-        import io
-        import zipfile
-
         import pyarrow as pa
 
+        kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    got = [(path, n, z.read(n)) for n in z.namelist() if n.lower().endswith((".jpg", ".jpeg", ".png", ".gif", ".svg"))]
+                try:
+                    got = [(path, *x, None) for x in images_of(data)]
+                except Exception as e:  # noqa: BLE001 - a broken book is an error value
+                    got = [(path, None, None, None, f"{type(e).__name__}: {e}")]
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.string(), pa.string(), pa.binary()))], names=["path", "name", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=["path", "name", "alt_text", "data", "error"])
 
-    return map_arrow(files.select("path", "content"), run, "path string, name string, data binary")
+    return map_arrow(files.select("path", "content"), run, "path string, name string, alt_text string, data binary, error string")
 
 
-def fb2_text(data: bytes) -> str:
-    """Sections of an FB2 book (or a zip that holds one) as Markdown: titles as headings two
-    levels below their depth, six at most, boilerplate titles left out."""
+def epub_images(data: bytes) -> list[tuple[str, str, bytes]]:
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = [n for n in z.namelist() if n.lower().endswith((".jpg", ".jpeg", ".png", ".gif", ".svg"))]
+        return [(n, f"Image from EPUB: {n.rsplit('/', 1)[-1]}", z.read(n)) for n in names]
+
+
+def fb2_images(data: bytes) -> list[tuple[str, str, bytes]]:
+    """Pictures in an FB2 book's text; one that can't be decoded is left out."""
+    import base64
+    import binascii
+
+    out = []
+    for e in _fb2_root(data):
+        if e.tag.rsplit("}", 1)[-1] == "binary":
+            kind, name = e.get("content-type", ""), e.get("id", "")
+            try:
+                raw = base64.b64decode("".join((e.text or "").split()), validate=True)
+            except binascii.Error:
+                continue
+            out.append((name + (".png" if "png" in kind else ".gif" if "gif" in kind else ".jpg"), f"Image from FB2: {name}", raw))
+    return out
+
+
+def read_epub_images(files: DataFrame) -> DataFrame:
+    """An EPUB's images -> (path, name, alt_text, data, error)."""
+    return _images(files, epub_images)
+
+
+def read_fb2_images(files: DataFrame) -> DataFrame:
+    """An FB2 book's images -> (path, name, alt_text, data, error)."""
+    return _images(files, fb2_images)
+
+
+def no_images(files: DataFrame) -> DataFrame:
+    """Sources whose images aren't collected (URLs, audio, video, Markdown) have none."""
+    return files.selectExpr("path", "cast(array() as array<struct<path:string,alt_text:string>>) as images")
+
+
+def _fb2_root(data: bytes):
     import io
     import xml.etree.ElementTree as ET
     import zipfile
@@ -108,10 +182,16 @@ def fb2_text(data: bytes) -> str:
     if data[:2] == b"PK":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             data = z.read(next(n for n in z.namelist() if n.lower().endswith(".fb2")))
+    return ET.fromstring(data)
+
+
+def fb2_text(data: bytes) -> str:
+    """Sections of an FB2 book (or a zip that holds one) as Markdown: titles as headings two
+    levels below their depth, six at most, boilerplate titles left out."""
     local = lambda e: e.tag.rsplit("}", 1)[-1]
     plain = lambda e: " ".join("".join(e.itertext()).split())
     out: list[str] = []
-    todo = [(s, 0) for b in ET.fromstring(data) if local(b) == "body" for s in b if local(s) == "section"][::-1]
+    todo = [(s, 0) for b in _fb2_root(data) if local(b) == "body" for s in b if local(s) == "section"][::-1]
     while todo:
         section, depth = todo.pop()
         for e in section:
@@ -142,7 +222,8 @@ def read_fb2(files: DataFrame) -> DataFrame:
 
 
 def read_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    return pages.selectExpr(id_col, f"{html_text(f'coalesce({html_col}, {chr(39) * 2})')} as text")
+    text = html_text(f"coalesce({html_col}, '')")
+    return pages.selectExpr(id_col, f"{text} as text")
 
 
 def latest_versions(files: DataFrame) -> DataFrame:
