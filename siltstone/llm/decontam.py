@@ -10,9 +10,8 @@ matches (op8's further columns) need most of a window's terms near each other, i
 its rarest terms must meet in a block of text, and the block's postings decide.
 
 Postings are looked at in blocks of BLOCK words, and only in blocks where something may match, so a
-very long text is many small rows.  Broadcast are only the benchmark's own terms, anchors and searches
-and tables of candidate places, each counted (rows and bytes) first; larger ones are joined by
-shuffle.
+very long text is many small rows.  Broadcast are only the benchmark's own terms, anchors and searches,
+each counted (rows and bytes) first; larger ones are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -87,16 +86,13 @@ class PositionalIndex:
         anchors = small(materialize(self.anchors(window), "anchors"))
         return self.found.join(anchors, "tid").selectExpr("row", "irow", "pos - p as shift").distinct()
 
-    def lists(self, places: DataFrame, reach: int = 0) -> DataFrame:
-        """-> (row, block, keys): the postings of the blocks ``places (row, block)`` and of the
-        ``reach`` words behind each, a key being tid * PLACES + place in the block."""
-        wanted = small(materialize(places.select("row", "block").distinct(), "places"))
-        blocks = "array(pos div {0})" if not reach else "if(pos >= {0} and pos % {0} < {1}, array(pos div {0}, pos div {0} - 1), array(pos div {0}))"
-        dealt = self.found.selectExpr("tid", "row", "pos", f"explode({blocks.format(BLOCK, reach)}) as block")
-        return (
-            dealt.join(wanted, ["row", "block"], "left_semi").groupBy("row", "block")
-            .agg(F.collect_list(F.expr(f"tid * {PLACES} + pos - block * {BLOCK}")).alias("keys"))
-        )
+    def lists(self, reach: int = 0) -> DataFrame:
+        """-> (row, block, keys): the postings of each block and of the ``reach`` words behind it, a key
+        being tid * PLACES + place in the block.  A document's postings stand together in the index, so
+        a task gathers its blocks before they are shuffled."""
+        blocks = f"pos div {BLOCK}" if not reach else f"explode(if(pos >= {BLOCK} and pos % {BLOCK} < {reach}, array(pos div {BLOCK}, pos div {BLOCK} - 1), array(pos div {BLOCK})))"
+        dealt = self.found.selectExpr("tid", "row", "pos", f"{blocks} as block")
+        return dealt.groupBy("row", "block").agg(F.collect_list(F.expr(f"tid * {PLACES} + pos - block * {BLOCK}")).alias("keys"))
 
     def matches(self, window: int = WINDOW) -> DataFrame:
         """Exact phrases -> (row, irow, hit array<bigint>): by alignment the document positions
@@ -109,7 +105,7 @@ class PositionalIndex:
             f"p -> t[cast(p as int)] * {PLACES} + shift + p - block * {BLOCK})"
         )
         got = (
-            at.join(self.lists(at), ["row", "block"]).join(small(self.items), "irow")
+            at.join(self.lists(), ["row", "block"]).join(small(self.items), "irow")
             .selectExpr("row", "irow", "shift", "size(t) as words", f"transform(array_intersect({need}, keys), k -> k % {PLACES} + block * {BLOCK}) as g")
             .groupBy("row", "irow", "shift").agg(F.first("words").alias("words"), F.array_sort(F.flatten(F.collect_list("g"))).alias("g"))
         )
@@ -156,7 +152,7 @@ class PositionalIndex:
         least = materialize(wins.groupBy("irow").agg(F.min("k").alias("least_k"), F.array_distinct(F.flatten(F.collect_list("ts"))).alias("every")), "near_items")
         got = f"array_intersect(array_distinct(transform(keys, x -> x div {PLACES})), every)"
         some = (
-            at.join(self.lists(at, reach), ["row", "block"]).join(small(least), "irow")
+            at.join(self.lists(reach), ["row", "block"]).join(small(least), "irow")
             .selectExpr("row", "irow", "least_k", "keys", f"{got} as got").where("size(got) >= least_k")
         )
         own = f"array_sort(transform(filter(keys, x -> array_contains(ts, x div {PLACES})), x -> struct(x % {PLACES} as o, x div {PLACES} as t)))"
