@@ -15,12 +15,13 @@ from .common import materialize
 BLOCK = 1024
 
 
-def deal(placed: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+def deal(placed: DataFrame, keys: list[str], block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
     """``placed (node, *keys)`` -> (node, *keys, block, bi, bj): a row per cell in which a node of
-    a bucket of two or more has its place.  Sizes are counted before their shuffle, and the join
-    back has a plain exchange on either side, so Spark can split a hot bucket."""
-    sizes = placed.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1")
-    sizes = materialize(sizes.selectExpr(*keys, f"cast(ceil(m / {block}) as int) as nb"), "buckets")
+    a bucket of two or more has its place.  Sizes are counted before their shuffle, or come as
+    ``counted (*keys, m)``, and the join back has a plain exchange on either side, so Spark can
+    split a hot bucket."""
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("m")) if counted is None else counted
+    sizes = materialize(sizes.where("m > 1").selectExpr(*keys, f"cast(ceil(m / {block}) as int) as nb"), "buckets")
     cell = (
         "explode(if(nb = 1, array(named_struct('bi', 0, 'bj', 0)), transform(sequence(0, nb - 1), "
         "j -> named_struct('bi', least(block, j), 'bj', greatest(block, j))))) as c"
