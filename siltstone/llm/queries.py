@@ -1,4 +1,4 @@
-"""The ten registered queries and the SQL twins (DuckDB) of those that SQL can express.
+"""The registered queries and the SQL twins (DuckDB) of those that SQL can express.
 
 The twins take the plain way: all pairs, all windows, a fold by recursion.  A classifier, Golay keys on
 XXH64, byte-pair merges and keyed permutations are beyond SQL; tests compare those with brute force.
@@ -6,7 +6,7 @@ XXH64, byte-pair merges and keyed permutations are beyond SQL; tests compare tho
 
 from __future__ import annotations
 
-from . import bpe, decontam, licenses, lines, lsh, pii, quality, sharding, simhash, warc
+from . import bpe, centroids, decontam, licenses, lines, lsh, pii, quality, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -19,6 +19,8 @@ QUERIES = {
     "op8_decontamination": decontam.op8,
     "op9_line_dedup": lines.op9,
     "op10_license_scan": licenses.op10,
+    "op12_toxicity": toxicity.op12,
+    "op13_centroid_clustering": centroids.op13,
 }
 
 _EMBEDDINGS = """with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
