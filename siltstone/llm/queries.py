@@ -6,7 +6,7 @@ XXH64, byte-pair merges and keyed permutations are beyond SQL; tests compare tho
 
 from __future__ import annotations
 
-from . import bpe, centroids, decontam, licenses, lines, lsh, pii, quality, sharding, simhash, toxicity, warc
+from . import bpe, centroids, decontam, licenses, lines, lsh, pii, quality, sharding, simhash, toxicity, upsert, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_decontamination": decontam.op8,
     "op9_line_dedup": lines.op9,
     "op10_license_scan": licenses.op10,
+    "op11_upsert": upsert.op11,
     "op12_toxicity": toxicity.op12,
     "op13_centroid_clustering": centroids.op13,
 }
