@@ -111,3 +111,12 @@ def causal(x: str) -> str:
 
 def render_causal(chains: str) -> str:
     return f"array_join(transform({chains}, c -> concat('- **', c.cause, '** → ', if(c.mechanism = '', '', concat(c.mechanism, ' → ')), '**', c.effect, '** *(', c.relation, ')*\\n')), '')"
+
+
+def saved_causal(x: str) -> str:
+    """A saved causal analysis (## Causal Chains, ## Preconditions, ## Counterfactuals) as ``causal`` gives a
+    fresh one: each line that is not blank counts for its section, and a chain's line is both its cause
+    and its effect."""
+    part = lambda name: f"filter(transform(flatten(transform(filter(split({x}, '## '), s -> startswith(s, '{name}')), s -> split(substr(s, {len(name) + 1}), '\n'))), l -> {trim('l')}), l -> l <> '')"
+    link = "named_struct('cause', l, 'mechanism', '', 'effect', l, 'relation', '')"
+    return f"named_struct('chains', transform({part('Causal Chains')}, l -> {link}), 'preconditions', {part('Preconditions')}, 'counterfactuals', {part('Counterfactuals')})"

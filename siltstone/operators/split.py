@@ -116,16 +116,16 @@ def parents_and_children(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def parts(text: str, most: int = 28_000) -> list[str]:
     """Cut a text into parts of at most ``most`` bytes, at a blank line or else a newline in a
     part's second half, or else between characters; the parts joined are the text."""
-    data, out = text.encode(), []
-    while len(data) > most:
-        cut = next((i for s in (b"\n\n", b"\n") if (i := data.rfind(s, 0, most)) > most // 2), 0)
+    data, out, at = text.encode(), [], 0
+    while len(data) - at > most:
+        cut = next((i for s in (b"\n\n", b"\n") if (i := data.rfind(s, at, at + most)) > at + most // 2), 0)
         if not cut:
-            cut = most
-            while cut > max(0, most - 3) and data[cut] & 0xC0 == 0x80:
+            cut = at + most
+            while cut > at + max(0, most - 3) and data[cut] & 0xC0 == 0x80:
                 cut -= 1
-        out.append(data[:cut].decode())
-        data = data[cut:]
-    return [*out, data.decode()] if data or not out else out
+        out.append(data[at:cut].decode())
+        at = cut
+    return [*out, data[at:].decode()] if at < len(data) or not out else out
 
 
 def hard_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 28_000) -> DataFrame:

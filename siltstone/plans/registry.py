@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse, text
-from ..operators import assemble, providers, resume, search, split, stages, telemetry
+from ..operators import assemble, cells, resume, search, split, stages, telemetry
 from ..sinks import files as sinks
+from ..scratch import new_folder
 from ..sources import files, workspace
 from ..streaming import telemetry as streams
 
@@ -80,6 +81,11 @@ f as (select doc_id, lang, case when strlen(t) <= 1500 then [t] when len(cs) <=
 k as (select doc_id, lang, unnest(cs) as text, generate_subscripts(cs, 1) - 1 as chunk_idx from f) """
 
 
+def _first_bytes(x: str, n: int) -> str:
+    """DuckDB: the longest beginning of at most n bytes."""
+    return f"case when strlen({x}) <= {n} then {x} else left({x}, list_max(list_filter(range({n} // 4, {n} + 1), lambda i: strlen(left({x}, i)) <= {n}))) end"
+
+
 @query("chunk_documents", _PACKED + "select doc_id, cast(chunk_idx as integer) as chunk_idx, text, cast(strlen(text) as bigint) as n_bytes from k")
 def chunk_documents(spark, d):
     return split.chunk_documents(table(spark, d, "documents"))
@@ -92,7 +98,16 @@ def chunk_size_stats(spark, d):
     return got.groupBy(F.col("k.lang").alias("lang")).agg(F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"), F.max("n_bytes").alias("max_bytes"))
 
 
-@query("hard_parts")
+#: DuckDB: ``split.parts`` as a recursion over what is left of each text.
+_PARTS = """with recursive f(doc_id, part_idx, part, rest) as (select doc_id, cast(-1 as integer), '', coalesce(text, '') from documents union all
+  select doc_id, part_idx + 1, case when c is null then rest else left(rest, c) end, case when c is null then null else substr(rest, c + 1) end from
+  (select *, case when p is null then null when strlen(left(p, nn)) > 1400 then nn when strlen(left(p, n1)) > 1400 then n1 else length(p) end as c from
+  (select *, case when contains(p, repeat(chr(10), 2)) then length(p) - strpos(reverse(p), repeat(chr(10), 2)) - 1 else 0 end as nn, case when contains(p, chr(10)) then length(p) - strpos(reverse(p), chr(10)) else 0 end as n1 from
+  (select doc_id, part_idx, rest, case when strlen(rest) > 2800 then left(rest, list_max(list_filter(range(700, 2801), lambda i: strlen(left(rest, i)) <= 2800))) end as p from f where rest is not null)))),
+parts as (select doc_id, part_idx, part from f where part_idx >= 0)"""
+
+
+@query("hard_parts", _PARTS + " select * from parts")
 def hard_parts(spark, d):
     return split.hard_parts(table(spark, d, "documents"), most=2800)
 
@@ -623,25 +638,37 @@ def rrf_without_sparse(spark, d):
     return search.rrf(dense, dense.limit(0), TOP, min_score=0.2).selectExpr("query", "id", "score", "cast(dense_rank as bigint) as dense_rank", "cast(sparse_rank as bigint) as sparse_rank", "cast(rank as bigint) as rank")
 
 
-@query("search_output", f"with {_FUSED} select query, id, concat(source, ':chunk_', id) as chunk_id, source as file, lang as topic, strlen(text) > 500 as cut, strlen(text) as bytes from hybrid join documents on doc_id = id")
+_CONTENT = f"case when strlen(text) > 500 then concat({{cut}}, '...') else text end"
+
+
+@query("ann_topk")
+def ann_topk(spark, d):
+    """Each vector whose id is divisible by 50 against the cells nearest to it, of all vectors: as many cells as
+    a recall of 0.95 needs."""
+    points = table(spark, d, "embeddings")
+    index = cells.build(points, new_folder(spark, "cells"), "vec_id", "embedding")
+    probes = cells.probes_for(index, points, id_col="vec_id", vec_col="embedding")
+    asked = points.where(f"vec_id % {EVERY} = 0").selectExpr("vec_id as query", "embedding as vector")
+    return cells.search(index, asked, 2 * TOP, probes).select("query", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("ann_exact", f"with {_DENSE} select query, id, score, rank from dr where score >= 0.1")
+def ann_exact(spark, d):
+    """The same index looked into whole gives what the exact search gives, from a least score on."""
+    points = table(spark, d, "embeddings")
+    index = cells.build(points, new_folder(spark, "cells"), "vec_id", "embedding", cells=8)
+    asked = points.where(f"vec_id % {EVERY} = 0").selectExpr("vec_id as query", "embedding as vector")
+    return cells.search(index, asked, 2 * TOP, 8, least=0.1).select("query", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("search_output", f"with {_FUSED} select query, id, concat(source, ':chunk_', id) as chunk_id, source as file, lang as topic, {_CONTENT.format(cut=_first_bytes('text', 500))} as content, strlen(text) as bytes from hybrid join documents on doc_id = id")
 def search_output(spark, d):
     """Hits as JSON objects, content cut to 500 bytes, read back."""
     docs = table(spark, d, "documents").selectExpr("doc_id as id", "source", "lang as topic", "text")
     hits = rrf_hybrid(spark, d).join(docs, "id")
     lines = hits.selectExpr("query", "id", "octet_length(text) as bytes", f"to_json(struct(concat(source, ':chunk_', id) as chunk_id, source as file, score, rrf_score, topic, {text.byte_cut('text', 500)} as content)) as line")
     get = lambda k: f"get_json_object(line, '$.{k}') as {k}"
-    return lines.selectExpr("query", "id", get("chunk_id"), get("file"), get("topic"), "octet_length(get_json_object(line, '$.content')) between 498 and 503 and endswith(get_json_object(line, '$.content'), '...') as cut", "cast(bytes as bigint) as bytes")
-
-
-@query("index_pipeline")
-def index_pipeline(spark, d):
-    """Chunk every document, call the (offline, synthetic) model, parse, embed, and upsert by point id."""
-    chunks = split.chunk_documents(table(spark, d, "documents"))
-    results = stages.chunk_results(chunks, providers.Offline())
-    points = results.where("error is null").selectExpr("concat(doc_id, ':chunk_', index) as id", "doc_id", "index", "topic", "summary", "valid", "content")
-    vectors = providers.embed_texts(points, providers.Offline(), "id", "content").withColumnRenamed("id", "vid")
-    found = points.join(vectors, F.col("id") == F.col("vid")).selectExpr("id", f"{text.point_id('id')} as point_id", "doc_id", "index", "topic", "summary", "valid", "vector", "cast(index as bigint) as seq")
-    return search.upsert(found.limit(0), found, "id")
+    return lines.selectExpr("query", "id", get("chunk_id"), get("file"), get("topic"), get("content"), "cast(bytes as bigint) as bytes")
 
 
 @query(
@@ -798,9 +825,12 @@ def final_versions(spark, d):
     return workspace.final_versions(table(spark, d, "documents").selectExpr(f"{_VERSION} as path", "text"))
 
 
-@query("workspace_detect", "select true as workspace")
+@query("workspace_detect", "select lang, bool_or(doc_id % 2 = 0 and substr(md5(source), 1, 1) = 'a') as workspace from documents group by lang")
 def workspace_detect(spark, d):
-    return workspace.is_workspace(table(spark, d, "documents").selectExpr(f"{_VERSION} as path"))
+    """Whether a language's files lie in a workspace: some folder is named as a document's hash."""
+    named = "if(doc_id % 2 = 0 and startswith(md5(source), 'a'), substr(md5(source), 1, 8), 'plain')"
+    paths = table(spark, d, "documents").selectExpr("lang", f"concat('ws/', {named}, '/versions/v', doc_id, '/final.md') as path")
+    return paths.groupBy("lang").agg(F.expr(f"bool_or({workspace.in_workspace('path')})").alias("workspace"))
 
 
 @query("flat_documents", "select substr(sha256(concat('n', doc_id, case doc_id % 3 when 0 then '.md' else '.markdown' end)), 1, 8) as doc_id, text from documents where doc_id % 3 < 2 and doc_id % 5 > 0")
@@ -818,12 +848,16 @@ def checkpoint_chunks(spark, d):
     return workspace.read_chunks(names)
 
 
+def _listed(x: str, n: int) -> str:
+    return f"case when strlen({x}) > {n} then concat({_first_bytes(x, n - 3)}, '...') else {x} end"
+
+
 @query(
     "document_listing",
-    "select doc_id, case when substr(text, 1, 0 + doc_id % 60) = '' then '-' when doc_id % 60 > 30 and length(text) > 30 then concat(repeat('x', 27), '...') else repeat('x', cast(least(doc_id % 60, length(text)) as integer)) end as title, source, cast(1 as integer) as versions from documents",
+    f"with x as (select doc_id, coalesce(left(replace(text, chr(10), ' '), doc_id % 60), '') as t, coalesce(concat(source, case when doc_id % 2 = 0 then concat(' in é ', lang, ' and the rest') else '' end), '') as s from documents) select doc_id, case when t = '' then '-' else {_listed('t', 30)} end as title, {_listed('s', 20)} as source, cast(1 as integer) as versions from x",
 )
 def document_listing(spark, d):
-    docs = table(spark, d, "documents").selectExpr("doc_id", "repeat('x', cast(least(doc_id % 60, length(text)) as int)) as title", "source", "1 as versions")
+    docs = table(spark, d, "documents").selectExpr("doc_id", "left(replace(text, chr(10), ' '), cast(doc_id % 60 as int)) as title", "concat(source, if(doc_id % 2 = 0, concat(' in é ', lang, ' and the rest'), '')) as source", "1 as versions")
     return workspace.listing(docs)
 
 
@@ -833,21 +867,98 @@ def chunk_files(spark, d):
 
 
 # Model stages ---------------------------------------------------------------------------------
+#: Recorded replies by stage, in SQL that both engines read: {i} is the chunk's number, {n} the bytes asked.
+_RECORDED = {
+    "chunk": "concat('Type: ', case when doc_id % 9 = 4 then '<type>' else 'concept' end, chr(10), 'topic: about ', doc_id % 13 + {i} % 3, chr(10), 'summary: ', case when {i} % 4 = 3 then '' else concat('says ', {i}, ' of ', doc_id) end, chr(10), "
+    "case when {i} % 2 = 0 then concat('and more', chr(10)) else '' end, 'key_points: k', {i}, ', , l', chr(10), 'confidence: 0.', doc_id % 10)",
+    "context": "concat('  part ', {i}, ' of ', doc_id, ' ')",
+    "holistic": "concat('core_thesis: thesis of ', doc_id, ' over ', {n}, chr(10), 'domains: a, b')",
+    "causal": "concat('causal_chains:', chr(10), '- cause: c', doc_id, chr(10), '  mechanism: ', case when doc_id % 2 = 0 then 'm' else '' end, chr(10), '  effect: over ', {n}, chr(10), '  relation: causes', chr(10), chr(10), 'preconditions:', chr(10), '- p', doc_id, chr(10), chr(10), 'counterfactuals:', chr(10), '- q')",
+}
+
+
+def recorded(asked: DataFrame, stage: str) -> DataFrame:
+    """``asked (doc_id, chunk_idx, text)`` with the stage's recorded replies, as ``call_model`` gives fresh ones."""
+    said = _RECORDED[stage].format(i="chunk_idx", n="octet_length(text)")
+    known = asked.withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("response", F.expr(said))
+    return known.selectExpr(
+        "cast(doc_id as string) as doc_id", "chunk_idx", "text", "response", "1 as attempts", "cast(null as string) as error", "cast(octet_length(text) as bigint) as prompt_chars", "cast(octet_length(response) as bigint) as completion_chars",
+        "0L as prompt_tokens", "0L as completion_tokens", "'m' as model", "0L as latency_ms",
+    )
+
+
+def recorded_chunks(spark, d) -> DataFrame:
+    return recorded(split.chunk_documents(table(spark, d, "documents")), "chunk")
+
+
+_SAID = f"""{_PACKED}, r as (select doc_id, chunk_idx as index, case when doc_id % 9 = 4 then '<type>' else 'concept' end as type, concat('about ', doc_id % 13 + chunk_idx % 3) as topic,
+  case when chunk_idx % 4 = 3 then '' else concat('says ', chunk_idx, ' of ', doc_id, case when chunk_idx % 2 = 0 then ' and more' else '' end) end as summary, [concat('k', chunk_idx), 'l'] as key_points, '' as source_quote, '' as my_takeaway,
+  cast(doc_id % 10 as double) / 10 as confidence, '' as applicability, []::varchar[] as steps, text as content, case when text <> '' and chunk_idx % 4 <> 3 then concat('part ', chunk_idx, ' of ', doc_id) else '' end as context from k)"""
+
+
+@query(
+    "model_stages",
+    f"""{_SAID}, n as (select *, row_number() over (partition by doc_id order by index) as n from r),
+    b as (select doc_id, string_agg(concat(case when n > 1 then chr(10) else '' end, {_BLOCK}), '' order by index) as body, strlen(string_agg(summary, chr(10) || chr(10) order by index) filter (where summary <> '')) as h,
+      strlen(string_agg(concat(case when summary <> '' then concat('[chunk ', index + 1, '] ', summary, chr(10)) else '' end, '  Key points: k', index, '; l'), chr(10) order by index)) as c from n group by doc_id)
+    select cast(doc_id as varchar) as doc_id, concat('---', chr(10), 'id: ', doc_id, chr(10), 'title: unnamed_document', chr(10), 'language: ru', chr(10), 'status: processed', chr(10), '---', chr(10), chr(10), body, chr(10), '## Holistic Analysis', chr(10), chr(10), 'thesis of ', doc_id, ' over ', h, chr(10),
+      chr(10), '## Causal Chains', chr(10), chr(10), '- **c', doc_id, '** → ', case when doc_id % 2 = 0 then 'm → ' else '' end, '**over ', c, '** *(causes)*', chr(10), chr(10), '## Preconditions', chr(10), chr(10), '- p', doc_id, chr(10), chr(10), '## Counterfactuals', chr(10), chr(10), '- q', chr(10)) as markdown from b""",
+)
+def model_stages(spark, d):
+    """Recorded replies of all stages, each to what its stage asks, parsed and rendered."""
+    chunk = recorded_chunks(spark, d)
+    results = stages.chunk_results(chunk)
+    own = [recorded(asked, stage) for stage, asked in (("context", stages.context_calls(results)), ("holistic", stages.holistic_prompts(results)), ("causal", stages.causal_prompts(results)))]
+    return stages.rendered(chunk, *own)
+
+
+_NEAR = "cast({d} * 7 + {i} as bigint) % 100"
+
+
+@query(
+    "index_pipeline",
+    f"""{_SAID}, pt as (select concat(doc_id, ':chunk_', index) as id, doc_id, index, topic, summary, doc_id % 9 <> 4 as valid, content, vec_id, label from r join embeddings on vec_id = {_NEAR.format(d="doc_id", i="index")})
+    select id, {_ID.format(x="id")} as point_id, topic, summary, valid, content, vec_id, label from pt union all
+    select concat(doc_id, ':old') as id, {_ID.format(x="concat(doc_id, ':old')")} as point_id, 'old' as topic, '' as summary, false as valid, '' as content, cast(null as bigint) as vec_id, cast(null as integer) as label from documents""",
+)
+def index_pipeline(spark, d):
+    """Chunks with their recorded replies and recorded vectors, parsed and put into a store by point id: what
+    the store had under an id is replaced, the rest stays."""
+    results = stages.chunk_results(recorded_chunks(spark, d))
+    vectors = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    found = results.join(vectors, F.expr("vec_id = " + _NEAR.format(d="cast(doc_id as bigint)", i="index"))).selectExpr("concat(doc_id, ':chunk_', index) as id", "topic", "summary", "valid", "content", "vec_id", "label", "embedding as vector", "1L as seq")
+    docs = table(spark, d, "documents")
+    old = "'old' as topic", "'' as summary", "false as valid", "'' as content", "cast(null as bigint) as vec_id", "cast(null as int) as label", "cast(null as array<float>) as vector", "0L as seq"
+    store = found.selectExpr("id", *old).unionByName(docs.selectExpr("concat(doc_id, ':old') as id", *old))
+    return search.upsert(store, found).selectExpr("id", f"{text.point_id('id')} as point_id", "topic", "summary", "valid", "content", "vec_id", "label")
+
+
 @query(
     "context_prompts",
     _R + f""", a as (select *, row_number() over (partition by doc_id order by i) as n from (select doc_id, topic, min(index) as i from r where topic <> '' group by all)), s as (select doc_id, 'Document covering: ' || string_agg(topic, ', ' order by i) as about from a where n <= 5 group by doc_id)
-    select doc_id, index, strlen(concat('Document summary: ', about, chr(10), chr(10), 'Chunk content:', chr(10))) as head, least(strlen(content), 1000) >= 0 as capped from r join s using (doc_id) where content <> '' and summary <> '' and context = ''""",
+    select doc_id, index, concat('Document summary: ', about, chr(10), chr(10), 'Chunk content:', chr(10), {_first_bytes('content', 1000)}) as text from r join s using (doc_id) where content <> '' and summary <> '' and context = ''""",
 )
 def context_prompts(spark, d):
-    p = stages.context_prompts(results(spark, d))
-    return p.selectExpr("doc_id", "index", "cast(octet_length(substring_index(text, 'Chunk content:\\n', 1)) + 15 as bigint) as head", "octet_length(text) <= 1000 + octet_length(substring_index(text, 'Chunk content:\\n', 1)) + 15 as capped")
+    return stages.context_prompts(results(spark, d))
 
 
-@query("model_stages")
-def model_stages(spark, d):
-    """Chunk results, context, whole-document analysis and causes by the offline model, rendered."""
-    chunks = split.chunk_documents(table(spark, d, "documents").where("source is not null"))
-    return stages.analysed(chunks, providers.Offline())
+@query(
+    "causal_reload",
+    _R + """select doc_id, index, case when index % 3 = 0 then ['- a → b (causes)', concat('- ', topic)] else ['- x'] end as chains, case when index % 2 = 0 then ['one', 'two'] else [] end as preconditions, ['q'] as counterfactuals from r""",
+)
+def causal_reload(spark, d):
+    """Saved causal analyses read again."""
+    saved = "concat('## Causal Chains\n\n', if(index % 3 = 0, concat('- a → b (causes)\n  \n - ', topic), '- x'), '\n\n## Preconditions\n\n', if(index % 2 = 0, 'one\n two', ''), '\n\n## Counterfactuals\n\nq\n')"
+    got = results(spark, d).selectExpr("doc_id", "index", f"{parse.saved_causal(saved)} as c")
+    return got.selectExpr("doc_id", "index", "c.chains.cause as chains", "c.preconditions", "c.counterfactuals")
+
+
+@query("cleaned_by_parts", f"""{_PARTS} select cast(doc_id as varchar) as doc_id, case when min(length(s)) > 0 then string_agg(s, chr(10) || chr(10) order by part_idx) end as text, case when min(length(s)) = 0 then 'empty reply' end as error
+    from (select doc_id, part_idx, {_TRIM.format("part")} as s from parts where doc_id in (select doc_id from documents where {_TRIM.format("text")} <> '')) group by doc_id""")
+def cleaned_by_parts(spark, d):
+    """Cleaning in one call where a text fits into one, else in parts; here each reply is the part itself."""
+    calls_ = stages.cleaning_calls(table(spark, d, "documents"), most=2800)
+    return stages.cleaned(calls_.selectExpr("doc_id", "chunk_idx", "concat(' ', text, chr(10)) as response", "cast(null as string) as error"))
 
 
 @query(

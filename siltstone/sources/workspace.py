@@ -20,9 +20,14 @@ def read_texts(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataF
     return src.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def in_workspace(path: str) -> str:
+    """SQL: whether one of a file's folders is named as a document's hash."""
+    return f"exists(split({path}, '/'), x -> {is_hash_name('x')})"
+
+
 def is_workspace(paths: DataFrame) -> DataFrame:
     """``paths (path)`` of files -> one row (workspace): whether a folder is named as a document's hash."""
-    return paths.agg(F.coalesce(F.bool_or(F.expr(f"exists(split(path, '/'), x -> {is_hash_name('x')})")), F.lit(False)).alias("workspace"))
+    return paths.agg(F.coalesce(F.bool_or(F.expr(in_workspace("path"))), F.lit(False)).alias("workspace"))
 
 
 def final_versions(texts: DataFrame) -> DataFrame:

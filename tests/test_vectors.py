@@ -231,8 +231,9 @@ def test_stage_calls(spark):
         def __init__(self, replies):
             self.replies = replies
 
-        def chat(self, stage, t):
-            return self.replies[t.count("The last reply")]
+        def chat(self, stage, t, note=""):
+            self.replies = self.replies[1:] if note else self.replies
+            return self.replies[0]
 
         def embed(self, texts):
             return []
@@ -240,6 +241,8 @@ def test_stage_calls(spark):
     rows = spark.createDataFrame([("d", 0, "x")], "doc_id string, chunk_idx int, text string")
     good = "type: fact\nsummary: s"
     got = providers.call_model(rows, Loop(["no " * 20, "nothing", good]), "chunk", "^type").first()
+    assert got.attempts == 3 and got.error is None and got.response == good
+    got = providers.call_model(rows, Loop(["no " * 20, "nothing", "nothing"]), "chunk", "^type").first()
     assert got.attempts == 3 and got.error == "invalid reply" and got.response == "nothing"
     got = providers.call_model(rows, Loop(["no " * 20] * 3), "chunk").first()
     assert (got.attempts, got.error) == (3, "repetitive reply") and got.completion_chars == 60 and got.prompt_chars > 3
@@ -247,7 +250,7 @@ def test_stage_calls(spark):
     assert (tel.source, tel.chunk_index, tel.retry_attempt, tel.success) == ("d", 0, 0, True)
 
     class Down(Loop):
-        def chat(self, stage, t):
+        def chat(self, stage, t, note=""):
             raise providers.Unavailable("down")
 
     got = providers.call_model(rows, Down([]), "holistic", retry=True, backoff=0).first()
@@ -273,11 +276,11 @@ def test_clients(spark):
                     code = 503
                 elif body["model"] == "bad":
                     code = 401
-                out = {"choices": [{"message": {"content": "", "reasoning": "thought"}}]}
+                out = {"choices": [{"message": {"content": "", "reasoning": "thought"}}], "usage": {"prompt_tokens": 7, "completion_tokens": 3}, "model": "big"}
             elif self.path == "/v1/embeddings":
                 out = {"data": [{"embedding": [1.0]} for _ in body["input"]]}
             elif self.path == "/api/chat":
-                out = {"message": {"content": "hi"}}
+                out = {"message": {"content": "hi"}, "prompt_eval_count": 5, "eval_count": 2}
             else:
                 out = {"embeddings": [[2.0] for _ in body["input"]]}
             data = json.dumps(out).encode()
@@ -292,13 +295,16 @@ def test_clients(spark):
     server = HTTPServer(("127.0.0.1", 0), Server)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}"
-    assert providers.Http(url, "m", backoff=0).chat("chunk", "t") == "thought" and len(seen) == 2
+    said = providers.Http(url, "m", backoff=0).chat("chunk", "t", "again")
+    assert (said.text, said.prompt_tokens, said.completion_tokens, said.model) == ("thought", 7, 3, "big") and len(seen) == 2
+    system = seen[0][1]["messages"][0]["content"]
+    assert "key_points" in system and system.endswith("again")
     with pytest.raises(providers.Refused):
         providers.Http(url, "bad", backoff=0).chat("chunk", "t")
-    assert providers.Http(url, "m").embed(["a", "b"]) == [[1.0], [1.0]] and providers.Local(url, "m").chat("s", "t") == "hi" and providers.Local(url, "m").embed(["a"]) == [[2.0]]
+    assert providers.Http(url, "m").embed(["a", "b"]) == [[1.0], [1.0]] and providers.Local(url, "m").chat("holistic", "t") == providers.Reply("hi", 5, 2, "m") and providers.Local(url, "m").embed(["a"]) == [[2.0]]
     server.shutdown()
     with pytest.raises(providers.Unavailable):
-        providers.Http("http://127.0.0.1:9", "m", tries=2, backoff=0).chat("s", "t")
+        providers.Http("http://127.0.0.1:9", "m", tries=2, backoff=0).chat("clean", "t")
 
 
 def test_sinks(spark, tmp_path):
@@ -308,7 +314,7 @@ def test_sinks(spark, tmp_path):
     back = workspace.read_chunks(workspace.read_texts(spark, str(tmp_path / "cp")))
     assert sorted((r.doc_id, r.chunk_idx, r.text) for r in back.collect()) == [("d", 0, "one"), ("d", 1, "two"), ("e", 0, "é")]
     assert sinks.chunk_files(chunks, "_").where("name = 'chunks/chunk_001.md'").count() == 2
-    results = stages.chunk_results(chunks.where("text <> ' '"), providers.Offline())
+    results = stages.chunk_results(stages.chunk_replies(chunks.where("text <> ' '"), providers.Offline()))
     assert sinks.write_files(sinks.result_files(results), "file://" + str(tmp_path / "r")) == 3
     assert json.loads((tmp_path / "r/d/results/result_000.json").read_text())["type"] == "concept"
     assert [len(json.loads(r.text)) for r in sinks.result_arrays(results).orderBy("doc_id").collect()] == [2, 1]
@@ -357,7 +363,7 @@ def test_markdown_folder(spark, tmp_path):
 
 def test_providers(spark):
     class Shaky:
-        def chat(self, stage, t):
+        def chat(self, stage, t, note=""):
             if t == "boom":
                 raise providers.Unavailable("down")
             return "nonsense"
@@ -370,7 +376,9 @@ def test_providers(spark):
     assert "down" in got[0].error and got[0].attempts == 1 and got[1].attempts == 3 and got[1].error == "invalid reply"
     both = providers.Fallback(Shaky(), providers.Offline())
     assert len(both.embed(["a b"])[0]) == 64
-    assert {len(r.vector) for r in providers.embed_texts(rows.selectExpr("chunk_idx as id", "text"), both).collect()} == {64}
+    asked = rows.selectExpr("chunk_idx as id", "text")
+    assert {(len(r.vector), r.error) for r in providers.embed_texts(asked, both).collect()} == {(64, None)}
+    assert {(r.vector, r.error) for r in providers.embed_texts(asked, Shaky()).collect()} == {(None, "Unavailable: down")}
 
 
 def test_stream_equals_batch(spark, tmp_path):
