@@ -62,6 +62,14 @@ def _usable(column):
     return [(rows, np.array(vs, np.float64)) for rows, vs in by_dim.values()]
 
 
+def scaled(x):
+    """Rows times powers of two, exactly, so that their largest components are near 1 and no square or
+    product runs over or under."""
+    import numpy as np
+
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _digests(batches):
     import hashlib
 
@@ -82,8 +90,8 @@ def _hashes(batches):
 
     for batch in batches:
         for rows, x in _usable(batch.column(1)):
-            most = np.abs(x).max(axis=1, keepdims=True)
-            unit = x / most / np.linalg.norm(x / most, axis=1, keepdims=True)
+            x = scaled(x)
+            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows)), pa.array([x.shape[1]] * len(rows), pa.int32()), pa.array(list(table_keys(unit)), pa.list_(pa.int32()))],
                 names=["node", "dim", "keys"],
@@ -143,7 +151,7 @@ def _cells(batches):
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a < 2:
                 continue
-            x = values[ends[a] : ends[b]].reshape(b - a, -1).astype(np.float64)
+            x = scaled(values[ends[a] : ends[b]].reshape(b - a, -1).astype(np.float64))
             tab, _, _, bi, bj = at[a]
             rows = np.arange(b - a)
             left = rows if bi == bj else rows[block[a:b] == bi]

@@ -1,17 +1,18 @@
 """Quality classifier: hashed word n-gram logistic regression, FTRL updates, sparse dot products.
 
-Fitting is bounded: at most ``SAMPLE`` labelled documents of together ``SAMPLE_BYTES`` bytes, the
-first by a hash of their id, are turned into sparse rows on the executors and passed over
+Fitting is bounded: at most ``SAMPLE`` labelled documents of together ``SAMPLE_BYTES`` bytes, by a hash of
+their id (``examples.sampled``), are turned into sparse rows on the executors and passed over
 ``EPOCHS`` times on the driver.  Scoring is one narrow pass over all whole texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from .common import keyed, read, slices, without
+from .examples import sampled
 from .features import Ftrl, Hashing
 
 #: Bounds of the labelled rows a model is fitted on, and of their texts.
@@ -24,18 +25,13 @@ HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", hashing: Hashing = Hashing(), sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES):
     """Weights (last one the bias) learnt from ``labels (doc_id, label)`` outside the held-out
     quarter.  Labels other than 0 and 1, of unknown documents or without an id are ignored; no
-    usable label gives a model that scores 0.5.  A document's repeated labels each count, and so do
-    rows that share a labelled id.  In the order of a hash of the id the sample ends with ``sample``
-    rows, and a row whose text would bring it over ``sample_bytes`` is left out with those after it."""
+    usable label gives weights of 0, a model that scores 0.5.  A document's rows with different texts or
+    labels each count, equal ones once.  A text that would bring the sample over ``sample_bytes`` is passed
+    over; ValueError if there are labels and no text fits.  Ids are integers."""
     import numpy as np
 
-    known = labels.where(f"not ({HELD_OUT}) and {label_col} in (0, 1) and doc_id is not null")
-    order = [F.xxhash64("doc_id"), "y"]
-    chosen = known.select("doc_id", F.col(label_col).cast("int").alias("y")).orderBy(*order).limit(sample)
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    first = found.orderBy(*order, F.xxhash64("text")).limit(sample)  # a label may have many rows
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(*order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = first.withColumn("size", size).where(F.col("size") <= sample_bytes).select("doc_id", "text", "y")
+    known = labels.where(f"not ({HELD_OUT}) and {label_col} in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    rows = sampled(docs, known, sample, sample_bytes).select("doc_id", "text", "y")
 
     def run(batches):
         import pyarrow as pa
@@ -98,7 +94,11 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows scored below the threshold.  Every row is judged by its own text,
-    those without an id or with one id too; equal rows fare alike."""
+    those without an id or with one id too; equal rows fare alike.  Where nothing was learnt (no usable
+    label) all rows stay."""
+    weights = fit(docs, labels)
+    if not weights.any():
+        return docs
     with_key, key = keyed(docs)
-    bad = score(with_key, fit(docs, labels), id_col=key).where(F.col("score") < THRESHOLD).select("id").distinct()
+    bad = score(with_key, weights, id_col=key).where(F.col("score") < THRESHOLD).select("id").distinct()
     return without(with_key, key, bad).drop(key)

@@ -17,13 +17,15 @@ SCHEMAS = {
     "op7_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
     "op8_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint, near_sha256 string",
     "op9_line_dedup": "doc_id bigint, text string, n_removed int",
+    "op12_toxicity": "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,label:int>>",
+    "op13_centroid_clustering": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
     "op10_license_scan": "doc_id bigint, licenses string, n_paragraphs int, n_predicted int, n_confirmed int",
 }
 
 
 @pytest.mark.parametrize("name", sorted(SCHEMAS))
 def test_query(spark, name):
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     out = queries.QUERIES[name](spark, SF)
     assert ", ".join(f"{a} {b}" for a, b in out.dtypes) == SCHEMAS[name]
     key = out.columns[0]

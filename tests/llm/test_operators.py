@@ -62,6 +62,50 @@ def test_quality(spark):
     assert all(0 <= s <= 1 for _, s in out) and quality.score(edge.limit(0), w).count() == 0
 
 
+def test_one_long_text_does_not_empty_the_sample(spark):
+    texts = [(i, "Good words are here, in order." if i % 2 else "BAD!!! $$$ buy now >>>") for i in range(200)]
+    rows = [(i, t * (2000 if i == 7 else 3)) for i, t in texts]
+    docs_, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    weights = quality.fit(docs_, labels, sample_bytes=30_000)
+    got = {r["id"]: r["score"] for r in quality.score(docs_, weights).collect()}
+    assert weights.any() and all((got[i] > 0.5) == (i % 2 == 1) for i in got)
+    assert 0 < quality.keep_good(docs_, labels).count() <= 100
+    assert quality.keep_good(docs_, labels.limit(0)).count() == 200
+    with pytest.raises(ValueError):
+        quality.fit(docs_, labels, sample_bytes=10)
+
+
+def test_fit_equals_a_plain_fit(spark):
+    """The same examples in the same order through plain FTRL-proximal updates."""
+    import math
+    import zlib
+
+    import pyarrow as pa
+    import xxhash
+
+    rows = [(i, f"Word{i % 3} two three{i % 5}. " + ("Fine, good text." if i % 2 else "no CAPS!!! $$")) for i in range(40)]
+    labels = [(i, i % 2) for i in range(40)]
+    hashing = quality.Hashing(bits=10)
+    got = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), hashing=hashing)
+    kept = sorted((xxhash.xxh64_intdigest(str(i)), i) for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    z, n = [0.0] * 1025, [0.0] * 1025
+
+    def weight(c):
+        return 0.0 if abs(z[c]) <= 0.02 else -(z[c] - math.copysign(0.02, z[c])) / ((1.0 + math.sqrt(n[c])) / 0.3 + 0.1)
+
+    for _ in range(quality.EPOCHS):
+        for _, i in kept:
+            cols, values = next(hashing.sparse(pa.array([rows[i][1]])))
+            x = [*zip(cols.tolist(), (float(np.float32(v)) for v in values)), (1024, 1.0)]
+            w = {c: weight(c) for c, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[c] * v for c, v in x)))
+            for c, v in x:
+                g = (p - i % 2) * v
+                z[c] += g - (math.sqrt(n[c] + g * g) - math.sqrt(n[c])) / 0.3 * w[c]
+                n[c] += g * g
+    assert np.allclose(got, [weight(c) for c in range(1025)], atol=1e-5)
+
+
 def test_ftrl_separates():
     m = features.Ftrl(4)
     for _ in range(200):
@@ -109,6 +153,15 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(900, 907))
 
 
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [0.85, 0.527]), (3, [0.8, 0.6]), (4, [1e200, 0.0]), (5, [1e200, 1e198]), (6, [0.0, -1e300]), (7, [5e-324, 5e-324]), (8, [1.0, 1.0])]
+    got = {r["id"]: r for r in lsh.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    cos = lambda a, b: float(np.dot(np.array(a) / np.abs(a).max(), np.array(b) / np.abs(b).max())) / float(np.linalg.norm(np.array(a) / np.abs(a).max()) * np.linalg.norm(np.array(b) / np.abs(b).max()))
+    for i, v in rows:
+        assert got[i]["n_links"] == sum(cos(v, u) >= 0.9 for j, u in rows if j != i), i
+    assert got[5]["component_id"] == 1 and got[6]["kept"] and got[8]["component_id"] == got[7]["component_id"]
+
+
 def test_embeddings_with_repeated_and_null_ids(spark):
     rows = [
         (1, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (3, [0.01, 1.0, 0.0, 0.0]), (4, None), (4, [0.0, 0.0, 1.0, 0.0]),
@@ -365,6 +418,30 @@ def test_near_copies(spark, corpus):
     assert len(kept) == len({(r.keep) for r in got}) and {r.doc_id for r in kept} == set(keep.values())
 
 
+@pytest.mark.parametrize(("low", "high"), [(0.80, 0.82), (0.82, 0.85), (0.85, 0.90), (0.90, 0.99)])
+def test_recall_of_near_copy_keys_by_band(low, high):
+    import numpy as np
+
+    rng = random.Random(int(low * 100))
+    pairs = []
+    while len(pairs) < 250:
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        v = list(w)
+        for _ in range(rng.randint(1, max(1, len(w) // 30))):
+            v[rng.randrange(len(v))] = f"new{rng.randrange(10**6)}"
+        a, b = (copies.shingle_set(" ".join(x).encode()) for x in (w, v))
+        both = len(np.intersect1d(a, b))
+        if low <= both / (len(a) + len(b) - both) < high:
+            pairs.append((copies.fingerprint(a), copies.fingerprint(b)))
+    fps = [np.frombuffer(b"".join(p[i] for p in pairs), np.uint8).reshape(len(pairs), -1) for i in (0, 1)]
+    keys = [set(zip(*(x.tolist() for x in copies.table_keys(f)))) for f in fps]
+    met = {r for r, _ in keys[0] & keys[1]}
+    near = np.bitwise_count(fps[0] ^ fps[1]).sum(axis=1) <= copies.REACH
+    found = sum(bool(near[i]) for i in met)
+    print(f"recall at {low} to {high}: {found} of {len(pairs)}")
+    assert found >= 0.9 * len(pairs)
+
+
 def test_near_copies_without_ids_and_under_one_id(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(1, text), (1, "some other text that is of its own here"), (2, text + " tail"), (None, "rows without an id are rows of their own"), (None, "another text without any id at all"), (5, None), (6, ""), (7, "x"), (7, "x"), (8, text)]
