@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import parse, text
 from ..operators import assemble, cells, resume, search, split, stages, telemetry
 from ..sinks import files as sinks
+from ..sinks.collection import Collection
 from ..scratch import new_folder
 from ..sources import files, workspace
+from ..streaming import calls as streamed
+from ..streaming import progress as runs
 from ..streaming import telemetry as streams
 
 QUERIES: dict = {}
@@ -33,7 +36,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # Derived inputs, in SQL that both engines read ------------------------------------------------
 _FLAT = "replace(text, chr(10), ' ')"
 RESULTS_SQL = f"""select source as doc_id, doc_id as index, lang as topic, {{a}}lang, concat('t', doc_id % 7){{z}} as topics, {{a}}concat('d', doc_id % 3){{z}} as domains,
-  case when doc_id % 5 = 0 then '' else substr({_FLAT}, 1, 40) end as summary, case when doc_id % 4 = 0 then '' else 'concept' end as type,
+  case when doc_id % 5 = 0 then '' else {_FLAT} end as summary, case when doc_id % 4 = 0 then '' else 'concept' end as type,
   {{a}}substr({_FLAT}, 1, 10), substr({_FLAT}, 11, 10){{z}} as key_points, case when doc_id % 3 = 0 then '' else concat('take ', doc_id) end as my_takeaway,
   cast(doc_id % 10 as double) / cast(10 as double) as confidence, case when doc_id % 8 = 1 then substr(text, 1, 300) else '' end as source_quote,
   case when doc_id % 6 = 1 then concat('first', chr(10), chr(10), 'then ', lang) else '  ' end as applicability, case when doc_id % 6 = 2 then concat('within ', source) else '' end as context,
@@ -701,15 +704,15 @@ def rerank_by_overlap(spark, d):
     return search.rerank(hits, scored, TOP).selectExpr("query", "id", "rerank_score as overlap", "cast(rank as bigint) as rank")
 
 
-_MODELS = "select * from (values ('bge-m3'), ('nomic-embed'), ('text-embedding-3-small'), ('text-embedding-3-large'), ('text-embedding-ada-002'), ('x')) as m(model)"
+_MODEL = "case event_id % 6 when 0 then 'bge-m3' when 1 then 'nomic-embed' when 2 then 'text-embedding-3-small' when 3 then 'text-embedding-3-large' when 4 then 'text-embedding-ada-002' else event_type end"
 
 
 @query(
     "vector_sizes",
-    f"with m as ({_MODELS}) select model, cast(case when contains(model, 'bge-m3') then 1024 when contains(model, 'nomic') then 768 when contains(model, '3-small') or contains(model, 'ada') then 1536 when contains(model, '3-large') then 3072 else 1024 end as integer) as width from m",
+    f"with m as (select event_id, {_MODEL} as model from events) select event_id, cast(case when contains(model, 'bge-m3') then 1024 when contains(model, 'nomic') then 768 when contains(model, '3-small') or contains(model, 'ada') then 1536 when contains(model, '3-large') then 3072 else 1024 end as integer) as width from m",
 )
 def vector_sizes(spark, d):
-    return spark.sql(_MODELS).selectExpr("model", f"{text.vector_size('model')} as width")
+    return table(spark, d, "events").selectExpr("event_id", f"{_MODEL} as model").selectExpr("event_id", f"{text.vector_size('model')} as width")
 
 
 # Resuming -------------------------------------------------------------------------------------
@@ -803,12 +806,12 @@ def fetched_pages(spark, d):
     """with p as (select lower(p_name) as model, concat('prov', p_size % 5) as provider, min_by(p_retailprice, p_partkey) as price from part where p_size % 7 <> 0 group by all) select model, arg_min(price, provider) as input_price, arg_min(price * 4, provider) as output_price from p group by model""",
 )
 def price_list(spark, d):
-    """A provider list as one JSON object; models without a cost are left out."""
+    """A provider list in pages of JSON objects; models without a cost are left out."""
     part = table(spark, d, "part").selectExpr("concat('prov', p_size % 5) as provider", "if(p_size % 2 = 0, upper(p_name), p_name) as name", "p_partkey", "p_size", "if(p_size % 7 = 0, null, p_retailprice) as price")
     first = part.where("price is not null").groupBy("provider", F.lower("name").alias("name")).agg(F.min_by("price", "p_partkey").alias("price"))
     free = part.where("price is null").selectExpr("provider", "concat('free ', p_partkey) as name", "price")
-    models = first.unionByName(free).groupBy("provider").agg(F.expr("map_from_entries(collect_list(struct(name, struct(if(price is null, null, struct(price as input, price * 4 as output)) as cost))))").alias("models"))
-    raw = models.agg(F.expr("to_json(map_from_entries(collect_list(struct(provider, struct(models)))))").alias("json"))
+    models = first.unionByName(free).groupBy("provider", F.expr("substr(md5(name), 1, 3)").alias("page")).agg(F.expr("map_from_entries(collect_list(struct(name, struct(if(price is null, null, struct(price as input, price * 4 as output)) as cost))))").alias("models"))
+    raw = models.selectExpr("to_json(map(provider, struct(models))) as json")
     return files.price_list(raw)
 
 
@@ -1068,6 +1071,116 @@ def delete_document(spark, d):
     return search.delete_document(table(spark, d, "embeddings").selectExpr("vec_id as id", "label", "label as doc_id"), 3).select("id", "label")
 
 
-@query("point_count", "select count(*) as n, true as ready from embeddings")
+@query("point_count", "select count(*) as n, sum(label) as labels, true as ready, false as dropped from (select vec_id as id, label from embeddings where vec_id % 7 <> 1 union all select vec_id + 1000000 as id, label + 1 as label from embeddings)")
 def point_count(spark, d):
-    return search.count(table(spark, d, "embeddings"))
+    """A collection made, filled, changed by key, and counted from its manifest; another one dropped."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    points = Collection(spark, new_folder(spark, "points")).init(e.schema, buckets=8)
+    points.upsert(e)
+    points.upsert(e.selectExpr("id + 1000000 as id", "label + 1 as label").unionByName(e.where("id % 5 = 2")))
+    points.delete(e.where("id % 7 = 1").select("id"))
+    other = Collection(spark, new_folder(spark, "points")).init(e.schema)
+    other.drop()
+    return points.read().agg(F.sum("label").alias("labels")).select(F.lit(points.count()).cast("long").alias("n"), "labels", F.lit(points.exists()).alias("ready"), F.lit(other.exists()).alias("dropped"))
+
+
+@query(
+    "collection_upserts",
+    "with n as (select vec_id + label as id, vec_id as seq, label from embeddings), l as (select id, max(seq) as seq, arg_max(label, seq) as label from n group by id) select * from l union all select vec_id as id, vec_id as seq, label from embeddings where vec_id not in (select id from l)",
+)
+def collection_upserts(spark, d):
+    """Points put into a stored collection: of a key's new rows the last counts, others stay."""
+    e = table(spark, d, "embeddings")
+    old = e.selectExpr("vec_id as id", "vec_id as seq", "label")
+    points = Collection(spark, new_folder(spark, "points")).init(old.schema, buckets=8)
+    points.upsert(old)
+    points.upsert(e.selectExpr("vec_id + label as id", "vec_id as seq", "label"), order="seq")
+    return points.read()
+
+
+# Status, calls and runs --------------------------------------------------------------------------
+_STATUS_EVENTS = """select user_id as doc_id, event_id as seq, case event_id % 9 when 0 then 'chunks' when 1 then 'started' when 2 then 'done' when 3 then 'cost' when 4 then 'failed' when 5 then 'started' when 6 then 'cost' when 7 then 'done' else 'started' end as event,
+  cast((event_id * 7) % 6 as int) as index, cast(ts as timestamp) as at, cast(case when event_id % 9 = 0 then 1 + event_id % 7 end as int) as total, event_type as stage, concat('e', event_id) as error, cast(event_id % 10 as double) / 4 as cost, event_id % 100 as tokens_in, event_id % 90 as tokens_out, concat('m', event_id % 3) as model, event_id % 80 as latency_ms from {e}"""
+_STATUS_FOLD = f"""with e as ({_STATUS_EVENTS.format(e="events")}), w as (select *, last_value(total ignore nulls) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding) as cur, min(total) over (partition by doc_id order by seq rows between 1 following and unbounded following) as later from e),
+k as (select * from w where event <> 'chunks' and cur > index and coalesce(later, 1000) > index),
+x as (select doc_id, index, max(seq) filter (where event in ('done', 'failed')) as es, max(seq) filter (where event = 'started') as ss, max(seq) filter (where event = 'cost') as cs from k group by all),
+b as (select x.doc_id, x.index, arg_max(k."at", k.seq) as begun from x join k on k.doc_id = x.doc_id and k.index = x.index and k.event = 'started' and k.seq < x.es group by all),
+g as (select doc_id, cast(unnest(range(n)) as integer) as index from (select doc_id, arg_max(total, seq) as n from e where event = 'chunks' group by doc_id))
+select g.doc_id, g.index, coalesce(ee.event = 'done', false) as done, coalesce(ee.event = 'failed', false) as failed, case when ee.event = 'failed' then ee.error else '' end as error, se."at" as started_at, ee."at" as completed_at,
+  cast(coalesce((epoch_us(ee."at") - epoch_us(begun)) // 1000, 0) as bigint) as duration_ms, coalesce(ce.cost, 0) as cost, coalesce(ce.tokens_in, 0) as tokens_in, coalesce(ce.tokens_out, 0) as tokens_out, coalesce(ce.model, '') as model, coalesce(ce.latency_ms, 0) as latency_ms, coalesce(se.stage, '') as stage
+from g left join x on x.doc_id = g.doc_id and x.index = g.index left join b on b.doc_id = g.doc_id and b.index = g.index left join e ee on ee.doc_id = g.doc_id and ee.seq = es left join e se on se.doc_id = g.doc_id and se.seq = ss left join e ce on ce.doc_id = g.doc_id and ce.seq = cs"""
+
+
+def chunk_fold_of(spark, d) -> DataFrame:
+    return resume.chunk_fold(spark.sql(_STATUS_EVENTS, e=table(spark, d, "events")))
+
+
+@query("chunk_fold", _STATUS_FOLD)
+def chunk_fold(spark, d):
+    """The status of chunks over their documents' re-sizings, cost fields kept."""
+    return chunk_fold_of(spark, d)
+
+
+@query("status_roundtrip", f"select doc_id::varchar as doc_id, * exclude (doc_id) from ({_STATUS_FOLD}) where doc_id is not null")
+def status_roundtrip(spark, d):
+    """Status written as files, read, taken as events and folded again."""
+    chunks = chunk_fold_of(spark, d)
+    docs = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks_total")).selectExpr("doc_id", "'processing' as stage", "chunks_total", "cast(null as string) as failed_with")
+    stored = workspace.read_status(sinks.status_files(docs, chunks).selectExpr("concat('ws/', doc_id, '/', name) as path", "text"))
+    return resume.chunk_fold(resume.status_events(workspace.stored_chunks(stored)))
+
+
+def call_events(spark, d) -> DataFrame:
+    """Conversations as streamed calls: opened, a piece a turn, then closed, failed or never heard of again."""
+    c = table(spark, d, "conversations")
+    at = lambda s: f"timestamp_millis(1704067200000 + {s} * 1000 + conv_id % 7) as at"
+    null = lambda **k: [f"cast({k.get(c.split()[0], 'null')} as {c.split()[1]}) as {c.split()[0]}" for c in streamed.EVENTS.split(", ")[3:]]
+    ends = c.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    known = "cast(conv_id as string) as call_id"
+    return (
+        ends.selectExpr(known, "-1L as seq", at("0"), *null(event="'open'", source="concat('s', conv_id)", stage="'chunk'", chunk_index="conv_id % 3", retry_attempt="0", model="'m'", prompt_chars="conv_id * 2"))
+        .unionByName(c.selectExpr(known, "cast(turn * 2 as long) as seq", at("turn"), *null(event="'piece'", piece="text", model="if(turn = 1, 'm-large', null)")))
+        .unionByName(ends.where("conv_id % 5 > 1").selectExpr(known, "cast(turn * 2 + 1 as long) as seq", at("(turn + 2)"), *null(event="'close'", prompt_tokens="conv_id", completion_tokens="turn")))
+        .unionByName(ends.where("conv_id % 5 = 1").selectExpr(known, "1L as seq", at("1"), *null(event="'error'", error="'broken'")))
+    )
+
+
+@query(
+    "call_facts",
+    """with c as (select conv_id, turn, text, max(turn) over (partition by conv_id) as n from conversations), k as (select *, conv_id % 5 = 1 as bad, conv_id % 5 = 0 as silent from c),
+    f as (select conv_id, any_value(n) as n, any_value(bad) as bad, any_value(silent) as silent, bool_or(turn = 1 and not bad) as large, sum(coalesce(strlen(text), 0)) filter (where not bad or turn = 0) as chars, max(turn) as last from k group by conv_id)
+    select cast(conv_id as varchar) as call_id, concat('s', conv_id) as source, 'chunk' as stage, cast(conv_id % 3 as integer) as chunk_index, cast(0 as integer) as retry_attempt, case when large then 'm-large' else 'm' end as model, case when bad or silent then 0 else conv_id end as prompt_tokens,
+      case when bad or silent then 0 else cast(n as bigint) end as completion_tokens, conv_id * 2 as prompt_chars, cast(coalesce(chars, 0) as bigint) as completion_chars, ms as latency_ms, not (bad or silent) as success,
+      case when bad then 'broken' when silent then 'no event before the time limit' end as error, epoch_ms(1704067200000 + ms + conv_id % 7) as timestamp
+    from (select *, cast(case when bad then 1000 when silent then last * 1000 + 60000 else (n + 2) * 1000 end as bigint) as ms from f)""",
+)
+def call_facts(spark, d):
+    """One fact a streamed call, closed, failed or silent."""
+    return streamed.recorded_facts(call_events(spark, d), "1 minute", until="2025-01-01")
+
+
+_RUN_EVENTS = "select concat('r', user_id % 5) as run, concat('f', event_id % 11) as name, event_id as seq, cast(ts as timestamp) as at, case event_id % 6 when 0 then 'file_start' when 1 then 'file_start' when 2 then 'file_done' when 3 then 'file_error' when 4 then 'file_skip' else 'other' end as event, case when event_id % 6 = 3 then concat('e', event_id) end as error from {e}"
+_OUTCOMES = f"""e as ({_RUN_EVENTS.format(e="events")}), r as (select *, coalesce(sum(case when event in ('file_done', 'file_error') then 1 else 0 end) over (partition by run, name order by seq rows between unbounded preceding and 1 preceding), 0) as round from e),
+p as (select *, last_value(case when event = 'file_start' then "at" end ignore nulls) over (partition by run, name, round order by seq rows between unbounded preceding and 1 preceding) as began from r),
+o as (select run, name, case event when 'file_done' then 'done' when 'file_error' then 'failed' else 'skipped' end as outcome, epoch_ms(epoch_us("at") // 1000) as "at", case when event <> 'file_skip' then epoch_us("at") // 1000 - epoch_us(began) // 1000 end as duration_ms, error from p where event in ('file_done', 'file_error', 'file_skip'))"""
+
+
+def outcomes_of(spark, d) -> DataFrame:
+    return runs.recorded_outcomes(spark.sql(_RUN_EVENTS, e=table(spark, d, "events")))
+
+
+@query("run_outcomes", f"with {_OUTCOMES} select * from o")
+def run_outcomes(spark, d):
+    """Ends of files paired with their starts."""
+    return outcomes_of(spark, d)
+
+
+@query(
+    "run_summary",
+    f"with {_OUTCOMES}, c as (select run, count_if(outcome = 'done') as done, count_if(outcome = 'failed') as failed, count_if(outcome = 'skipped') as skipped, cast(coalesce(sum(duration_ms), 0) as bigint) as ms from o group by run) select run, cast(100000 as bigint) as total, done, failed, skipped, cast(3 as bigint) as active, ms // done as mean_ms, 100000 - done - failed - skipped as remaining, (100000 - done - failed - skipped) * (ms // done) // 3 as wait_ms from c",
+)
+def run_summary(spark, d):
+    """Counts, mean time and time left of a run."""
+    ended = outcomes_of(spark, d)
+    total = ended.select("run").distinct().selectExpr("run", "100000L as total", "3L as active")
+    return runs.summary(ended, total).drop("lost", "wait")

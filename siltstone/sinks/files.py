@@ -15,8 +15,17 @@ from ..operators.assemble import export_chunks, metadata_json, number
 from ..shipping import map_arrow
 
 
+def inside(doc: str | None, name: str | None) -> None:
+    """ValueError unless both are paths that stay below the folder they are put into."""
+    for x in (doc, name):
+        if not x or x.startswith("/") or "\\" in x or "\0" in x or any(p in ("", ".", "..") for p in x.split("/")):
+            raise ValueError(f"not a path inside the folder: {x!r}")
+
+
 def write_files(rows: DataFrame, folder: str) -> int:
-    """``rows (doc_id, name, text)`` to <folder>/<doc_id>/<name>; -> how many were written."""
+    """``rows (doc_id, name, text)`` to <folder>/<doc_id>/<name>; -> how many were written.  A document or name
+    that would leave its folder (an absolute path, or one with ``..``) is an error, before anything of its row
+    is written."""
 
     def run(batches):
         import pyarrow as pa
@@ -26,6 +35,7 @@ def write_files(rows: DataFrame, folder: str) -> int:
         for batch in batches:
             n = 0
             for doc, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                inside(doc, name)
                 place = f"{root}/{doc}/{name}"
                 fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 with fs.open_output_stream(place, compression=None) as out:
@@ -64,7 +74,7 @@ def status_files(states: DataFrame, chunks: DataFrame) -> DataFrame:
     JSON is)."""
     each = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in chunks.columns if c != "doc_id"]))).alias("chunks"))
     both = states.join(each, "doc_id", "left")
-    return both.selectExpr("doc_id", "'status.yaml' as name", "to_json(struct(stage, chunks_total, failed_with, chunks)) as text")
+    return both.selectExpr("doc_id", "'status.yaml' as name", "to_json(struct(stage, chunks_total, failed_with, chunks), map('timestampFormat', \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\")) as text")
 
 
 def export(results: DataFrame, markdown: DataFrame, documents: DataFrame, raw: DataFrame | None = None, cleaned: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions.text import byte_cap, display_cut, frontmatter, is_hash_name, strip_frontmatter, trim
+from ..operators.resume import CHUNK
 
 
 def source_hash(x: str) -> str:
@@ -81,3 +82,24 @@ def listing(documents: DataFrame) -> DataFrame:
 def body(x: str, most: int | None = None) -> str:
     """SQL: a document's text without its frontmatter, or its first bytes."""
     return byte_cap(strip_frontmatter(x), most) if most else strip_frontmatter(x)
+
+
+def read_status(texts: DataFrame) -> DataFrame:
+    """``texts (path, text)`` of .../<document>/status.yaml, as ``sinks.status_files`` writes them -> (doc_id, stage,
+    chunks_total, failed_with, chunks array of CHUNK); a file that is not whole is left out, as if the document
+    were new."""
+    kind = f"stage string, chunks_total bigint, failed_with string, chunks array<struct<{', '.join(c.replace(' ', ':', 1) for c in CHUNK.split(', ')).replace(', ', ',')}>>"
+    own = texts.where("endswith(path, '/status.yaml')").selectExpr("element_at(split(path, '/'), -2) as doc_id", f"if(try_parse_json(text) is null, null, from_json(text, '{kind}')) as s")
+    return own.where("s.stage is not null").select("doc_id", "s.*")
+
+
+def stored_chunks(status: DataFrame) -> DataFrame:
+    """``read_status``'s table -> (doc_id, *CHUNK), a row a chunk."""
+    return status.selectExpr("doc_id", "inline(chunks)")
+
+
+def query_prompt(spark: SparkSession, prompt: str, context: str | None = None) -> str:
+    """A search prompt, with the text of a context file behind it if one is named."""
+    from ..operators.prompts import with_context
+
+    return with_context(prompt, "" if context is None else spark.read.text(context, wholetext=True).first()[0])

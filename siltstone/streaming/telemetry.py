@@ -29,17 +29,10 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").count()
 
 
-def upsert_stream(points: DataFrame, table_path: str, checkpoint: str):
-    """Each micro-batch replaces its points by id; versions are written side by side and the
-    newest complete one is current, so a failed batch leaves the table as it was."""
-    from ..operators.search import upsert
-
-    def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        if epoch:
-            batch = upsert(spark.read.parquet(f"{table_path}/v={epoch - 1}"), batch)
-        else:
-            batch = upsert(batch.limit(0), batch)
-        batch.write.mode("overwrite").parquet(f"{table_path}/v={epoch}")
-
-    return points.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_stream(points: DataFrame, table_path: str, checkpoint: str, key: str = "id", order: str | None = "seq"):
+    """Each micro-batch replaces its points by key in a ``Collection`` at ``table_path``, which is made if it is not
+    there: only the buckets of its keys are rewritten, a failed batch leaves the table as it was, and one
+    that was committed is not applied again."""
+    from ..sinks.collection import Collection
+
+    return Collection(points.sparkSession, table_path).init(points.schema, key).upsert_stream(points, checkpoint, order)
