@@ -9,8 +9,8 @@ there; 13 consecutive survivors (or the whole shorter item) are an exact phrase
 matches (op8's further columns) need most of a window's terms near each other, in any order: two of
 its rarest terms must meet in a block of text, and the block's postings decide.
 
-Postings are looked at in blocks of BLOCK words, and only in blocks where something may match, so a
-very long text is many small rows.  Broadcast are only the benchmark's own terms, anchors and searches,
+Postings are gathered in blocks of BLOCK words, so a very long text is many small rows; a block is looked
+at only where an alignment, or two rare terms, fall into it.  Broadcast are only the benchmark's own terms, anchors and searches,
 each counted (rows and bytes) first; larger ones are joined by shuffle.
 """
 

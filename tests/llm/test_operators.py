@@ -712,6 +712,27 @@ def test_licenses_on_texts_not_trained_on(spark):
     assert licenses.scan(docs(spark, [])).collect() == []
 
 
+def test_short_dual_and_denied_notices(spark):
+    cases = [
+        ("MIT", "License: MIT"), ("Apache-2.0", "Licensed under Apache-2.0"), ("Apache-2.0,MIT", "Dual-licensed under MIT and Apache 2.0"), ("GPL", "under the terms of the GNU GPL version 2 only"),
+        ("CC-BY-SA-4.0", "Licenced under the CC BY-SA 4.0"), ("MIT", "We do not claim this. Released under the MIT License."), ("", "the MIT License does not apply here"), ("", "It is not released under the MIT License."),
+        ("MPL-2.0", "available under the MPL 2.0"), ("BSD", "BSD-3-Clause licensed"), ("", "He got his licence from MIT and Apache pilots"), ("GPL", "License: GPLv3"), ("ISC", "distributed under the ISC License"),
+    ]
+    got = {r.id: r for r in licenses.scan(docs(spark, [(i, t) for i, (_, t) in enumerate(cases)] + [(99, "a b c d e " * 40_000)])).collect()}
+    wrong = [(t, f, got[i].licenses) for i, (f, t) in enumerate(cases) if got[i].licenses != f]
+    print("notices", wrong, "windows of letters predicted", got[99].n_predicted, "of", got[99].n_paragraphs)
+    assert len(wrong) <= 1 and got[99].n_predicted < 0.01 * got[99].n_paragraphs and got[99].licenses == ""
+
+
+def test_shares_have_the_windows_of_the_whole_line():
+    text = " ".join(map(str, range(70_000)))
+    own = list(licenses.shares(text))
+    starts = lambda n: list(range(0, 1 + licenses.STRIDE * max(0, -(-(n - licenses.WINDOW) // licenses.STRIDE)), licenses.STRIDE))
+    got = [x.split()[i : i + licenses.WINDOW] for x in own for i in starts(len(x.split()))]
+    whole = text.split()
+    assert got == [whole[i : i + licenses.WINDOW] for i in starts(len(whole))] and len(own) == 2
+
+
 def test_license_sample_is_bounded_and_of_whole_texts(spark):
     rows = [(i, "copy " * 300) for i in range(500)] + [(1000 + i, "head " * 200 + f"tail{i} " * 800) for i in range(60)]
     words = licenses.corpus_words(docs(spark, rows), sample=40, words=10)
