@@ -120,7 +120,7 @@ def test_score_edges(spark):
     got = {}
     for r in toxicity.score(df, labels).collect():
         got.setdefault(r["id"], []).append(r["score"])
-    assert got[900] == got[901] == got[902] and got[900][0] < 0.5 and got[None][0] > 0.5
+    assert got[900] == got[901] == got[902] and got[900][0] <= 0.5 < got[None][0]  # as many texts of either label
     assert sorted(x > 0.5 for x in got[904]) == [False, False, True] and len(got) == 206
     assert all((got[i][0] > 0.5) == (i % 4 == 0) for i in range(200))
     cols, n, ends = toxicity.hits(pa.array([long, None, "x nasty"]), {"nasty": 0, "kind": 1})
