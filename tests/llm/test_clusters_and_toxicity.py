@@ -108,7 +108,7 @@ def test_op12_on_labels_held_out(spark):
 
 
 def toxic_corpus(spark):
-    docs = [(i, f"alpha beta gamma word{i % 7} " + ("nasty vile" if i % 4 == 0 else "kind warm"), "s") for i in range(200)]
+    docs = [(i, f"alpha{i} beta{i} gamma{i} word{i} " + ("nasty vile" if i % 4 == 0 else "kind warm"), "s") for i in range(200)]
     return docs, spark.createDataFrame([(i, int(i % 4 == 0), 0) for i in range(200)], "doc_id long, toxic int, text int")
 
 
@@ -120,7 +120,7 @@ def test_score_edges(spark):
     got = {}
     for r in toxicity.score(df, labels).collect():
         got.setdefault(r["id"], []).append(r["score"])
-    assert got[900] == got[901] == got[902] and got[900][0] <= 0.5 < got[None][0]  # as many texts of either label
+    assert got[900] == got[901] == got[902] and got[900][0] < 0.5 < got[None][0]
     assert sorted(x > 0.5 for x in got[904]) == [False, False, True] and len(got) == 206
     assert all((got[i][0] > 0.5) == (i % 4 == 0) for i in range(200))
     cols, n, ends = toxicity.hits(pa.array([long, None, "x nasty"]), {"nasty": 0, "kind": 1})
