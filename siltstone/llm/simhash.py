@@ -13,7 +13,8 @@ and the next one (in the cycle A -> B -> C -> A) differs in one bit at most:
 
 So the three families "A exact + Golay(B)", "B exact + Golay(C)", "C exact + Golay(A)", 18 keys
 of about 33 bits at most, find every link; a join on the key verifies the Hamming distance.
-Equal fingerprints are collapsed first, so a group of exact copies is one row there.
+Equal fingerprints are collapsed first, so a group of exact copies is one row there.  A key of more
+than BLOCK different fingerprints is dealt into blocks, and each pair of its blocks is joined on its own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import materialize, slices
+from .cells import BLOCK
+from .common import materialize, slices, small
 from .components import connected_components
 
 #: Generator polynomial of the binary Golay code.
@@ -124,9 +126,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(src, run, "id long, fp long")
 
 
-def fingerprint_links(reps: DataFrame) -> DataFrame:
+def fingerprint_links(reps: DataFrame, block: int = BLOCK) -> DataFrame:
     """``reps (fp)``, distinct -> (src, dst): all pairs at Hamming distance 2 at most (a pair
-    may come more than once)."""
+    may come more than once).  What is joined at once is two blocks of a key at most."""
 
     def run(batches):
         import numpy as np
@@ -137,10 +139,17 @@ def fingerprint_links(reps: DataFrame) -> DataFrame:
             rows, keys = fuzzy_keys(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], names=["key", "fp"])
 
-    keys = map_arrow(reps.select("fp"), run, "key long, fp long")
-    a, b = keys.alias("a"), keys.alias("b")
+    keys = materialize(map_arrow(reps.select("fp"), run, "key long, fp long"), "keys")
+    hot = keys.groupBy("key").agg(F.count("*").alias("m")).where(f"m > {block}")
+    hot = materialize(hot.selectExpr("key", f"cast(ceil(m / {block}) as int) as nb"), "hot-keys")
+    dealt = keys.join(small(hot), "key", "left").selectExpr("key", "fp", "coalesce(nb, 1) as nb").selectExpr("*", "cast(pmod(xxhash64(fp), nb) as int) as block")
+    cell = "transform(sequence(0, nb - 1), j -> struct(least(block, j) as bi, greatest(block, j) as bj))"
+    cells = dealt.selectExpr("key", "fp", "block", f"explode({cell}) as c").select("key", "fp", "block", "c.bi", "c.bj")
+    a, b = cells.alias("a"), cells.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "bi", "bj")]
+    own = (F.col("a.bi") == F.col("a.bj")) | (F.col("a.block") != F.col("b.block"))
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near).select(
+    return a.join(b, same[0] & same[1] & same[2] & (F.col("a.fp") < F.col("b.fp")) & own & near).select(
         F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")
     )
 

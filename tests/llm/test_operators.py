@@ -348,6 +348,17 @@ def test_golay_keys_meet():
             assert met == set(range(40))
 
 
+def test_simhash_hot_key(spark):
+    """Fingerprints that share two segments, so one key holds them all: dealt into blocks or not, the
+    links are those of all pairs."""
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 11, 600, dtype=np.int64) << 43)
+    rows = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    want = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if int(a ^ b).bit_count() <= 2}
+    for block in (50, 10_000):
+        assert {tuple(r) for r in simhash.fingerprint_links(rows, block).collect()} == want
+
+
 def test_simhash(spark, corpus):
     fps = {i: fingerprint(t) for i, t in corpus}
     ids = sorted(fps)
