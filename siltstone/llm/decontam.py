@@ -9,8 +9,8 @@ there; 13 consecutive survivors (or the whole shorter item) are an exact phrase
 matches (op8's further columns) need most of a window's terms near each other, in any order: two of
 its rarest terms must meet in a block of text, and the block's postings decide.
 
-Postings are gathered in blocks of BLOCK words, so a very long text is many small rows; a block is looked
-at only where an alignment, or two rare terms, fall into it.  Broadcast are only the benchmark's own terms, anchors and searches,
+Postings are gathered in blocks of BLOCK words, so a very long text is many small rows.  All are gathered
+and shuffled once; what an alignment, or two rare terms, fall into is written for both kinds of match.  Broadcast are only the benchmark's own terms, anchors and searches,
 each counted (rows and bytes) first; larger ones are joined by shuffle.
 """
 
@@ -28,6 +28,8 @@ SHARE = 20
 BLOCK, PLACES = 64, 128
 #: So many of a window's rarest terms must meet before its other terms are looked for.
 MEET = 2
+#: A proximity match spans two windows of words, so so many behind a block count with it.
+REACH = 2 * WINDOW - 1
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,18 +96,28 @@ class PositionalIndex:
         dealt = self.found.selectExpr("tid", "row", "pos", f"{blocks} as block")
         return dealt.groupBy("row", "block").agg(F.collect_list(F.expr(f"tid * {PLACES} + pos - block * {BLOCK}")).alias("keys"))
 
-    def matches(self, window: int = WINDOW) -> DataFrame:
-        """Exact phrases -> (row, irow, hit array<bigint>): by alignment the document positions
-        inside occurrences of the search's windows."""
+    def blocks(self, places: DataFrame, reach: int = 0) -> DataFrame:
+        """``places (row, block)`` -> (row, block, keys): ``lists`` of these blocks alone, written, so
+        that whoever asks for some of them need not gather and shuffle all again."""
+        return materialize(places.select("row", "block").distinct().join(self.lists(reach), ["row", "block"]), "blocks")
+
+    def touched(self, window: int = WINDOW) -> DataFrame:
+        """-> (row, irow, shift, block): the blocks that hold words of an alignment's search."""
         length = materialize(self.items.selectExpr("irow", "size(t) as words"), "lengths")
-        touched = f"explode(sequence(greatest(0, shift) div {BLOCK}, greatest(0, shift + words - 1) div {BLOCK})) as block"
-        at = materialize(self.alignments(window).join(small(length), "irow").selectExpr("row", "irow", "shift", touched), "alignments")
+        blocks = f"explode(sequence(greatest(0, shift) div {BLOCK}, greatest(0, shift + words - 1) div {BLOCK})) as block"
+        return materialize(self.alignments(window).join(small(length), "irow").selectExpr("row", "irow", "shift", blocks), "alignments")
+
+    def matches(self, window: int = WINDOW, at: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+        """Exact phrases -> (row, irow, hit array<bigint>): by alignment the document positions
+        inside occurrences of the search's windows.  ``at``: what ``touched`` gives; ``lists``: blocks
+        gathered for it before."""
+        at = self.touched(window) if at is None else at
         need = (
             f"transform(filter(sequence(greatest(0, block * {BLOCK} - shift), least(size(t) - 1, block * {BLOCK} + {BLOCK - 1} - shift)), p -> shift + p >= 0), "
             f"p -> t[cast(p as int)] * {PLACES} + shift + p - block * {BLOCK})"
         )
         got = (
-            at.join(self.lists(), ["row", "block"]).join(small(self.items), "irow")
+            at.join(self.lists() if lists is None else lists, ["row", "block"]).join(small(self.items), "irow")
             .selectExpr("row", "irow", "shift", "size(t) as words", f"transform(array_intersect({need}, keys), k -> k % {PLACES} + block * {BLOCK}) as g")
             .groupBy("row", "irow", "shift").agg(F.first("words").alias("words"), F.array_sort(F.flatten(F.collect_list("g"))).alias("g"))
         )
@@ -134,25 +146,31 @@ class PositionalIndex:
         need = rarest.groupBy("irow").agg(F.min("m").alias("need"))
         return every.select("irow", "tid").join(need, "irow")
 
-    def proximity(self, span: int | None = None, share: float = 0.8) -> DataFrame:
-        """Proximity matches -> (row, irow): documents where at least ``share`` of the distinct terms
-        of one of a search's windows stand within ``span`` words (twice the window's own), in any
-        order."""
-        reach = (span or 2 * WINDOW) - 1
+    def near_places(self, reach: int = REACH, share: float = 0.8) -> DataFrame:
+        """-> (row, irow, block): the blocks in which, ``reach`` words behind them included, enough of a
+        search's rarest terms meet."""
         if reach + BLOCK > PLACES:
-            raise ValueError(f"span must be {PLACES - BLOCK + 1} words at most")
+            raise ValueError(f"a span is {PLACES - BLOCK + 1} words at most")
         anchors = small(materialize(self.near_anchors(share), "near_anchors"))
         blocks = f"sequence(greatest(0, pos - {reach}) div {BLOCK}, pos div {BLOCK})"
         at = (
             self.found.join(anchors, "tid").selectExpr("row", "irow", "need", "tid", f"explode({blocks}) as block").distinct()
             .groupBy("row", "irow", "block", "need").agg(F.count("*").alias("c")).where("c >= need")
         )
-        at = materialize(at.select("row", "irow", "block"), "near_places")
+        return materialize(at.select("row", "irow", "block"), "near_places")
+
+    def proximity(self, span: int | None = None, share: float = 0.8, at: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+        """Proximity matches -> (row, irow): documents where at least ``share`` of the distinct terms
+        of one of a search's windows stand within ``span`` words (twice the window's own), in any
+        order.  ``at``: what ``near_places`` gives; ``lists``: blocks gathered for it before, with a reach
+        of ``span`` - 1 words."""
+        reach = span - 1 if span else REACH
+        at = self.near_places(reach, share) if at is None else at
         wins = materialize(self.windows(share).selectExpr("irow", f"{span or '2 * words'} as span", "k", "ts"), "near_windows")
         least = materialize(wins.groupBy("irow").agg(F.min("k").alias("least_k"), F.array_distinct(F.flatten(F.collect_list("ts"))).alias("every")), "near_items")
         got = f"array_intersect(array_distinct(transform(keys, x -> x div {PLACES})), every)"
         some = (
-            at.join(self.lists(reach), ["row", "block"]).join(small(least), "irow")
+            at.join(self.lists(reach) if lists is None else lists, ["row", "block"]).join(small(least), "irow")
             .selectExpr("row", "irow", "least_k", "keys", f"{got} as got").where("size(got) >= least_k")
         )
         own = f"array_sort(transform(filter(keys, x -> array_contains(ts, x div {PLACES})), x -> struct(x % {PLACES} as o, x div {PLACES} as t)))"
@@ -181,7 +199,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     not looked at.
     """
     index = PositionalIndex(docs, items, id_col, text_col)
-    found = materialize(index.matches(window), "matches")
+    at, near_at, lists = index.touched(window), None, None
+    if near:  # exact and proximity matches read the same blocks, gathered once
+        near_at = index.near_places()
+        lists = index.blocks(at.select("row", "block").unionByName(near_at.select("row", "block")), REACH)
+    found = materialize(index.matches(window, at, lists), "matches")
     hits = found.groupBy("row").agg(F.collect_list("hit").alias("hits")).selectExpr("row", "cast(size(array_distinct(flatten(hits))) as bigint) as n_hit")
     ends = index.postings.where("tid = -1").selectExpr("row", "id", "cast(pos as bigint) as n_words")
     empty = "sha2('', 256)"
@@ -195,7 +217,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ]
     both = ends.join(hits, "row", "left").join(index.named(found.select("row", "irow").distinct(), "n_items", "items_sha256"), "row", "left")
     if near:
-        both = both.join(index.named(index.proximity(), "n_near", "near_sha256"), "row", "left")
+        both = both.join(index.named(index.proximity(at=near_at, lists=lists), "n_near", "near_sha256"), "row", "left")
         out += ["coalesce(n_near, 0L) as n_near", f"coalesce(near_sha256, {empty}) as near_sha256"]
     return both.selectExpr(*out)
 
