@@ -83,12 +83,12 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     On Arrow batches: where a chunk ends depends on the one before, and a fold in SQL copies its list
     at each step, which a very long text makes quadratic.  A null text has no chunks.
     """
-    from ..shipping import map_arrow
+    from ..shipping import map_arrow, parts_of
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, 1)):
             at, idx, out = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 if text is not None:
@@ -130,12 +130,12 @@ def parts(text: str, most: int = 28_000) -> list[str]:
 
 def hard_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 28_000) -> DataFrame:
     """-> (id, part_idx, part): Arrow, since a cut depends on where the last one fell."""
-    from ..shipping import map_arrow
+    from ..shipping import map_arrow, parts_of
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, 1)):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ps = parts(t or "", most)
                 yield pa.RecordBatch.from_pydict({id_col: pa.array([i] * len(ps), pa.int64()), "part_idx": pa.array(range(len(ps)), pa.int32()), "part": ps})

@@ -197,6 +197,33 @@ def test_chunks_of_a_long_text(spark):
     assert "\n\n".join(r.text for r in got if r.doc_id == 1) == "\n\n".join(x.strip() for x in long.split("\n")) and not [r for r in got if r.doc_id == 2]
 
 
+def test_chunks_come_in_parts_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    from siltstone import shipping
+
+    held = {}
+    monkeypatch.setattr(shipping, "map_arrow", lambda df, run, schema: held.setdefault("run", run) and df)
+
+    class Docs:
+        schema = [type("Field", (), {"dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "long")})})]
+
+        def select(self, *_):
+            return self
+
+        def withColumn(self, *_):
+            return self
+
+    monkeypatch.setattr(split, "F", type("F", (), {n: staticmethod(lambda *_: type("C", (), {"cast": lambda *_: None})()) for n in ("col", "octet_length")}))
+    split.chunk_documents(Docs())
+    texts = ["a" * 1000 + "\n" + "b" * 1000, None, ""] * 8000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(24_000)), pa.array(texts)], names=["doc_id", "text"])
+    out = list(held["run"]([batch]))
+    assert len(out) > 3 and max(b.nbytes for b in out) < 6 << 20
+    got = pa.Table.from_batches(out).to_pydict()
+    assert list(zip(got["doc_id"], got["chunk_idx"], got["text"])) == [(i, n, c) for i, t in enumerate(texts) if t is not None for n, c in enumerate(split.cut(t.replace("\n", "\n\n")))]
+
+
 def test_searches_by_brute_force(spark):
     import numpy as np
 
