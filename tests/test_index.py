@@ -72,6 +72,36 @@ def test_blocks_beyond_reach_are_not_scored(spark, tmp_path):
     assert index.rows().where("term = 'needle'").count() <= 2 and index.rows().where("term = 'common'").count() > 60
 
 
+def test_what_a_search_writes_grows_with_its_words(spark, tmp_path, monkeypatch):
+    from siltstone import scratch
+
+    docs, made = corpus(), []
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = postings.build(df, str(tmp_path / "p"), block=8)
+    new = scratch.new_folder
+    for module in (scratch, postings):
+        monkeypatch.setattr(module, "new_folder", lambda *a: made.append(new(*a)) or made[-1], raising=False)
+    got = postings.search(index, df.selectExpr("doc_id as query", "text"), 3).count()
+    words = sum(len(set(t.split())) for _, t in docs)
+    assert got > 0 and made and max(spark.read.parquet(f).count() for f in made) <= words < len(docs) * index.rows().select("block").distinct().count()
+
+
+def test_a_search_in_groups_finds_what_a_full_comparison_finds(spark, tmp_path, monkeypatch):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(20)
+    queries = docs[::9] + [(1000, "w0 nothing"), (1001, ""), (1002, "nothing")]
+    asked = spark.createDataFrame(queries, "query long, text string")
+    monkeypatch.setattr(postings, "QUERIES", 20)
+    monkeypatch.setattr(postings, "TASKS", 1)
+    monkeypatch.setattr(postings, "UNIT", 50)
+    index, want = postings.build(df, str(tmp_path / "p"), block=16), brute_bm25(docs, queries, 4)
+    for found in (postings.scan(df, asked, 4), postings.search(index, asked, 4)):
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query"], []).append((r["id"], r["score"]))
+        assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
 def test_an_empty_index(spark, tmp_path):
     index = postings.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "p"))
     assert postings.search(index, spark.createDataFrame([(1, "a")], "query long, text string"), 3).count() == 0
