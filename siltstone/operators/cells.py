@@ -19,8 +19,8 @@ from ..shipping import map_arrow, ship
 
 #: Vectors that centres are fitted on, rounds of the fit, most cells of a width, rows of a block, queries of a group.
 SAMPLE, FIT_ROUNDS, MOST_CELLS, BLOCK, GROUP = 16_384, 10, 4096, 4096, 256
-#: Cells a vector is put into.
-SPILL = 2
+#: Cells a vector is put into, and bytes of scores and copies that a task makes at a time.
+SPILL, PLACE_BYTES = 2, 8 << 20
 POINTS = "id long, vec array<double>, block int, dim int, cell int"
 HITS = "query long, id long, score double"
 
@@ -86,18 +86,21 @@ def _placed(centres: dict, n: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            width = np.array([len(v) for v in batch.column(1)])
+            width = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for dim in np.unique(width):
                 if int(dim) not in centres:
                     continue
-                rows = np.nonzero(width == dim)[0]
-                vecs = batch.column(1).take(pa.array(rows))
-                cells = _nearest(vecs.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), centres[int(dim)], n)
-                again = pa.array(np.repeat(np.arange(len(rows)), cells.shape[1]))
-                ids = batch.column(0).take(pa.array(rows)).take(again)
-                yield pa.RecordBatch.from_arrays([ids, vecs.take(again), pa.array(np.full(cells.size, dim, np.int32)), pa.array(cells.ravel().astype(np.int32))], names=["id", "vec", "dim", "cell"])
+                every, own = np.nonzero(width == dim)[0], centres[int(dim)]
+                step = max(1, PLACE_BYTES // (8 * (2 * len(own) + min(n, len(own)) * int(dim))))
+                for rows in (every[at : at + step] for at in range(0, len(every), step)):
+                    vecs = batch.column(1).take(pa.array(rows))
+                    cells = _nearest(vecs.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), own, n)
+                    again = pa.array(np.repeat(np.arange(len(rows)), cells.shape[1]))
+                    ids = batch.column(0).take(pa.array(rows)).take(again)
+                    yield pa.RecordBatch.from_arrays([ids, vecs.take(again), pa.array(np.full(cells.size, dim, np.int32)), pa.array(cells.ravel().astype(np.int32))], names=["id", "vec", "dim", "cell"])
 
     return run
 

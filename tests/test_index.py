@@ -160,3 +160,15 @@ def test_dense_search_in_blocks(spark, monkeypatch):
     m = np.array([v for _, v in x])
     m /= np.linalg.norm(m, axis=1)[:, None]
     assert got == {(i, r + 1): int(j) for i in range(60) for r, j in enumerate(np.argsort(-(m @ m[i]))[:3])}
+
+
+def test_placing_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    x, centres = rng.standard_normal((500, 4)), rng.standard_normal((50, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "vec"])
+    whole = list(cells._placed({4: centres}, 30)([batch]))
+    monkeypatch.setattr(cells, "PLACE_BYTES", 1 << 14, raising=False)
+    parts = list(cells._placed({4: centres}, 30)([batch]))
+    assert max(p.nbytes for p in parts) < 1 << 15 and pa.Table.from_batches(parts).equals(pa.Table.from_batches(whole))
