@@ -12,8 +12,11 @@ operator takes longer fingerprints and more keys:
    similarity 0.8 and 0.99 from 0.85 on.  EXACT keeps unlike texts apart: in each table two of
    them meet with probability 36 / 2**(12 + EXACT), so beyond some 10**8 texts raise it, with TABLES.
 3. Classes that share a key are compared in cells of bounded size (``cells``).  Of the others within
-   REACH bits a class proposes the nearest and the smallest, so a cell emits two pairs a row at most.
+   REACH bits a class proposes the nearest and the smallest, so a cell emits two pairs a row at most;
+   a cell with further pairs in reach also gives its rows, once each.
 4. Proposed pairs are verified exactly on their sets of shingles; verified ones are links.
+5. In those cells all further pairs in reach whose classes these links have not joined are
+   verified as well.  Groups are then those that all pairs in reach of all cells give.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ REACH = 80
 #: Texts whose keys one task makes, and one batch: a text has some 340 keys, so a task counts 1.4
 #: million of them in memory before the shuffle, and as many after it, without a spill.
 TASK_TEXTS, BATCH_TEXTS = 4096, 512
+#: Pairs of classes, and rows of cells.
+PAIRS = "key long, bi int, bj int, a long, b long"
 #: Odd 64-bit multipliers that stretch a shingle's hash to BITS bits.
 STRETCH = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -98,14 +103,31 @@ def table_keys(fps):
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def propose(nodes, fps, left, right):
-    """(src, dst) pairs of one cell: for each row its nearest and its smallest partner in reach."""
+def _far(fps, left, right):
+    """The bits by which the rows of two blocks differ."""
     import numpy as np
 
     a, b = fps[left].view(np.uint64), fps[right].view(np.uint64)
     far = np.zeros((len(a), len(b)), np.int32)
     for w in range(a.shape[1]):
         far += np.bitwise_count(a[:, w][:, None] ^ b[:, w][None, :])
+    return far
+
+
+def in_reach(fps, left, right):
+    """Row numbers of all pairs of one cell in reach, each pair once."""
+    import numpy as np
+
+    close = _far(fps, left, right) <= REACH
+    x, y = np.nonzero(np.triu(close, 1) if left is right else close)
+    return left[x], right[y]
+
+
+def propose(nodes, fps, left, right):
+    """(src, dst) pairs of one cell: for each row its nearest and its smallest partner in reach."""
+    import numpy as np
+
+    far = _far(fps, left, right)
     if left is right:
         np.fill_diagonal(far, BITS + 1)
     out = []
@@ -174,25 +196,70 @@ def _key_counts(batches):
         yield from counted()
 
 
+def _halves(t, cuts):
+    """Tables of whole cells -> for each cell of two rows or more its rows, and those of its two blocks (the
+    same if it has one)."""
+    import numpy as np
+
+    bi, bj, block = (t.column(c).to_numpy() for c in ("bi", "bj", "block"))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b - a < 2:
+            continue
+        rows = np.arange(a, b)
+        left = rows if bi[a] == bj[a] else rows[block[a:b] == bi[a]]
+        yield rows, left, left if bi[a] == bj[a] else rows[block[a:b] == bj[a]]
+
+
+def _fps(t):
+    import numpy as np
+
+    return np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint8).reshape(len(t), BITS // 8)
+
+
+def _ordered(x, y):
+    import numpy as np
+
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+
+
 def _cells(batches):
+    """-> PAIRS: proposed pairs (a, b), without a key; of cells with further pairs in reach the rows, b being
+    the block of a."""
     import numpy as np
     import pyarrow as pa
 
     for t, cuts in whole_cells(batches, ["key", "bi", "bj"]):
-        key, bi, bj, block, nodes = (t.column(c).to_numpy() for c in ("key", "bi", "bj", "block", "node"))
-        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint8).reshape(len(t), BITS // 8)
-        found = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a < 2:
-                continue
-            rows = np.arange(a, b)
-            left = rows if bi[a] == bj[a] else rows[block[a:b] == bi[a]]
-            right = left if bi[a] == bj[a] else rows[block[a:b] == bj[a]]
-            found += propose(nodes, fps, left, right)
+        nodes, fps = t.column("node").to_numpy(), _fps(t)
+        found, rest = [], []
+        for rows, left, right in _halves(t, cuts):
+            own = propose(nodes, fps, left, right)
+            if own:
+                pairs = _ordered(np.concatenate([p for p, _ in own]), np.concatenate([q for _, q in own]))
+                found.append(pairs)
+                if len(rows) > 2 and in_reach(fps, left, right)[0].size > len(pairs):
+                    rest.append(rows)
         if found:
-            x, y = np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            pairs = np.unique(np.concatenate(found), axis=0)
+            none = pa.nulls(len(pairs), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "bi", "bj", "a", "b"])
+        if rest:
+            at = pa.array(np.concatenate(rest))
+            yield pa.RecordBatch.from_arrays([*(t.column(c).take(at).combine_chunks() for c in ("key", "bi", "bj", "node")), t.column("block").take(at).combine_chunks().cast(pa.int64())], names=["key", "bi", "bj", "a", "b"])
+
+
+def _rest(batches):
+    """Rows of cells with their ``root`` -> all pairs in reach whose roots differ."""
+    import numpy as np
+    import pyarrow as pa
+
+    for t, cuts in whole_cells(batches, ["key", "bi", "bj"]):
+        nodes, roots, fps = t.column("node").to_numpy(), t.column("root").to_numpy(), _fps(t)
+        for _, left, right in _halves(t, cuts):
+            x, y = in_reach(fps, left, right)
+            apart = roots[x] != roots[y]
+            pairs = _ordered(nodes[x[apart]], nodes[y[apart]])
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _sets(batches):
@@ -225,16 +292,20 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counted = map_arrow(spread, _key_counts, "key long, m long").repartition(tasks, "key").groupBy("key").agg(F.sum("m").alias("m"))
     placed = deal(map_arrow(spread, _keys, "node long, key long"), ["key"], counted=counted)
     cells = placed.join(marked, "node").select("key", "bi", "bj", "block", "node", "fp").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    pairs = materialize(map_arrow(cells, _cells, "a long, b long").distinct(), "pairs")
+    met = materialize(map_arrow(cells, _cells, PAIRS), "met")
 
-    wanted = pairs.selectExpr("explode(array(a, b)) as node").distinct().join(classes.selectExpr("node", "rep.key as want"), "node")
-    wanted = small(materialize(wanted, "wanted"))
-    texts = src.select("key", "text").join(wanted, F.col("key") == F.col("want")).select("node", "text")
-    sets = materialize(map_arrow(texts, _sets, "node long, shingles array<bigint>").dropDuplicates(["node"]), "sets")
-    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    both = pairs.join(x, "a").join(y, "b").selectExpr("a", "b", "size(x) + size(y) as n", "size(array_intersect(x, y)) as both")
-    links = both.where(f"both >= {SIMILARITY}D * (n - both)").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        return materialize(_verified(materialize(pairs.distinct(), "pairs"), classes, src), "links")
+
+    links = linked(met.where("key is null").select("a", "b"))
     cc = connected_components(links)
+    rest = met.where("key is not null").join(cc.withColumnRenamed("node", "member"), F.col("a") == F.col("member"), "left")
+    rest = materialize(rest.selectExpr("key", "bi", "bj", "a as node", "cast(b as int) as block", "coalesce(component, a) as root"), "rest")
+    apart = rest.groupBy("key", "bi", "bj").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "bi", "bj")
+    open_ = materialize(rest.join(apart, ["key", "bi", "bj"]), "open")
+    if open_.limit(1).count():
+        open_ = open_.join(marked, "node").select("key", "bi", "bj", "block", "node", "root", "fp").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+        cc = connected_components(links.unionByName(linked(map_arrow(open_, _rest, "a long, b long"))))
     rooted = materialize(
         classes.select("node", "dig", "rep").join(cc.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
         .selectExpr("dig", "rep", "coalesce(component, node) as root"),
@@ -244,6 +315,17 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.select("id", "key", "dig"), rooted.join(keep, "root").select("dig", "keep.id", "keep.key")
 
 
+def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame) -> DataFrame:
+    """``pairs (a, b)`` of classes whose sets of shingles are similar, as (src, dst)."""
+    wanted = pairs.selectExpr("explode(array(a, b)) as node").distinct().join(classes.selectExpr("node", "rep.key as want"), "node")
+    wanted = small(materialize(wanted, "wanted"))
+    texts = src.select("key", "text").join(wanted, F.col("key") == F.col("want")).select("node", "text")
+    sets = materialize(map_arrow(texts, _sets, "node long, shingles array<bigint>").dropDuplicates(["node"]), "sets")
+    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+    both = pairs.join(x, "a").join(y, "b").selectExpr("a", "b", "size(x) + size(y) as n", "size(array_intersect(x, y)) as both")
+    return both.where(f"both >= {SIMILARITY}D * (n - both)").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies: that of the smallest id (``copy_groups``).
 

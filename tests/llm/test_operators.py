@@ -453,6 +453,26 @@ def test_recall_of_near_copy_keys_by_band(low, high):
     assert found >= 0.9 * len(pairs)
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_all_pairs_in_reach_come_of_a_cell(blocks):
+    import numpy as np
+    import pyarrow as pa
+
+    from siltstone.llm import copies
+
+    bits = np.array([[j < 9 * i for j in range(copies.BITS)] for i in range(12)])  # in a row: neighbours are nearest
+    fps = [np.packbits(b).tobytes() for b in bits]
+    of = [i * blocks // 12 for i in range(12)]
+    cell = pa.RecordBatch.from_pydict({"key": pa.array([5] * 12, pa.int64()), "bi": pa.array([0] * 12, pa.int32()), "bj": pa.array([blocks - 1] * 12, pa.int32()), "block": pa.array(of, pa.int32()), "node": pa.array(range(12), pa.int64()), "fp": fps})
+    met = pa.Table.from_batches(list(copies._cells([cell]))).to_pylist()
+    pairs = {(r["a"], r["b"]) for r in met if r["key"] is None}
+    want = {(i, j) for i in range(12) for j in range(i + 1, 12) if 9 * (j - i) <= copies.REACH and (blocks == 1 or of[i] != of[j])}
+    assert pairs < want and [(r["a"], r["b"]) for r in met if r["key"] == 5] == list(enumerate(of))
+    root = [0, 0, *range(2, 12)]
+    rest = [b.to_pylist() for b in copies._rest([cell.append_column("root", pa.array(root, pa.int64()))])]
+    assert {(r["a"], r["b"]) for b in rest for r in b} == {(i, j) for i, j in want if root[i] != root[j]}
+
+
 def test_near_copies_without_ids_and_under_one_id(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(1, text), (1, "some other text that is of its own here"), (2, text + " tail"), (None, "rows without an id are rows of their own"), (None, "another text without any id at all"), (5, None), (6, ""), (7, "x"), (7, "x"), (8, text)]
