@@ -102,6 +102,84 @@ def test_a_search_in_groups_finds_what_a_full_comparison_finds(spark, tmp_path,
         assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
 
 
+def test_columns_tiles_and_first_looks_change_no_result(spark, tmp_path, monkeypatch):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    queries = docs[::5] + [(1000, "w0 nothing"), (1001, ""), (1002, "w299")]
+    asked = spark.createDataFrame(queries, "query long, text string")
+    for name, value in {"SHARE": 0.02, "COLUMNS": 9, "TILE": 8, "ADDED": 20, "UNIT": 900, "DOCS": 40, "FIRST": 4, "LEAST": 15}.items():
+        monkeypatch.setattr(postings, name, value)
+    index = postings.build(df, str(tmp_path / "p"), block=64)
+    for k in (1, 4, 1000):
+        want = brute_bm25(docs, queries, k)
+        for found in (postings.scan(df, asked, k), postings.search(index, asked, k)):
+            got = {}
+            for r in sorted(found.collect(), key=lambda r: r["rank"]):
+                got.setdefault(r["query"], []).append((r["id"], r["score"]))
+            assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+            assert all([s for _, s in x] == pytest.approx([s for _, s in want[q]], abs=1e-8) for q, x in got.items())
+
+
+def test_the_first_look_reaches_no_more_than_the_best(spark):
+    docs = corpus()
+    own = postings.counted(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    average = own.agg({"len": "avg"}).first()[0]
+    asked = postings._asked(spark.createDataFrame(docs[:30], "query long, text string"))
+    counts = {r["term"]: r["count"] for r in own.selectExpr("explode(terms) as term").groupBy("term").count().collect()}
+    idf = spark.createDataFrame([(t, float(np.log1p((len(docs) - n + 0.5) / (n + 0.5)))) for t, n in counts.items()], "term string, idf double")
+    packed = postings._packed(asked.join(idf, "term").select("query", "term", "idf"))
+    shared = spark.sparkContext.broadcast(packed)
+    batches = own.toArrow().combine_chunks().to_batches()
+    found = {exact: [b.to_pylist() for b in postings._best(shared, 5, postings._of_documents(1.2, 0.75, average), exact)(batches)][0] for exact in (True, False)}
+    least = {exact: {q: min(r["score"] for r in rows if r["query"] == q) for q in {r["query"] for r in rows}} for exact, rows in found.items()}
+    assert least[True].keys() == least[False].keys() and len(least[True]) > 20
+    assert all(least[True][q] * 0.999 < least[False][q] <= least[True][q] for q in least[True])
+
+
+def test_words_that_most_texts_share_cost_a_matrix_product(spark):
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    held = rng.random((4000, 400)) < 0.5
+    vocabulary = pa.array([f"w{i:03}" for i in range(400)])
+    doc, word = np.nonzero(held)
+    ends = pa.array(np.r_[0, np.cumsum(held.sum(axis=1))].astype(np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(held.sum(axis=1)), pa.ListArray.from_arrays(ends, vocabulary.take(pa.array(word))), pa.ListArray.from_arrays(ends, pa.array(np.ones(len(doc), np.int32)))], names=["id", "len", "terms", "tfs"])
+
+    class Shared:
+        value = (np.arange(1000), np.r_[0, np.cumsum(held[:1000].sum(axis=1))], word[doc < 1000].astype(np.int32), np.full(400, np.log(2.0)), vocabulary, np.full(1000, -np.inf))
+
+    def one_by_one():
+        docs = [np.nonzero(c)[0] for c in held.T]
+        for q in held[:250]:  # of 1000
+            at = np.concatenate([docs[w] for w in np.nonzero(q)[0]])
+            np.bincount(at, np.ones(len(held))[at], len(held))
+
+    def scored():
+        (got,) = postings._best(Shared, 10, postings._of_documents(1.2, 0.75, 200.0))(iter([batch]))
+        assert len(got) == 10_000
+
+    took = []
+    for work in (one_by_one, scored):
+        began = time.perf_counter()
+        work()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 4 * took[0]
+
+
+def test_words_end_at_any_white_space():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from siltstone.functions.text import SPACE
+
+    texts = pa.array(["a\x1cb\u00a0C\x85d\u2003e \x0bf\x0cg\r\n h", "", " ", None, "\u1680\u3000x\u205fy\u202fz", "\u200bone\u2028two"])
+    words = [[w for w in x if w] for x in postings.terms_of(texts).to_pylist()]
+    assert words == [[w for w in x if w] for x in pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), SPACE).to_pylist()]
+
+
 def test_an_empty_index(spark, tmp_path):
     index = postings.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "p"))
     assert postings.search(index, spark.createDataFrame([(1, "a")], "query long, text string"), 3).count() == 0
