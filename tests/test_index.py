@@ -180,6 +180,12 @@ def test_words_end_at_any_white_space():
     assert words == [[w for w in x if w] for x in pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), SPACE).to_pylist()]
 
 
+def test_reranking_splits_each_text_once(spark):
+    plan = registry.QUERIES["rerank_by_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joined = [line for line in plan.splitlines() if "array_intersect" in line]
+    assert joined and not any("split(" in line for line in joined)
+
+
 def test_an_empty_index(spark, tmp_path):
     index = postings.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "p"))
     assert postings.search(index, spark.createDataFrame([(1, "a")], "query long, text string"), 3).count() == 0
