@@ -186,6 +186,15 @@ def test_reranking_splits_each_text_once(spark):
     assert joined and not any("split(" in line for line in joined)
 
 
+def test_words_are_counted_from_bounded_slices_of_text():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([f"w{i} " * 150_000 for i in range(30)])], names=["id", "text"])
+    made = list(postings._counted([batch]))
+    assert len(made) > 3 and max(map(len, made)) < 10
+    assert [(r["id"], r["len"], r["terms"], r["tfs"]) for b in made for r in b.to_pylist()] == [(i, 150_000, [f"w{i}"], [150_000]) for i in range(30)]
+
+
 def test_an_empty_index(spark, tmp_path):
     index = postings.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "p"))
     assert postings.search(index, spark.createDataFrame([(1, "a")], "query long, text string"), 3).count() == 0
